@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, packing, secrets, substring
+from . import neardup, oracles, packing, secrets, substring
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,15 +30,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_substring_dedup,
         op4_secret_scans,
         op5_best_fit_packing,
+        op7_minhash_near_dedup,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING,
+    "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
 }
