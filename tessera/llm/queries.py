@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, oracles, packing, secrets, substring
+from . import neardup, oracles, packing, secrets, substring, topk
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -41,10 +46,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_secret_scans,
         op5_best_fit_packing,
         op7_minhash_near_dedup,
+        op8_exact_top_k,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op8_exact_top_k": oracles.TOP_K,
 }
