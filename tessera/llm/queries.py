@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, oracles, packing, secrets, substring, topk
+from . import fingerprints, neardup, oracles, packing, secrets, substring, topk
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_best_fit_packing,
         op7_minhash_near_dedup,
         op8_exact_top_k,
+        op9_document_fingerprints,
     )
 }
 
