@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = scanned.where("id is not null and n_shingles > 0")
     classes = saved(real.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")), "classes")
     members = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
+    buckets = saved(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1"), "centres")
     shared = saved(members.join(buckets.hint("merge"), "bucket"), "buckets")
     needed = shared.select("id").distinct()
     sets = saved(_sets(keyed.join(needed.hint("shuffle_hash"), "id").select("id", "text", "text_key").dropDuplicates(["id", "text_key"]).select("id", "text")), "sets")
@@ -141,6 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Buckets that hold several components and pairs that have not been compared yet.
         own = shared.where(f"n > {done}").join(labels, "id", "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("label"), F.expr("(xxhash64(id) & 9007199254740991) / 9007199254740992D").alias("u"))
         several = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+        several = saved(several, "several")
         open_ = saved(own.join(several.hint("merge"), "bucket"), "open")
         if not open_.limit(1).count():
             break
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             every = labels.select("id", "label").union(merged.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
             labels = saved(every.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         done, centres = centres, 8 * centres
-    component = classes.select("set_a", "set_b", "id").join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component"))
+    component = saved(classes.select("set_a", "set_b", "id").join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component")), "components")
     key = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_a"))
     result = scanned.select("id", "text_key", "n_shingles", key.alias("set_a"), "set_b").join(component.hint("merge"), ["set_a", "set_b"], "left")
     component_id = F.coalesce("component", "id")
