@@ -33,3 +33,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+_NORMALISED = r"trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+
+QUOTATIONS = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, * FROM conversations),
+l AS (SELECT id, conv_id, turn, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT *, regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM m)),
+p AS (SELECT *, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS mark FROM l),
+q AS (SELECT id, conv_id, turn, i, len(mark) - len(replace(mark, '>', '')) AS level, substr(line, len(mark) + 1) AS body FROM p),
+g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY i) = level THEN 0 ELSE 1 END AS new FROM q)),
+runs AS (SELECT id, conv_id, turn, run, any_value(level) AS level, string_agg(body, ' ' ORDER BY i) AS body, list(body ORDER BY i) AS bodies FROM g GROUP BY id, conv_id, turn, run),
+own AS (SELECT id, conv_id, turn, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text FROM q GROUP BY id, conv_id, turn),
+wrote AS (SELECT conv_id, turn, text AS unit FROM own UNION SELECT conv_id, turn, body FROM runs WHERE level = 0
+          UNION SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n[\x20\x09]*\n')) FROM own UNION SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM own),
+origins AS (SELECT conv_id, {_NORMALISED.format('unit')} AS unit, min(turn) AS origin FROM wrote WHERE turn IS NOT NULL GROUP BY ALL),
+quotes AS (SELECT DISTINCT id, conv_id, turn, level, body, bodies FROM runs WHERE level > 0),
+asked AS (SELECT id, conv_id, turn, level, bodies, 1 AS whole, body AS unit FROM quotes UNION ALL SELECT id, conv_id, turn, level, bodies, 0, unnest(bodies) FROM quotes),
+found AS (SELECT a.*, origin FROM asked a JOIN origins o ON o.conv_id = a.conv_id AND o.unit = {_NORMALISED.format('a.unit')} AND o.unit <> '' AND origin < turn),
+links AS (SELECT id, count(DISTINCT {{'l': level, 'b': bodies}}) AS n_linked, (max({{'w': whole, 'o': origin}}) FILTER (WHERE level = 1)).o AS reply_to FROM found GROUP BY id),
+e AS (SELECT DISTINCT conv_id, turn, reply_to FROM m JOIN links USING (id) WHERE reply_to IS NOT NULL),
+up AS (SELECT conv_id, turn, reply_to AS thread FROM e UNION SELECT up.conv_id, up.turn, e.reply_to FROM up JOIN e ON e.conv_id = up.conv_id AND e.turn = up.thread),
+root AS (SELECT conv_id, turn, min(thread) AS thread FROM up GROUP BY ALL),
+t AS (SELECT m.conv_id, m.turn, m.role, coalesce(n.n, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, reply_to, coalesce(thread, m.turn) AS thread,
+      '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || own.text AS message
+      FROM m JOIN own USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM quotes GROUP BY id) n USING (id) LEFT JOIN links USING (id) LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn)
+SELECT conv_id, turn, role, n_quotes, n_linked, reply_to, thread, (row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, message) - 1)::BIGINT AS position, message FROM t
+"""

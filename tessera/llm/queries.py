@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, neardup, oracles, packing, secrets, substring, topk
+from . import fingerprints, neardup, oracles, packing, quality, quotations, secrets, substring, topk
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -43,15 +47,21 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_substring_dedup,
         op4_secret_scans,
         op5_best_fit_packing,
+        op6_quality_classifier,
         op7_minhash_near_dedup,
         op8_exact_top_k,
         op9_document_fingerprints,
+        op10_quotation_linking,
     )
 }
 
@@ -59,4 +69,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": oracles.SUBSTRING,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_exact_top_k": oracles.TOP_K,
+    "op10_quotation_linking": oracles.QUOTATIONS,
 }

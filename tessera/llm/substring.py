@@ -47,10 +47,10 @@ def anchors(values: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: in
     return at, grams[at], rows[at]
 
 
-def path_labels(values: np.ndarray, at: np.ndarray, grams: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of the paths to the next and from the previous anchor of the same document: both ends and the words between."""
+def path_labels(values: np.ndarray, at: np.ndarray, grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Labels of the paths to the next anchor of the same document: both ends and the words between; END after the last one."""
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     base = odd_constants(12, 1)[0]
     powers = np.cumprod(np.full(len(values) + 1, base, np.uint64))
     inverse = np.cumprod(np.full(len(values) + 1, pow(int(base), -1, 1 << 64), np.uint64))
@@ -58,8 +58,7 @@ def path_labels(values: np.ndarray, at: np.ndarray, grams: np.ndarray, rows: np.
     a, b = at[:-1], at[1:]
     label = mix((sums[b] - sums[a]) * inverse[a] + mix((b - a).astype(np.uint64)))
     label = mix(mix(label + grams[:-1]) * base + grams[1:])
-    label = np.where(rows[:-1] == rows[1:], label, END)
-    return np.append(label, END), np.insert(label, 0, END)
+    return np.append(np.where(rows[:-1] == rows[1:], label, END), END)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,7 +70,7 @@ def _scan(keyed: DataFrame) -> DataFrame:
     """One row per document: id, text_key, n_words, kept_sha256 if nothing goes, and its anchors as parallel lists."""
     prepared = keyed.select("id", "text_key", words_of(F.col("text")).alias("words")).select("id", "text_key", F.sha2(F.array_join("words", " "), 256).alias("sha"), hashed(F.col("words")).alias("hashes"))
     id_type = prepared.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, text_key bigint, sha string, n_words bigint, pos array<int>, kmer array<bigint>, next array<bigint>, prev array<bigint>"
+    schema = f"id {id_type}, text_key bigint, sha string, n_words bigint, pos array<int>, kmer array<bigint>, next array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,11 +78,11 @@ def _scan(keyed: DataFrame) -> DataFrame:
             for a, b in slices(every):
                 part, offsets = values[every[a] : every[b]], every[a : b + 1] - every[a]
                 at, grams, rows = anchors(part, offsets)
-                after, before = path_labels(part, at, grams, rows)
+                after = path_labels(part, at, grams, rows)
                 bounds = pa.array(np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((at - offsets[:-1][rows]).astype(np.int32), grams.view(np.int64), after.view(np.int64), before.view(np.int64))]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ((at - offsets[:-1][rows]).astype(np.int32), grams.view(np.int64), after.view(np.int64))]
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(np.diff(offsets)), *lists], names=["id", "text_key", "sha", "n_words", "pos", "kmer", "next", "prev"])
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(np.diff(offsets)), *lists], names=["id", "text_key", "sha", "n_words", "pos", "kmer", "next"])
 
     return prepared.mapInArrow(run, schema)
 
@@ -156,22 +155,32 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return (a["id"] == b["id"]) & (a["text_key"] == b["text_key"])
 
 
-def repeated_windows(keyed: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(id, text_key, text, run_start, run_length, starts): documents with windows that start in a document with a smaller id."""
+def exact_copies(scanned: DataFrame) -> DataFrame:
+    """(id, text_key, n_words) of documents whose whole word sequence a document with a smaller id has: all their windows repeat."""
+    words = scanned.where(f"id is not null and n_words >= {WINDOW}")
+    firsts = saved(words.groupBy("sha", "n_words").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sha", "n_words", "first"), "originals")
+    return saved(words.select("id", "text_key", "sha", "n_words").join(firsts.hint("merge"), ["sha", "n_words"]).where("id > first").select("id", "text_key", "n_words"), "copies")
+
+
+def repeated_windows(keyed: DataFrame, scanned: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, text_key, text, run_start, run_length, starts): documents, but for exact copies, with windows that start in a document with a smaller id."""
     # Anchors that several documents have; partial sums come before the shuffle, so a common passage is no hot key.
-    each = scanned.where("id is not null").select("id", "text_key", F.explode(F.arrays_zip("pos", "kmer", "next", "prev")).alias("a"))
+    originals = scanned.where("id is not null").join(copies.hint("shuffle_hash"), ["id", "text_key"], "left_anti")
+    before = F.when(F.size("next") > 0, F.concat(F.array(F.lit(int(END.view(np.int64)))), F.slice("next", 1, F.size("next") - 1))).otherwise(F.col("next"))
+    each = originals.select("id", "text_key", F.explode(F.arrays_zip("pos", "kmer", "next", before.alias("prev"))).alias("a"))
     stats = (
         each.groupBy(F.col("a.kmer").alias("kmer"))
         .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("a.next").alias("n0"), F.max("a.next").alias("n1"), F.min("a.prev").alias("p0"), F.max("a.prev").alias("p1"))
         .where("first < last")
         .select("kmer", "first", F.expr("n0 = n1").alias("goes"), F.expr("p0 = p1").alias("comes"))
     )
+    stats = saved(stats, "repeated")  # as a table, so that adaptive execution can split the join below
     places = each.select("id", "text_key", F.col("a.kmer").alias("kmer"), F.col("a.pos").alias("pos"))
-    # Occurrences of a very common anchor may fill a partition; adaptive execution splits it, as one side has one row per anchor.
     flags = places.join(stats.hint("merge"), "kmer").groupBy("id", "text_key").agg(F.collect_set(F.struct("pos", "first", "goes", "comes")).alias("flags"))
     flagged = saved(_windows(keyed.join(flags.hint("shuffle_hash"), ["id", "text_key"])), "windows")
     opened = flagged.select("id", "text_key", F.explode(F.arrays_zip("start", "hash_a", "hash_b")).alias("w")).select("id", "text_key", "w.*")
     firsts = opened.groupBy("hash_a", "hash_b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash_a", "hash_b", "first")
+    firsts = saved(firsts, "firsts")
     late = opened.join(firsts.hint("merge"), ["hash_a", "hash_b"]).where("id > first").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"))
     return flagged.select("id", "text_key", "text", "run_start", "run_length").join(late.hint("shuffle_hash"), ["id", "text_key"], "left").where("size(run_start) > 0 or starts is not null")
 
@@ -198,7 +207,8 @@ def cut(text: str, kept: np.ndarray, spans: list[tuple[int, int]]) -> str:
 
 def removals(keyed: DataFrame, scanned: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document that loses words: id, text_key, n_removed, kept_sha256[, kept_text]."""
-    repeated = repeated_windows(keyed, scanned)
+    copies = exact_copies(scanned)
+    repeated = repeated_windows(keyed, scanned, copies)
     id_type = repeated.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, text_key bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
 
@@ -218,7 +228,8 @@ def removals(keyed: DataFrame, scanned: DataFrame, with_text: bool = False) -> D
             columns = [*batch.columns[:2], pa.array(removed, pa.int64()), pa.array(digests, pa.string())] + [pa.array(texts, pa.string())] * with_text
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
 
-    return repeated.mapInArrow(run, schema).dropDuplicates(["id", "text_key"])
+    whole = copies.select("id", "text_key", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * with_text)
+    return repeated.mapInArrow(run, schema).union(whole).dropDuplicates(["id", "text_key"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
