@@ -59,3 +59,13 @@ t AS (SELECT m.conv_id, m.turn, m.role, coalesce(n.n, 0)::BIGINT AS n_quotes, co
       FROM m JOIN own USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM quotes GROUP BY id) n USING (id) LEFT JOIN links USING (id) LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn)
 SELECT conv_id, turn, role, n_quotes, n_linked, reply_to, thread, (row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn, role, message) - 1)::BIGINT AS position, message FROM t
 """
+
+WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, upper(sha1(html)) AS hex, max(page_id) OVER (PARTITION BY html) AS response FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || hex[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::INTEGER >> ((3 - i % 4) * 5)::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to, url
+FROM d
+"""

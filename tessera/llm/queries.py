@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, neardup, oracles, packing, quality, quotations, secrets, substring, topk
+from . import fingerprints, neardup, oracles, packing, quality, quotations, secrets, sentencepieces, substring, topk, warc
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,10 +18,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_warc_index,
         op2_substring_dedup,
+        op3_sentencepiece_round_trip,
         op4_secret_scans,
         op5_best_fit_packing,
         op6_quality_classifier,
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": oracles.WARC,
     "op2_substring_dedup": oracles.SUBSTRING,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_exact_top_k": oracles.TOP_K,
