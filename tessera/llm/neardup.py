@@ -21,8 +21,8 @@ from .common import ascii_lower, gram_hashes, hashed, list_array, mix, odd_const
 from .graph import connected_components
 
 SHINGLE = 5
-#: A pair with a similarity of 0.75 shares a bucket with a probability of 1 - (1 - 0.75 ** ROWS) ** BANDS, or 0.999999.
-BANDS, ROWS = 50, 5
+#: A pair with a similarity of 0.75 shares a bucket with a probability of 1 - (1 - 0.75 ** ROWS) ** BANDS, or 0.99998, one of 0.27 with 0.008.
+BANDS, ROWS = 75, 7
 PERCENT = 75
 #: Centres in a bucket's second pass; each further pass has eight times as many.
 CENTRES = 64
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _keyed(docs, id_col, text_col)
     scanned = saved(_scan(keyed, bands, rows), "signatures")
     real = scanned.where("id is not null and n_shingles > 0")
-    classes = saved(real.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")), "classes")
+    classes = saved(real.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands")), "classes")
     members = classes.select("id", F.explode("bands").alias("bucket"))
     buckets = saved(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1"), "centres")
     shared = saved(members.join(buckets.hint("merge"), "bucket"), "buckets")
@@ -142,11 +142,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = shared.where(f"n > {done}").join(labels, "id", "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("label"), F.expr("(xxhash64(id) & 9007199254740991) / 9007199254740992D").alias("u"))
         several = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
         several = saved(several, "several")
-        open_ = saved(own.join(several.hint("merge"), "bucket"), "open")
+        open_ = saved(own.join(several.hint("merge"), "bucket").join(classes.select("id", "size"), "id"), "open")
         if not open_.limit(1).count():
             break
-        centre = open_.where(f"u * n >= {done} and u * n < {centres}").select("bucket", F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("u").alias("c_u"))
-        pairs = open_.join(centre, "bucket").where("label <> c_label and (u > c_u or u = c_u and id > c)")
+        centre = open_.where(f"u * n >= {done} and u * n < {centres}").select("bucket", F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("u").alias("c_u"), F.col("size").alias("c_size"))
+        near = f"label <> c_label and (u > c_u or u = c_u and id > c) and least(size, c_size) * 100 >= greatest(size, c_size) * {percent}"
+        pairs = open_.join(centre, "bucket").where(near)
         pairs = pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
         found = saved(confirmed(pairs, sets, percent), "links")
         if found.limit(1).count():

@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import oracles, queries
+
+NAMES = (
+    "line_section_counts", "separator_profile", "ordered_distinct_tokens", "sentinel_coalesce", "amount_mentions", "url_normalise", "html_titles", "fetched_page_status",
+    "query_variants", "quality_score", "penalty_score", "keyword_cut", "anti_fill_others", "line_islands", "gap_threshold", "top_line_per_document", "merge_by_conversation",
+    "match_rates", "exact_matches", "fuzzy_matches", "section_walk", "sectioned_documents", "line_clusters", "word_boxes", "box_overlaps", "suppressed_boxes",
+    "two_source_merge", "override_merge", "lenient_json", "catalogue_items", "request_images", "inline_segments", "payload_projection", "matching_keys",
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(queries, n) for n in NAMES}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return queries.line_section_counts(spark, sf_dir)
