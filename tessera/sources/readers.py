@@ -26,7 +26,7 @@ def requests(bodies: DataFrame) -> DataFrame:
     v = F.try_parse_json("body")
     one = F.try_variant_get(v, "$.image_url", "string")
     many = F.try_variant_get(v, "$.image_url", "array<string>")
-    urls = F.filter(F.transform(F.coalesce(many, F.array(one)), F.trim), lambda x: x != "")
+    urls = F.filter(F.transform(F.coalesce(many, F.array(one)), lambda x: F.trim(x)), lambda x: x != "")
     told = bodies.withColumns({"user_id": F.try_variant_get(v, "$.user_id", "string"), "image_urls": F.coalesce(urls, F.array().cast("array<string>"))})
     return told.withColumn("error", F.when(v.isNull(), "not JSON").when(F.size("image_urls") == 0, "no image_url"))
 
