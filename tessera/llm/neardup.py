@@ -2,9 +2,8 @@
 
 Documents with the same shingle set form one class, and only classes are compared. In each bucket the class with the
 smallest id is the centre, and only pairs with it are candidates, so a bucket of n classes gives n - 1 pairs. Candidates
-are confirmed on full sets. A star can miss a link between two members that are both unlike the centre, so buckets
-that still hold several components are gone through again with further centres, until each is one component or all of
-its pairs across components have been compared; no bucket is capped.
+are confirmed on full sets. A star can miss a link between two members that are both unlike the centre, so the members of
+buckets that still hold several components go through an exact prefix join over their shingles; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ SHINGLE = 5
 #: A pair with a similarity of 0.75 shares a bucket with a probability of 1 - (1 - 0.75 ** ROWS) ** BANDS, or 0.99998, one of 0.27 with 0.008.
 BANDS, ROWS = 75, 7
 PERCENT = 75
-#: Centres in a bucket's second pass; each further pass has eight times as many.
-CENTRES = 64
 
 
 def shingle_sets(values: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -118,6 +115,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.withColumn("common", shared).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of members (id, label) with different labels that can be similar enough; no such pair is left out.
+
+    Shingles are put in one order for all sets: first those that a single label has, then rare ones before common ones.
+    Similar sets of n and m shingles share so many that the first shared one must come early in both: with p and q
+    shingles before it, min(n - p, m - q) is at least percent / (100 + percent) of n + m. So pairs come from a join
+    on early shingles under that condition. Rows of a shingle's largest component meet only those of the others.
+    """
+    weights = members.groupBy("label").agg(F.count("*").alias("weight"))
+    each = saved(members.join(weights, "label").join(sets, "id").select("id", "label", "weight", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    common = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "f")
+    met = each.join(saved(common, "common").hint("merge"), "shingle")
+    ordered = met.groupBy("id").agg(F.any_value("label").alias("label"), F.any_value("weight").alias("weight"), F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    early = ordered.select("id", "label", "weight", "n", F.posexplode(F.expr(f"slice(s, 1, greatest(0, size(s) - cast(ceil(n * {percent} / 100) as int) + 1))")).alias("p", "s"), F.size("s").alias("_met"))
+    early = saved(early.select(F.col("s.shingle").alias("shingle"), "id", "label", "weight", "n", F.expr("_met - p").alias("rest")), "early")
+    mains = early.groupBy("shingle").agg(F.max(F.struct("weight", "label")).getField("label").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "main")
+    rows = saved(early.join(saved(mains, "mains").hint("merge"), "shingle"), "early")
+    other = rows.where("label <> main").select("shingle", F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("rest").alias("c_rest"))
+    able = f"label <> c_label and (label = main or id > c) and least(rest, c_rest) * {100 + percent} >= (n + c_n) * {percent}"
+    return rows.join(other, "shingle").where(able).select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, with_key: bool = False) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -136,27 +155,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = saved(_sets(keyed.join(needed.hint("shuffle_hash"), "id").select("id", "text", "text_key").dropDuplicates(["id", "text_key"]).select("id", "text")), "sets")
     pairs = shared.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     labels = connected_components(saved(confirmed(pairs, sets, percent), "links"))
-    done, centres = 0, CENTRES
-    while True:
-        # Buckets that hold several components and pairs that have not been compared yet.
-        own = shared.where(f"n > {done}").join(labels, "id", "left").select("id", "bucket", "n", F.coalesce("label", "id").alias("label"), F.expr("(xxhash64(id) & 9007199254740991) / 9007199254740992D").alias("u"))
-        several = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        several = saved(several, "several")
-        open_ = saved(own.join(several.hint("merge"), "bucket").join(classes.select("id", "size"), "id"), "open")
-        if not open_.limit(1).count():
-            break
-        centre = open_.where(f"u * n >= {done} and u * n < {centres}").select("bucket", F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("u").alias("c_u"), F.col("size").alias("c_size"))
-        near = f"label <> c_label and (u > c_u or u = c_u and id > c) and least(size, c_size) * 100 >= greatest(size, c_size) * {percent}"
-        pairs = open_.join(centre, "bucket").where(near)
-        pairs = pairs.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
-        found = saved(confirmed(pairs, sets, percent), "links")
-        if found.limit(1).count():
-            a = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
-            b = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-            merged = connected_components(found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-            every = labels.select("id", "label").union(merged.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
-            labels = saved(every.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-        done, centres = centres, 8 * centres
+    # What stars may have missed: links between components that meet in a bucket.
+    own = shared.join(labels, "id", "left").select("id", "bucket", F.coalesce("label", "id").alias("label"))
+    several = saved(own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket"), "several")
+    open_ = saved(own.join(several.hint("merge"), "bucket").select("id", "label").distinct(), "open")
+    found = saved(confirmed(prefix_pairs(open_, sets, percent), sets, percent), "links")
+    if found.limit(1).count():
+        a = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+        b = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        merged = connected_components(found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+        every = labels.select("id", "label").union(merged.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+        labels = saved(every.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
     component = saved(classes.select("set_a", "set_b", "id").join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component")), "components")
     key = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_a"))
     result = scanned.select("id", "text_key", "n_shingles", key.alias("set_a"), "set_b").join(component.hint("merge"), ["set_a", "set_b"], "left")

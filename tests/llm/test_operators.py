@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, round trips and held-out labels; odd rows included."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -69,9 +70,11 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("centres", [64, 1])
-def test_near_duplicates(spark, monkeypatch, centres):
-    monkeypatch.setattr(neardup, "CENTRES", centres)  # 1: further passes are needed
+@pytest.mark.parametrize("several", [False, True])
+def test_near_duplicates(spark, monkeypatch, several):
+    if several:  # stars find nothing, so the prefix join has to find every link
+        real, turn = neardup.confirmed, itertools.cycle([True, False])
+        monkeypatch.setattr(neardup, "confirmed", lambda pairs, *a: real(pairs.limit(0) if next(turn) else pairs, *a))
     rows = corpus()
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in rows if d is not None}
@@ -92,6 +95,24 @@ def test_near_duplicates(spark, monkeypatch, centres):
     assert neardup.one_of_each(frame(spark, rows)).count() == sum(r[3] for r in want)
 
 
+@pytest.mark.parametrize("labels", [1, 3, 200])
+def test_prefix_pairs_leave_no_link_out(spark, labels):
+    """labels: into how many components the sets fall; 200: each set is one."""
+    r = np.random.default_rng(labels)
+    bases = [r.choice(5000, n, replace=False) for n in (1, 2, 7, 40, 40, 150)]
+    sets = {}
+    for i in range(200):
+        own = set(bases[i % 6].tolist())
+        gone, new = r.random(len(own)) < r.random() * 0.3, int(len(own) * r.random() * 0.3)
+        sets[i] = sorted({x for x, g in zip(sorted(own), gone) if not g} | set(r.choice(200, new).tolist())) or [9999]
+    label = {i: i % labels for i in sets}
+    want = {(a, b) for a in sets for b in sets if a > b and label[a] != label[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    stored = spark.createDataFrame(list(sets.items()), "id bigint, shingles array<bigint>")
+    pairs = neardup.prefix_pairs(spark.createDataFrame(list(label.items()), "id bigint, label bigint"), stored)
+    assert {tuple(x) for x in neardup.confirmed(pairs, stored).collect()} == want
+    assert bool(want) == (labels > 1)
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(1)
     for n in (8, 200, 3000):
