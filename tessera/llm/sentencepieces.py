@@ -41,7 +41,6 @@ class Pieces:
             raise ValueError("only models without normalisation are handled")
         self.merges = model.trainer_spec.model_type == model.trainer_spec.BPE
         self.prefix = MARK if model.normalizer_spec.add_dummy_prefix else ""
-        kinds = {p.piece: p.type for p in model.pieces}
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == p.NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(p.type == p.USER_DEFINED for p in model.pieces):
             raise ValueError("pieces that cross words are not handled")
@@ -49,19 +48,24 @@ class Pieces:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == p.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == p.UNKNOWN)
         self.told = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else " ⁇ ".encode() if p.type == p.UNKNOWN else b"" if p.type == p.CONTROL else p.piece.encode() for p in model.pieces]
-        self.longest = max(map(len, kinds))
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.packed: dict[str, bytes] = {}
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_COST
         self.apart: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The symbols of a short text after all merges: best score first, then leftmost."""
-        symbols = list(text)
+        symbols, scores = list(text), self.scores
         while len(symbols) > 1:
-            score, at = max(((self.scores.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(symbols, symbols[1:]))))
-            if score == -np.inf:
+            best, at = None, -1
+            for i in range(len(symbols) - 1):
+                score = scores.get(symbols[i] + symbols[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
                 break
-            symbols[-at : 2 - at] = ["".join(symbols[-at : 2 - at])]
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
     def allowed(self, before: str, piece: str) -> bool:
@@ -78,6 +82,7 @@ class Pieces:
         last: list[str] = [""]  # last[i]: the last piece of the best path over the first i characters
         total = [0.0]
         previous = ""
+        ids, tails, apart, merges = self.ids, self.tails, self.apart, self.merges
         for word in words:
             shared = 0
             most = min(len(word), len(previous))
@@ -88,13 +93,19 @@ class Pieces:
                     shared += 1
             del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                # Pieces that end here, by length; longer ones end with shorter tails of pieces.
+                start = end - 1
+                found = [start]
+                while start and word[start - 1 : end] in tails:
+                    start -= 1
+                    if word[start:end] in ids:
+                        found.append(start)
                 best, score = word[end - 1], -np.inf
-                for start in range(max(0, end - self.longest), end):
+                for start in reversed(found):
                     piece = word[start:end]
-                    if piece not in self.ids and end - start > 1:
-                        continue
-                    if self.merges:
-                        if self.allowed(last[start], piece):
+                    if merges:
+                        able = apart.get((last[start], piece))
+                        if self.allowed(last[start], piece) if able is None else able:
                             best = piece
                             break
                     elif (own := total[start] + self.scores.get(piece, self.worst)) > score:
@@ -107,11 +118,16 @@ class Pieces:
                 end -= len(last[end])
             yield word, path[::-1]
 
-    def numbers(self, piece: str) -> list[int]:
-        own = self.ids.get(piece)
-        if own is not None:
-            return [own]
-        return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+    def numbers(self, piece: str) -> bytes:
+        """The ids of a piece, packed: its own, or those of its bytes, or the unknown one."""
+        found = self.packed.get(piece)
+        if found is None:
+            own = self.ids.get(piece)
+            ids = [own] if own is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+            found = np.array(ids, "<u4").tobytes()
+            if own is not None:
+                self.packed[piece] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
@@ -120,7 +136,7 @@ class Pieces:
         if len(distinct - self.known.keys()) + len(self.known) > CACHE_WORDS:
             self.known.clear()
         for word, path in self.walk(sorted(distinct - self.known.keys())):
-            self.known[word] = np.array([i for p in path for i in self.numbers(p)], "<u4").tobytes()
+            self.known[word] = b"".join(map(self.numbers, path))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in lists]
         for word in distinct:
             if len(word) > CACHE_CHARS:
