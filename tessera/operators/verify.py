@@ -74,37 +74,67 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 for equal names; else the ratio of their keys, more if one holds the other, less the more their lengths differ; three decimals."""
-    x, y = search_hint(clean_query(a)), search_hint(clean_query(b))
-    kx, ky = compact_query(x), compact_query(y)
+def key_similarity(kx: Column, ky: Column) -> Column:
+    """The ratio of two keys, more if one holds the other, less the more their lengths differ; three decimals."""
     inside = F.when(F.contains(ky, kx) | F.contains(kx, ky), 0.10).otherwise(0.0)
     far = F.abs(F.length(kx) - F.length(ky))
     factor = F.when(far >= 10, 0.78).when(far >= 8, 0.84).when(far >= 5, 0.90).otherwise(1.0)
-    score = F.bround(F.least((sequence_ratio(kx, ky) + inside) * factor, F.lit(1.0)), 3)
-    return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).when((x == y) | (kx == ky), 1.0).otherwise(score)
+    return F.bround(F.least((sequence_ratio(kx, ky) + inside) * factor, F.lit(1.0)), 3)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 for equal names; else the similarity of their keys."""
+    x, y = search_hint(clean_query(a)), search_hint(clean_query(b))
+    kx, ky = compact_query(x), compact_query(y)
+    return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).when((x == y) | (kx == ky), 1.0).otherwise(key_similarity(kx, ky))
+
+
+def character_tokens(key: Column) -> Column:
+    """Each character with the number of its occurrence: two keys share as many tokens as characters, counted singly."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(1)))
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+
+def near_keys(asked: DataFrame, items: DataFrame, ratio: float) -> DataFrame:
+    """Pairs of asked (_qk) and items (_ik, item_pos) whose keys can have a ratio of at least `ratio` (above 0); none is left out.
+
+    Matched characters never exceed the shared ones, so a ratio is at most 2 * shared / (a + b). As a key of n characters must
+    share at least ratio / (2 - ratio) * n, the first shared token, in one order for all keys, rare ones first, comes early in
+    both. So pairs come from a join on early tokens, each pair at its first shared token only.
+    """
+    each = items.select("_ik", F.explode(character_tokens(F.col("_ik"))).alias("_t"))
+    common = each.groupBy("_t").agg(F.count("*").alias("_f"))
+
+    def early(keys: DataFrame, key: str, sorted_: str, *others: str) -> DataFrame:
+        tokens = keys.select(key, *others, F.explode(character_tokens(F.col(key))).alias("_t")).join(common, "_t", "left")
+        ordered = tokens.groupBy(key, *others).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_t"))).alias("_s"))
+        ordered = ordered.select(key, *others, F.transform("_s", lambda x: x["_t"]).alias(sorted_))
+        n = F.size(sorted_)
+        return ordered.withColumn("_t", F.explode(F.slice(F.col(sorted_), F.lit(1), n - F.ceil(n * (ratio / (2 - ratio)) - 1e-9).cast("int") + 1)))
+
+    met = early(asked, "_qk", "_qs").join(early(items, "_ik", "_is", "item_pos"), "_t").withColumn("_both", F.array_intersect("_qs", "_is"))
+    able = (F.get("_both", F.lit(0)) == F.col("_t")) & (2 * F.size("_both") >= (F.size("_qs") + F.size("_is")) * ratio - 1e-9)
+    return met.where(able).select("_qk", "_ik", "item_pos")
 
 
 def best_matches(queries: DataFrame, catalogue: DataFrame, rules: RuleSet = LABELS, names: tuple[str, ...] = ("kor_name", "eng_name", "alias")) -> DataFrame:
     """(query, matched, item_pos, score): for each distinct query the best item of the catalogue, the first of equals.
 
-    Exact keys are joined first; the others meet the names of a similar length only. A ratio of 2m / (a + b) with m at most the
-    shorter length cannot reach the threshold, with the bonus, outside of those lengths, so nothing is lost, and equal lengths
-    are an equi-join that Spark can shuffle: no cross join, whatever the sizes.
+    A score follows from the keys alone, so distinct keys are compared, each item key standing for its first item. Equal keys
+    are joined first; the others meet those that can reach the threshold, with the bonus: no match is lost, and no cross join.
     """
     item = catalogue.select("item_pos", F.explode(F.array_distinct(F.array(*names))).alias("item_name")).where("item_name is not null and item_name <> ''")
-    item = item.withColumn("_ik", compact_query(search_hint(clean_query(F.col("item_name"))))).where("_ik <> ''")
+    item = item.groupBy("item_name").agg(F.min("item_pos").alias("item_pos")).withColumn("_ik", compact_query(search_hint(clean_query(F.col("item_name"))))).where("_ik <> ''")
+    item = item.groupBy("_ik").agg(F.min("item_pos").alias("item_pos"))
     asked = queries.select("query").where("query is not null and query <> ''").distinct().withColumn("_qk", compact_query(search_hint(clean_query(F.col("query"))))).where("_qk <> ''")
-    exact = asked.join(item, F.col("_qk") == F.col("_ik")).select("query", "item_pos", F.lit(1.0).alias("score"))
-    rest = asked.join(exact.select("query").distinct(), "query", "left_anti")
-    # score <= 2 min / (a + b) + 0.10 >= match  =>  min >= f * max, f = (match - 0.10) / (2 - (match - 0.10))
-    least = rules.match - 0.10 - 0.0005  # scores are rounded to three decimals
-    f = least / (2 - least)
-    lengths = F.sequence(F.ceil(F.length("_qk") * f).cast("int"), F.floor(F.length("_qk") / f).cast("int"))
-    near = rest.withColumn("_len", F.explode(lengths)).join(item.withColumn("_len", F.length("_ik")), "_len")
-    fuzzy = near.select("query", "item_pos", similarity(F.col("query"), F.col("item_name")).alias("score"))
-    best = exact.unionByName(fuzzy).groupBy("query").agg(F.max(F.struct("score", (-F.col("item_pos")).alias("p"))).alias("b"))
-    return best.select("query", (F.col("b.score") >= rules.match).alias("matched"), (-F.col("b.p")).alias("item_pos"), F.col("b.score").alias("score"))
+    keys = asked.select("_qk").distinct()
+    exact = keys.join(item, F.col("_qk") == F.col("_ik")).select("_qk", "item_pos", F.lit(1.0).alias("score"))
+    rest = keys.join(item, F.col("_qk") == F.col("_ik"), "left_anti")
+    # score <= ratio + 0.10, and scores are rounded to three decimals
+    near = near_keys(rest, item, rules.match - 0.10 - 0.0005)
+    fuzzy = near.select("_qk", "item_pos", key_similarity(F.col("_qk"), F.col("_ik")).alias("score"))
+    best = exact.unionByName(fuzzy).groupBy("_qk").agg(F.max(F.struct("score", (-F.col("item_pos")).alias("p"))).alias("b"))
+    return asked.join(best, "_qk").select("query", (F.col("b.score") >= rules.match).alias("matched"), (-F.col("b.p")).alias("item_pos"), F.col("b.score").alias("score"))
 
 
 def match_candidates(candidates: DataFrame, catalogue: DataFrame, by: str, rules: RuleSet = LABELS) -> DataFrame:
