@@ -12,7 +12,7 @@ NAMES = (
     "line_section_counts", "separator_profile", "ordered_distinct_tokens", "sentinel_coalesce", "amount_mentions", "url_normalise", "html_titles", "fetched_page_status",
     "query_variants", "quality_score", "penalty_score", "keyword_cut", "anti_fill_others", "line_islands", "gap_threshold", "top_line_per_document", "merge_by_conversation",
     "match_rates", "exact_matches", "fuzzy_matches", "section_walk", "sectioned_documents", "line_clusters", "word_boxes", "box_overlaps", "suppressed_boxes",
-    "two_source_merge", "override_merge", "lenient_json", "catalogue_items", "request_images", "inline_segments", "payload_projection", "matching_keys",
+    "two_source_merge", "override_merge", "lenient_json", "catalogue_items", "request_images", "inline_segments", "payload_projection", "matching_keys", "line_keys",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(queries, n) for n in NAMES}

@@ -164,5 +164,6 @@ SQL = {
     "payload_projection": f"""SELECT o_orderkey::VARCHAR AS user_id, CASE WHEN {KNOWN.format('o_orderpriority')} THEN trim(o_orderpriority) ELSE '{UNKNOWN}' END AS product_name, coalesce(verified, 0) AS ingredient_verified_count, coalesce(total, 0) AS ingredient_total_count,
         coalesce(status, 'no_candidates') AS ingredient_api_status FROM orders LEFT JOIN ({_RATES}) r ON l_orderkey = o_orderkey""",
     "matching_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT line) AS n_lines FROM (SELECT lang, string_split(text, chr(10))[1] AS line FROM documents) GROUP BY lang",
+    "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
 }
 __all__ = ["SQL", "INVALID_CANDIDATES"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import clean_list, compact, distinct_rows, first_known, value_or_unknown
+from ..functions.arrays import clean_list, compact, distinct_rows, first_known, spaceless, value_or_unknown
 from ..functions.predicates import Line, separator_count, split_tokens
 from ..functions.text import clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
 from ..operators import boxes, layout, merge, routing, sections, verify
@@ -261,6 +261,15 @@ def payload_projection(spark, sf_dir):
 
 
 def matching_keys(spark, sf_dir):
-    """Distinct matching keys of the documents' first lines."""
+    """Distinct matching keys of the documents' first lines only, as its SQL has it; line_keys has all lines."""
     first = table(spark, sf_dir, "documents").select("lang", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
     return first.groupBy("lang").agg(F.countDistinct(compact(F.col("line"))).alias("n_keys"), F.countDistinct("line").alias("n_lines"))
+
+
+def line_keys(spark, sf_dir):
+    """Distinct matching keys of all lines of the documents, with and without punctuation."""
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).distinct()
+    kinds = {"n_keys": compact(F.col("line")), "n_spaceless": spaceless(F.col("line")), "n_lines": F.col("line")}
+    each = lines.select("lang", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds.items()))).alias("x"))
+    keys = each.select("lang", "x.kind", "x.key").distinct()
+    return keys.groupBy("lang").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
