@@ -2,14 +2,16 @@
 
 A k-mer of K code points is an anchor if the least of its inner S-mers lies at either edge. That depends on
 the k-mer alone, so an edit changes no anchor outside of it, and the anchors of a spliced text are those of its pieces
-and of the seam. A fingerprint is the SKETCH smallest distinct anchor hashes; the likeness of two fingerprints
-estimates the share of anchors that both texts have, and is exact for short texts.
+and of the seam. A fingerprint covers all anchors with their positions by a digest, whatever the length of the text, and
+lists the SKETCH smallest hashes besides. The likeness of two texts comes from all anchors, matched in order of position.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,23 @@ def spliced(own: tuple[np.ndarray, np.ndarray], kept: int, other: tuple[np.ndarr
     return np.concatenate([own[0][inside], seam_at + a, other[0][after] + kept]), np.concatenate([own[1][inside], seam, other[1][after]])
 
 
-def sketch(hashes: np.ndarray, points: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The smallest distinct hashes; a text too short for an anchor has one hash of all of it, an empty one none."""
-    if not len(hashes):
-        return mix(gram_hashes(points.astype(np.uint64), len(points), 32)) if len(points) else np.zeros(0, np.uint64)
+class Marks(NamedTuple):
+    """All anchors of a text in order: positions, hashes, and how many characters each covers."""
+
+    at: np.ndarray
+    hashes: np.ndarray
+    span: int
+
+
+def sketch(hashes: np.ndarray, points: np.ndarray, at: np.ndarray | None = None) -> Marks:
+    """All anchors with their positions; a text too short for an anchor has one hash of all of it, an empty one none."""
+    if len(hashes):
+        return Marks(anchors(points)[0] if at is None else at, hashes, K)
+    whole = mix(gram_hashes(points.astype(np.uint64), len(points), 32)) if len(points) else np.zeros(0, np.uint64)
+    return Marks(np.zeros(len(whole), np.int64), whole, len(points))
+
+
+def smallest(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
     if len(hashes) > 16 * size:  # enough to sort the smallest only
         low = np.unique(hashes[hashes < np.partition(hashes, 8 * size)[8 * size]])
         if len(low) >= size:
@@ -61,16 +76,66 @@ def sketch(hashes: np.ndarray, points: np.ndarray, size: int = SKETCH) -> np.nda
     return np.unique(hashes)[:size]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Of the smallest hashes of both sketches together, the share that both hold; two empty ones are alike, an empty one and another are not."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:size]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
-
-
-def as_string(values: np.ndarray) -> str:
-    return values.astype(">u8").tobytes().hex()
+def pairs_of_equals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of equal hashes, ascending in a: the n-th occurrence of a hash in a with its n-th in b."""
+    by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    (in_a, start_a, many_a), (in_b, start_b, many_b) = (np.unique(x[by], return_index=True, return_counts=True) for x, by in ((a, by_a), (b, by_b)))
+    _, i, j = np.intersect1d(in_a, in_b, assume_unique=True, return_indices=True)
+    n = np.minimum(many_a[i], many_b[j])
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    one, two = by_a[np.repeat(start_a[i], n) + step], by_b[np.repeat(start_b[j], n) + step]
+    order = np.argsort(one)
+    return one[order], two[order]
+
+
+def rising(values: np.ndarray) -> np.ndarray:
+    """Indices of a longest rising subsequence."""
+    if (np.diff(values) > 0).all():
+        return np.arange(len(values))
+    ends, ends_at, before = [], [], []
+    for i, v in enumerate(values.tolist()):
+        n = bisect_left(ends, v)
+        before.append(ends_at[n - 1] if n else -1)
+        ends[n : n + 1], ends_at[n : n + 1] = [v], [i]
+    out, i = [], ends_at[-1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], np.int64)
+
+
+def collinear(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of equal hashes that rise in both: the common start and end, and a longest chain of pairs in between."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n + head :][::-1] != b[len(b) - n + head :][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    i, j = pairs_of_equals(a[head : len(a) - tail], b[head : len(b) - tail])
+    chain = rising(j)
+    first, last = np.arange(head), np.arange(-tail, 0)
+    return np.concatenate([first, i[chain] + head, last + len(a)]), np.concatenate([first, j[chain] + head, last + len(b)])
+
+
+def covered(at: np.ndarray, span: int) -> int:
+    """Characters that lie in any of the anchors at these ascending positions."""
+    return int(np.minimum(np.diff(at), span).sum()) + span if len(at) else 0
+
+
+def likeness(a: Marks, b: Marks) -> float:
+    """Of the characters of both texts that anchors cover, the share under collinear matches; two empty texts are alike, an empty one and another are not."""
+    if not len(a.hashes) or not len(b.hashes):
+        return float(len(a.hashes) == len(b.hashes))
+    i, j = collinear(a.hashes, b.hashes)
+    return (covered(a.at[i], a.span) + covered(b.at[j], b.span)) / (covered(a.at, a.span) + covered(b.at, b.span))
+
+
+def as_string(marks: Marks) -> str:
+    """SHA-256 of all anchors and their positions, then the SKETCH smallest distinct hashes for estimates between any two."""
+    if not len(marks.hashes):
+        return ""
+    digest = hashlib.sha256(marks.hashes.astype(">u8").tobytes() + marks.at.astype(">i8").tobytes()).hexdigest()
+    return digest + smallest(marks.hashes).astype(">u8").tobytes().hex()
 
 
 def with_neighbours(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +184,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def measured(text: str) -> tuple:
         points = code_points(text)
         found = anchors(points)
-        return text, points, found, sketch(found[1], points)
+        return text, points, found, sketch(found[1], points, found[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its next one: id and what is measured
@@ -131,7 +196,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept = len(points) - len(points) // 4
             edited = spliced(found, kept, other_found, taken, points, other_points)
             edited_points = np.concatenate([points[:kept], other_points[:taken]])
-            changed = sketch(edited[1], edited_points)
+            changed = sketch(edited[1], edited_points, edited[0])
             digest = hashlib.sha256((text[:kept] + after[0][:taken]).encode("utf-8", "surrogatepass")).hexdigest()
             return doc, len(points), digest, as_string(mine), as_string(changed), likeness(mine, changed), likeness(mine, others)
 
