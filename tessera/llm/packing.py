@@ -11,21 +11,18 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, odd_constants, saved, slices
+from .common import saved, slices, utf8
+from .wordtable import MOST_BYTES, WordTable
 
 SIZE = 2048
 #: Rows of one length are ranked in so many parts, so that no length is sorted in one task.
 RANK_PARTS = 256
-#: Words that a Python worker remembers with their ids, and the bytes of texts that it handles at once.
-CACHE_WORDS, MOST_BYTES = 800_000, 1 << 21
 
 #: Bytes that are white space alone or, in UTF-8, begin it; space and line feed are told apart by their neighbours.
 ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
@@ -105,7 +102,7 @@ class WordEncoder:
 
     A space or line feed that stands alone between visible characters always begins a new word of a byte-level
     tokenizer, so the ids of such a text are those of its words: equal words of a batch are found by the hashes of
-    their bytes and encoded once. Texts with other white space, or special tokens, are encoded whole. Encoding is done
+    their bytes, compared, and encoded once. Texts with other white space, or special tokens, are encoded whole. Encoding is done
     from the same file by tiktoken, which is quicker on short strings, if both libraries agree on SAMPLE; else by tokenizers.
     """
 
@@ -126,17 +123,7 @@ class WordEncoder:
                 self.quick = None
         except Exception:  # not a byte-level vocabulary
             self.quick = None
-        base = odd_constants(5, 1)[0]
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(MOST_BYTES + 1, base, np.uint64))
-            self.inverse = np.cumprod(np.full(MOST_BYTES + 1, pow(int(base), -1, 1 << 64), np.uint64))
-        self.letters = odd_constants(6, 256)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        self.table = WordTable(lambda words: list(map(self.ids_of, words)))
 
     def ids_of(self, data: bytes) -> list[int]:
         if self.quick is None or any(s in data for s in self.special):
@@ -163,39 +150,16 @@ class WordEncoder:
         return set((np.searchsorted(offsets, np.concatenate(where), "right") - 1).tolist())
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each row of a batch, given the rows' bytes (at most MOST_BYTES, or a row alone) and offsets from 0."""
+        """Ids of each row of a batch, given the rows' bytes and offsets from 0."""
         rows = len(offsets) - 1
-        if self.quick is None or len(data) > MOST_BYTES:
+        if self.quick is None:
             return [np.array(self.ids_of(data[a:b].tobytes()), "<u4") for a, b in zip(offsets, offsets[1:])]
         breaks = (data == 32) | (data == 10)
         odd = self.odd_rows(data, offsets, breaks)
         breaks[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(breaks)
-        ends = np.append(starts[1:], len(data))
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letters[data] * self.powers[: len(data)])])
-            hashes = mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
-        codes, distinct = pd.factorize(hashes)
-        first = np.empty(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        keys = distinct.tolist()
-        index = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            lists = [self.ids_of(data[a:b].tobytes()) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            index[new] = len(self.size) + np.arange(len(new))
-            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))])
-            self.known.update(zip((keys[i] for i in new.tolist()), index[new].tolist()))
-        word = index[codes]
-        size = self.size[word]
-        after = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[word] - after + size, size) + np.arange(after[-1] if len(after) else 0)]
-        bounds = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
+        ids, many = self.table.values(data, starts)
+        bounds = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(starts, offsets)]
         return [np.array(self.ids_of(data[offsets[i] : offsets[i + 1]].tobytes()), "<u4") if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(rows)]
 
 
@@ -208,15 +172,6 @@ def word_encoder(path: str) -> WordEncoder:
     return _tokenizers[path]
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets, from 0, of a column of strings; a null counts as empty."""
-    column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document's ids and end_id: (id, piece, start, length, ids_crc32[, ids]).
 

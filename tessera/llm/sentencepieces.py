@@ -12,25 +12,34 @@ own, and the one allowed path is the encoding. It is the forward table's entry,
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import list_array, slices, utf8
+from .wordtable import WordTable, spread
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that a Python worker remembers, the longest of them, and the characters of texts handled at once.
-CACHE_WORDS, CACHE_CHARS, BATCH_CHARS = 300_000, 64, 1 << 21
+MARK_BYTES = np.frombuffer(MARK.encode(), np.uint8)
+#: Pairs of pieces whose neighbourhood a Python worker remembers, and the bytes of texts handled at once.
+MOST_PAIRS, BATCH_BYTES = 1_000_000, 1 << 21
 #: What an unknown character costs below the worst piece in a unigram model.
 UNKNOWN_COST = 10.0
+#: Numbers of unknown characters, after those of all pieces, are below this.
+NUMBERS = 1 << 21
 
 
 class Pieces:
-    """The vocabulary of a model file and the encoder over it."""
+    """The vocabulary of a model file and the encoder over it.
+
+    Pieces are numbered by their ids, and an unknown character by the size of the vocabulary and its code point.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -45,14 +54,22 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(p.type == p.USER_DEFINED for p in model.pieces):
             raise ValueError("pieces that cross words are not handled")
         self.scores = {p.piece: p.score for p in model.pieces if p.type == p.NORMAL}
+        self.pieces = [p.piece for p in model.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == p.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == p.UNKNOWN)
-        self.told = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else " ⁇ ".encode() if p.type == p.UNKNOWN else b"" if p.type == p.CONTROL else p.piece.encode() for p in model.pieces]
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
-        self.packed: dict[str, bytes] = {}
+        told = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else " ⁇ ".encode() if p.type == p.UNKNOWN else b"" if p.type == p.CONTROL else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+        self.told, self.told_size = np.frombuffer(b"".join(told), np.uint8), np.array([len(t) for t in told], np.int64)
+        self.told_at = np.cumsum(self.told_size) - self.told_size
+        # A trie of the pieces read backwards: children by character, and under "" the number of the piece that ends there.
+        self.backward: dict = {}
+        for piece, number in self.ids.items():
+            node = self.backward
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = number
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_COST
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
+        self.table = WordTable(self.solve)
 
     def merged(self, text: str) -> list[str]:
         """The symbols of a short text after all merges: best score first, then leftmost."""
@@ -68,21 +85,31 @@ class Pieces:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def allowed(self, before: str, piece: str) -> bool:
-        """Whether piece may follow before (nothing: at a start)."""
-        key = before, piece
+    def text_of(self, number: int) -> str:
+        return self.pieces[number] if number < len(self.pieces) else chr(number - len(self.pieces))
+
+    def number_of(self, character: str) -> int:
+        found = self.ids.get(character)
+        return len(self.pieces) + ord(character) if found is None else found
+
+    def allowed(self, before: int, number: int) -> bool:
+        """Whether a piece may follow another one (-1: nothing, at a start)."""
+        key = before * NUMBERS + number
         if key not in self.apart:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > MOST_PAIRS:
                 self.apart.clear()
-            self.apart[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            first, second = self.text_of(before) if before >= 0 else "", self.text_of(number)
+            self.apart[key] = self.merged(first + second) == ([first, second] if first else [second])
         return self.apart[key]
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """Pieces of the sorted distinct words, depth-first over their trie."""
-        last: list[str] = [""]  # last[i]: the last piece of the best path over the first i characters
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Numbers of the pieces of the sorted distinct words, depth-first over their trie."""
+        last = [-1]  # last[i]: the last piece of the best path over the first i characters
+        size = [0]  # and its length
         total = [0.0]
         previous = ""
-        ids, tails, apart, merges = self.ids, self.tails, self.apart, self.merges
+        backward, apart, merges = self.backward, self.apart, self.merges
+        scores = [self.scores.get(p, self.worst) for p in self.pieces]
         for word in words:
             shared = 0
             most = min(len(word), len(previous))
@@ -91,61 +118,86 @@ class Pieces:
             else:
                 while word[shared] == previous[shared]:
                     shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                # Pieces that end here, by length; longer ones end with shorter tails of pieces.
-                start = end - 1
-                found = [start]
-                while start and word[start - 1 : end] in tails:
+                # Pieces that end here, by length.
+                start, node, found = end, backward, []
+                while start and (node := node.get(word[start - 1])) is not None:
                     start -= 1
-                    if word[start:end] in ids:
-                        found.append(start)
-                best, score = word[end - 1], -np.inf
-                for start in reversed(found):
-                    piece = word[start:end]
-                    if merges:
-                        able = apart.get((last[start], piece))
-                        if self.allowed(last[start], piece) if able is None else able:
-                            best = piece
+                    if "" in node:
+                        found.append((start, node[""]))
+                if not found or found[0][0] != end - 1:
+                    found.insert(0, (end - 1, self.number_of(word[end - 1])))
+                if merges:
+                    for start, number in reversed(found):
+                        able = apart.get(last[start] * NUMBERS + number)
+                        if self.allowed(last[start], number) if able is None else able:
                             break
-                    elif (own := total[start] + self.scores.get(piece, self.worst)) > score:
-                        best, score = piece, own
-                last.append(best)
-                total.append(score)
+                else:
+                    best = -np.inf
+                    for at, own in reversed(found):
+                        score = total[at] + (scores[own] if own < len(scores) else self.worst)
+                        if score > best:
+                            best, start, number = score, at, own
+                    total.append(best)
+                last.append(number)
+                size.append(end - start)
             previous, end, path = word, len(word), []
             while end:
                 path.append(last[end])
-                end -= len(last[end])
+                end -= size[end]
             yield word, path[::-1]
 
-    def numbers(self, piece: str) -> bytes:
-        """The ids of a piece, packed: its own, or those of its bytes, or the unknown one."""
-        found = self.packed.get(piece)
-        if found is None:
-            own = self.ids.get(piece)
-            ids = [own] if own is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-            found = np.array(ids, "<u4").tobytes()
-            if own is not None:
-                self.packed[piece] = found
-        return found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; an empty text has none."""
-        lists = [WORD.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = {w for words in lists for w in words}
-        if len(distinct - self.known.keys()) + len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        for word, path in self.walk(sorted(distinct - self.known.keys())):
-            self.known[word] = b"".join(map(self.numbers, path))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in lists]
-        for word in distinct:
-            if len(word) > CACHE_CHARS:
-                del self.known[word]
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.told.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def solve(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of the distinct words, given with spaces for marks."""
+        texts = [w.decode("utf-8", "surrogatepass").replace(" ", MARK) for w in words]
+        known, found = len(self.pieces), {}
+        for text, path in self.walk(sorted(texts)):
+            if max(path) >= known:
+                path = list(chain.from_iterable([n] if n < known else self.spelt(chr(n - known)) for n in path))
+            found[text] = path
+        return [found[t] for t in texts]
+
+    def spelt(self, character: str) -> list[int]:
+        """Ids of an unknown character: those of its bytes, or the unknown one."""
+        return [self.bytes[b] for b in character.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets from 0) of rows, given their UTF-8 bytes and offsets from 0; an empty row has no ids."""
+        data, offsets = marks_as_spaces(data, offsets)
+        full = offsets[:-1][np.diff(offsets) > 0]
+        if self.prefix:
+            data = np.insert(data, full, 32)
+            offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
+            full = full + np.arange(len(full))
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[full] = True
+        starts = np.flatnonzero(begins)
+        ids, many = self.table.values(data, starts)
+        return ids, np.concatenate([[0], np.cumsum(many)])[np.searchsorted(starts, offsets)]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of rows of ids."""
+        size = self.told_size[ids]
+        data = self.told[spread(self.told_at[ids], size)].tobytes()
+        bounds = np.concatenate([[0], np.cumsum(size)])[offsets].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.prefix else texts
+
+
+def marks_as_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a space for each literal mark, as both are one symbol to the model."""
+    at = np.flatnonzero(data == MARK_BYTES[0])
+    at = at[(at + 2 < len(data))]
+    at = at[(data[at + 1] == MARK_BYTES[1]) & (data[at + 2] == MARK_BYTES[2])]
+    if not len(at):
+        return data, offsets
+    data = data.copy()
+    data[at] = 32
+    keep = np.ones(len(data), bool)
+    keep[at + 1] = keep[at + 2] = False
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
 @lru_cache(maxsize=2)
@@ -153,26 +205,16 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def stretches(texts: list[str], most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): a null text counts as empty, which has no ids; ids and rows stay as they are, other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in stretches(texts):
-                ids = [x.astype(np.int32) for x in pieces(model_path).encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+            data, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, BATCH_BYTES):
+                ids, bounds = pieces(model_path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
@@ -182,10 +224,12 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [pieces(model_path).decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            offsets, ids = list_array(batch.column(1))
+            texts = pieces(model_path).decode(ids.view(np.int64), offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, text_col])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, {text_col} string")
+    listed = encoded.select(id_col, F.coalesce(F.col(ids_col).cast("array<bigint>"), F.array().cast("array<bigint>")))
+    return listed.mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, {text_col} string")
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,13 +242,17 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in stretches(texts):
-                ids = model.encode(texts[a:b])
-                back = [model.decode(x) for x in ids]
+            data, offsets = utf8(batch.column(1))
+            for a, b in slices(offsets, BATCH_BYTES):
+                own, places = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                ids, bounds = model.encode(own, places)
+                back = [t.encode() for t in model.decode(ids, bounds)]
+                packed, whole = ids.astype("<u4").tobytes(), own.tobytes()
                 columns = [
-                    batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, texts[a:b])]),
+                    batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64()),
+                    pa.array([zlib.crc32(packed[4 * x : 4 * y]) for x, y in pairwise(bounds.tolist())], pa.int64()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()),
+                    pa.array([t == whole[x:y] for t, (x, y) in zip(back, pairwise(places.tolist()))], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_pieces", "ids_crc32", "decoded_sha256", "exact"])
 
