@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import LABEL_ORDER, LABELS, RuleSet
@@ -183,10 +183,10 @@ class Line:
             & ~self.url & ~self.phone & (self.penalty < 2) & self.text.rlike("[가-힣A-Za-z]")
         )
 
-    def name_score(self, y_ratio: Column) -> Column:
-        """How like a product name a line is, by its place, length, script and what it is not."""
-        score = F.lit(1.0) + F.greatest(F.lit(0.0), 1.0 - y_ratio)
-        score = score + F.when(F.length(self.text).between(3, 45), 0.4).otherwise(0.0) + F.when(self.text.rlike("[A-Za-z]"), 0.2).otherwise(0.0) + F.when(self.text.rlike("[가-힣]"), 0.2).otherwise(0.0)
+    @cached_property
+    def name_score(self) -> Column:
+        """How like a product name a line is, by its length, script and what it is not."""
+        score = F.lit(1.0) + F.when(F.length(self.text).between(3, 45), 0.4).otherwise(0.0) + F.when(self.text.rlike("[A-Za-z]"), 0.2).otherwise(0.0) + F.when(self.text.rlike("[가-힣]"), 0.2).otherwise(0.0)
         for against, cost in ((self.meta, 1.3), (self.amount, 1.2), (self.ingredient_list, 1.8), (self.usage, 1.4), (self.caution, 1.4), (self.url, 1.2)):
             score = score - F.when(against, cost).otherwise(0.0)
         return score
@@ -199,6 +199,25 @@ class Line:
         return F.when(other, F.lit(-1.0)).otherwise(score)
 
 
+#: Facts of a line that others are made of, in an order in which each needs only those before it.
+FACTS = (
+    ("key",), ("url", "phone", "amount", "orders", "forbids", "suffixes", "separators", "noise", "penalty", "tokens"),
+    ("meta", "advert", "sequence"), ("caution", "strong_caution", "structure"), ("usage", "ingredient_list"),
+)
+
+
+def with_facts(df: DataFrame, text: str = "text", rules: RuleSet = LABELS) -> tuple[DataFrame, Line]:
+    """df with a column _<fact> for each of FACTS, and a Line that reads them, so that no fact is worked out twice.
+
+    A filter on what such a Line tells would be pushed below these columns and spelt out again: store the table first.
+    """
+    line = Line(F.col(text), rules)
+    for level in FACTS:
+        df = df.withColumns({f"_{name}": getattr(line, name) for name in level})
+        line.__dict__.update({name: F.col(f"_{name}") for name in level})
+    return df, line
+
+
 def split_tokens(c: Column, rules: RuleSet = LABELS) -> Column:
     """Parts between separators, cleaned, of an allowed length, and neither numbers, short Latin, amounts nor links."""
     low, high = rules.token_length

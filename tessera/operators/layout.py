@@ -39,7 +39,7 @@ def number_lines(boxed: DataFrame) -> DataFrame:
         return (state[0],)
 
     told = boxed.withColumn("_limit", limit)
-    return walk_sorted(told, ("image_id",), ("center_y", "x_min", "ord"), ("center_y", "_limit"), lambda: [-1, 0.0, 0], step, {"line_index": "int"}).drop("_limit")
+    return walk_sorted(told, ("image_id",), ("center_y", "x_min", "ord", "text"), ("center_y", "_limit"), lambda: [-1, 0.0, 0], step, {"line_index": "int"}).drop("_limit")
 
 
 def space_needed(before: Column, text: Column, gap: Column, height: Column, width: Column) -> Column:
@@ -53,12 +53,12 @@ def space_needed(before: Column, text: Column, gap: Column, height: Column, widt
 
 
 def merge_lines(numbered: DataFrame) -> DataFrame:
-    """One row per line: text with spaces where gaps ask for them, box, mean confidence."""
+    """One row per line: text with spaces where gaps ask for them, box, mean confidence. Words at one place follow one another by ord, then text."""
     own = Window.partitionBy("image_id", "line_index")
-    order = own.orderBy("x_min", "ord")
+    order = own.orderBy("x_min", "ord", "text")
     told = numbered.withColumns({"_h": F.median("height").over(own), "_w": F.median("width").over(own), "_before": F.lag("text").over(order), "_end": F.lag("x_max").over(order)})
     space = F.when(space_needed(F.col("_before"), F.col("text"), F.col("x_min") - F.col("_end"), F.col("_h"), F.col("_w")), F.lit(" ")).otherwise(F.lit(""))
-    parts = F.array_sort(F.collect_list(F.struct("x_min", "ord", F.concat(space, "text").alias("part"))))
+    parts = F.array_sort(F.collect_list(F.struct("x_min", "ord", "text", F.concat(space, "text").alias("part"))))
     lines = told.groupBy("image_id", "line_index").agg(
         clean_text(F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_blocks"),
         F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"), F.avg("center_y").alias("center_y"),

@@ -1,6 +1,6 @@
 """Sections: lines to labelled sections.
 
-Every test of a line is a Column, evaluated once in the JVM; only the short walk over their results is sequential, and
+Every test of a line is a Column, evaluated once in the JVM and stored; only the short walk over their results is sequential, and
 runs over a few narrow columns.
 """
 
@@ -9,20 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Line
+from ..functions.predicates import has_keyword, with_facts
 from ..functions.text import section_label_removed
 from ..rules import LABELS, SECTIONS, RuleSet
+from ..storage import saved
 from .sequential import walk_sorted
 
 STICKY = ("ingredients", "usage", "cautions")
 
 
+#: What classify adds, besides the facts that the walk needs.
+GUESSED = ("name_like", "name_score", "list_score", "link", "amount", "meta", "usage", "caution", "capacity_word", "n_separators")
+
+
 def classify(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
-    """lines with label, value, implicit, structure and, for each section, whether the line may go on with it."""
-    x = Line(F.col("text"), rules)
-    out = lines.withColumns({"label": x.label, "implicit": x.implicit, "structure": x.structure, "meta": x.meta, "listed": x.ingredient_list, "caution": x.caution, "usage": x.usage, "link": x.url, "amount": x.amount, "n_separators": x.separators, "n_tokens": F.size(x.tokens), "sentence_any": x.sentence(True)})
+    """lines with label, value, implicit, structure, for each section whether the line may go on with it, and what guesses need.
+
+    Each line's facts are worked out once. Store the result before rows are chosen by them.
+    """
+    facts, x = with_facts(lines, "text", rules)
+    out = facts.withColumns({
+        "label": x.label, "implicit": x.implicit, "structure": x.structure, "meta": x.meta, "listed": x.ingredient_list, "caution": x.caution, "usage": x.usage, "link": x.url, "amount": x.amount,
+        "n_separators": x.separators, "n_tokens": F.size(x.tokens), "sentence_any": x.sentence(True), "name_like": x.product_name, "name_score": x.name_score, "list_score": x.list_score,
+        "capacity_word": has_keyword(x.key, rules.capacity),
+    })
     c = F.col
-    return out.withColumns({
+    out = out.withColumns({
         "value": F.when(c("label").isNotNull(), section_label_removed(c("text"), c("label"), rules)),
         "free_ingredients": ~c("usage") & ~c("caution") & ~c("meta") & ~c("link"),
         "sure_ingredients": c("structure") | (c("n_separators") >= 1) | (c("n_tokens") >= 2),
@@ -32,6 +44,12 @@ def classify(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
         "on_effects": ~c("meta") & ~c("listed") & ~c("link") & ~c("amount") & c("sentence_any"),
         "on_qr_url": ~c("meta") & c("link"),
     })
+    return out.select(*dict.fromkeys([*lines.columns, *FACTS, *GUESSED]))
+
+
+def classified(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
+    """lines if classify has been over them, else what it makes of them, as a stored table."""
+    return lines if {*FACTS, *GUESSED} <= set(lines.columns) else saved(classify(lines, rules), "classified")
 
 
 FACTS = ("label", "value", "implicit", "structure", "free_ingredients", "sure_ingredients", "on_usage", "on_cautions", "on_capacity", "on_effects", "on_qr_url")
@@ -63,9 +81,9 @@ class Walk:
         return self.active, f"continued from {self.active}"
 
 
-def detect(classified: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
+def detect(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """(image_id, line_index, section, reason, section_text) of the lines that the walk puts in a section."""
-    needed = classified.select("image_id", "line_index", "center_y", "x_min", "text", *FACTS)
+    needed = classified(lines, rules).select("image_id", "line_index", "center_y", "x_min", "text", *FACTS)
     told = walk_sorted(needed, ("image_id",), ("center_y", "x_min", "line_index"), FACTS, lambda: Walk(rules.gap_tolerance), Walk.step, {"section": "string", "reason": "string"})
     return told.where("section is not null").select("image_id", "line_index", "section", "reason", F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.col("text")).alias("section_text"))
 
@@ -83,25 +101,22 @@ def with_others(found: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def guess_product_name(lines: DataFrame, rules: RuleSet = LABELS, first: int = 10) -> DataFrame:
-    """(image_id, line_index, text, score): of the first lines that can be a name, the most like one."""
+    """(image_id, line_index, text, score): of the first lines that can be a name, the most like one; the higher on the page, the better."""
     own = Window.partitionBy("image_id")
-    x = Line(F.col("text"), rules)
-    ranked = lines.withColumns({"_pos": F.row_number().over(own.orderBy("center_y", "x_min", "line_index")), "_low": F.max("center_y").over(own)}).where(f"_pos <= {first}").where(x.product_name)
-    ratio = F.col("center_y") / F.greatest("_low", F.lit(1))
-    return _top(ranked.withColumn("score", x.name_score(ratio)), "_pos").select("image_id", "line_index", "text", "score")
+    ranked = lines.withColumns({"_pos": F.row_number().over(own.orderBy("center_y", "x_min", "line_index")), "_low": F.max("center_y").over(own)}).where(f"_pos <= {first}")
+    score = F.col("name_score") + F.greatest(F.lit(0.0), 1.0 - F.col("center_y") / F.greatest("_low", F.lit(1)))
+    return _top(classified(ranked, rules).where("name_like").withColumn("score", score), "_pos").select("image_id", "line_index", "text", "score")
 
 
 def _top(scored: DataFrame, order: str) -> DataFrame:
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), order))).where("_r = 1")
+    """The best row of each document, the first of equals; scores that differ by rounding alone are equal."""
+    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.round("score", 9)), order))).where("_r = 1")
 
 
 def guess_capacity(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """(image_id, line_index, text, score): the best line with an amount; a label word counts for it, what looks like a maker's note against it."""
-    from ..functions.predicates import has_keyword
-
-    x = Line(F.col("text"), rules)
-    score = F.lit(1.0) + F.when(has_keyword(x.key, rules.capacity), 0.4).otherwise(0.0) - F.when(x.meta, 1.0).otherwise(0.0)
-    return _top(lines.where(x.amount).withColumn("score", score), "line_index").select("image_id", "line_index", "text", "score")
+    score = F.lit(1.0) + F.when(F.col("capacity_word"), 0.4).otherwise(0.0) - F.when(F.col("meta"), 1.0).otherwise(0.0)
+    return _top(classified(lines, rules).where("amount").withColumn("score", score), "line_index").select("image_id", "line_index", "text", "score")
 
 
 def islands(lines: DataFrame, candidate: str, tolerance: int = LABELS.gap_tolerance, by: str = "image_id", pos: str = "line_index") -> DataFrame:
@@ -114,12 +129,11 @@ def islands(lines: DataFrame, candidate: str, tolerance: int = LABELS.gap_tolera
 
 def guess_ingredients(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """(image_id, line_index, text) of the island of candidate lines that is most like an ingredient list."""
-    x = Line(F.col("text"), rules)
-    told = lines.withColumns({"_pos": F.row_number().over(Window.partitionBy("image_id").orderBy("center_y", "x_min", "line_index")), "_score": x.list_score})
-    told = told.withColumns({"_structure": x.structure, "_against": F.when(x.meta, 1.5).otherwise(0.0) + F.when(x.usage, 1.0).otherwise(0.0) + F.when(x.caution, 1.0).otherwise(0.0), "_separators": x.separators})
-    found = islands(told, "_score > 0", rules.gap_tolerance, pos="_pos")
+    against = F.when(F.col("meta"), 1.5).otherwise(0.0) + F.when(F.col("usage"), 1.0).otherwise(0.0) + F.when(F.col("caution"), 1.0).otherwise(0.0)
+    told = classified(lines, rules).withColumns({"_pos": F.row_number().over(Window.partitionBy("image_id").orderBy("center_y", "x_min", "line_index")), "_against": against})
+    found = islands(told, "list_score > 0", rules.gap_tolerance, pos="_pos")
     inside = told.join(found, "image_id").where("_pos between first and last")
-    each = inside.groupBy("image_id", "island").agg(F.count_if("_structure").alias("_n"), F.sum(F.when(F.col("_structure"), 2.0).otherwise(0.0) - F.col("_against")).alias("_s"), F.sum("_separators").alias("_sep"), F.sum(F.length("text")).alias("_len"))
+    each = inside.groupBy("image_id", "island").agg(F.count_if("structure").alias("_n"), F.sum(F.when(F.col("structure"), 2.0).otherwise(0.0) - F.col("_against")).alias("_s"), F.sum("n_separators").alias("_sep"), F.sum(F.length("text")).alias("_len"))
     score = F.col("_s") + F.least(F.col("_sep") * 0.3, F.lit(3.0)) + F.least(F.col("_len") * 0.005, F.lit(2.0))
     best = _top(each.where("_n > 0").withColumn("score", score), "island").select("image_id", "island")
     return inside.join(best, ["image_id", "island"]).select("image_id", "line_index", "text")
@@ -127,8 +141,9 @@ def guess_ingredients(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
 
 def fill_missing(found: DataFrame, lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """found and, for name, capacity, ingredients and links that a document lacks, the best guess over all its lines."""
+    lines = classified(lines, rules)
     guesses = [guess_product_name(lines, rules).select("image_id", "line_index", "text", F.lit("product_name").alias("section")), guess_capacity(lines, rules).select("image_id", "line_index", "text", F.lit("capacity").alias("section"))]
-    guesses += [guess_ingredients(lines, rules).select("image_id", "line_index", "text", F.lit("ingredients").alias("section")), lines.where(Line(F.col("text"), rules).url).select("image_id", "line_index", "text", F.lit("qr_url").alias("section"))]
+    guesses += [guess_ingredients(lines, rules).select("image_id", "line_index", "text", F.lit("ingredients").alias("section")), lines.where("link").select("image_id", "line_index", "text", F.lit("qr_url").alias("section"))]
     every = guesses[0]
     for g in guesses[1:]:
         every = every.unionByName(g)
@@ -159,6 +174,7 @@ def section_map(texts: DataFrame) -> DataFrame:
 
 
 def detect_sections(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
-    """The whole way: classify, walk, fill what is missing, and put the rest into others."""
-    found = detect(classify(lines, rules), rules)
+    """The whole way: classify once, walk, fill what is missing, and put the rest into others."""
+    lines = classified(lines, rules)
+    found = saved(detect(lines, rules), "walked")
     return with_others(fill_missing(found, lines, rules), lines)

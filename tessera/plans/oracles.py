@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.predicates import key_of
 from ..functions.text import _quoted
-from ..rules import INVALID_CANDIDATES, LABEL_ORDER, LABELS, SENTINELS, UNKNOWN
+from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, SENTINELS, UNKNOWN
 
 R = LABELS
 
@@ -34,7 +34,7 @@ def count(x: str, pattern: str) -> str:
 
 def flat(pattern: str) -> str:
     """A Java pattern in RE2's words: look-around goes where the data cannot tell it apart."""
-    return pattern.replace("(?U:\\s)", "\\s").replace("(?<!\\d)", "(?:^|\\D)").replace("(?!\\d)", "(?:\\D|$)").replace("(?![가-힣A-Za-z0-9_])", "(?:[^가-힣A-Za-z0-9_]|$)").replace("'", "''")
+    return pattern.replace(BEFORE_THING, "").replace("(?U:\\s)", "\\s").replace("(?<!\\d)", "(?:^|\\D)").replace("(?!\\d)", "(?:\\D|$)").replace("(?![가-힣A-Za-z0-9_])", "(?:[^가-힣A-Za-z0-9_]|$)").replace("'", "''")
 
 
 URL, AMOUNT = flat(R.url), flat(R.amount)
@@ -89,6 +89,96 @@ DESCRIPTION = "coalesce(" + ", ".join(
 ) + ", '')"
 WITH_SCHEME = "CASE WHEN regexp_matches(b, '(?i)^https?://') THEN b WHEN regexp_matches(b, '(?i)^(?:www\\.|[a-z0-9][a-z0-9-]*(?:\\.[a-z0-9-]+)+(?:[/?#:].*)?$)') THEN 'https://' || b ELSE b END"
 
+
+def usage_of(x: str, k: str, structure: str) -> str:
+    """The usage rule for a text; the caution endings and the advertisement are those of sql_advert and flat()."""
+    hangul = f"len(regexp_replace({x}, '[^가-힣]', '', 'g'))"
+    return f"(len(trim({x})) >= 5 AND {hangul} >= 3 AND NOT {sql_advert(x)} AND NOT {structure} AND NOT regexp_matches({x}, '{flat(R.caution_ending)}') AND (regexp_matches({x}, '{flat(R.usage_ending)}') OR {has(k, R.usage_signals)}))"
+
+
+def sql_advert(x: str) -> str:
+    return (
+        f"(len(trim({x})) >= 8 AND regexp_matches(trim({x}), '{flat(R.advert)}') AND NOT regexp_matches(trim({x}), '{flat(R.usage_ending)}') AND NOT regexp_matches(trim({x}), '{flat(R.caution_ending)}') "
+        f"AND len({x}) - len(replace({x}, ',', '')) < 2 AND {count(f'trim({x})', flat(R.suffix))} < 2)"
+    )
+
+
+def caution_of(x: str, k: str) -> str:
+    return f"((regexp_matches({x}, '{flat(R.caution_ending)}') AND NOT {sql_advert(x)} AND NOT {meta(x, k)}) OR {has(k, R.caution_signals)})"
+
+
+def like_name(x: str) -> str:
+    """A token of a list: not usage, caution or a maker's note, and with a letter. Facts of tokens are rare, so the cheap test goes first."""
+    k = key(x)
+    plain = f"({count(x, flat(R.suffix))} >= 2 AND NOT {sql_advert(x)} AND NOT {meta(x, k)})"
+    return f"(regexp_matches({x}, '[가-힣A-Za-z]') AND NOT {meta(x, k)} AND NOT {caution_of(x, k)} AND NOT {usage_of(x, k, plain)})"
+
+
+STRONG = (
+    f"(len(trim(text)) >= 10 AND NOT (phone OR regexp_matches(text, '{flat(R.company)}') OR regexp_matches(text, '{flat(R.lot)}')) AND ({count('text', flat(R.caution_ending))} >= 2 OR ({count('text', flat(R.caution_ending))} >= 1 "
+    f"AND (regexp_matches(text, '(?:^|[^\\pL\\pN_])\\d+\\s*[.\\)]\\s*[가-힣]') OR regexp_matches(text, '[가-힣]\\s*\\)\\s*[가-힣]') OR {has('k', R.strong_cautions)}))))"
+)
+IMPLICIT = (
+    f"CASE WHEN text = '' THEN NULL WHEN url THEN 'qr_url' WHEN {STRONG} THEN 'cautions' WHEN meta THEN 'others' WHEN advert THEN CASE WHEN {has('k', R.effects_content)} THEN 'effects' ELSE 'others' END "
+    "WHEN amount THEN 'capacity' WHEN listed THEN 'ingredients' WHEN caution THEN 'cautions' WHEN usage THEN 'usage' END"
+)
+
+
+def without_own_label(section: str) -> str:
+    x = "text"
+    for k in R.keywords(section):
+        x = f"regexp_replace({x}, '(?i)^\\s*{_quoted(k)}\\s*[:：]?\\s*', '')"
+    return f"trim({x})"
+
+
+VALUE = "CASE label " + " ".join(f"WHEN '{s}' THEN {without_own_label(s)}" for s in ("product_name", "capacity", "ingredients", "usage", "cautions", "effects", "qr_url")) + " END"
+_NAME_WORDS = R.ingredients + R.usage + R.cautions + R.capacity + R.makers + R.links + R.storage
+_SEPARATORS = SEPARATORS.format("text")
+#: Every line of the documents with its facts, each level made of those before it; line_index is the place among all lines, pos that among the lines that are not blank.
+FACTS = f"""l0 AS (SELECT doc_id, line_index, text, {key('text')} AS k, {_SEPARATORS} AS n_separators FROM {LINES}),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS pos, regexp_matches(text, '{URL}') AS url, regexp_matches(text, '{flat(R.phone)}') AS phone, {is_amount('text', 'k')} AS amount, {count('text', flat(R.suffix))} AS suffixes,
+  {NOISE} AS noise, {penalty('text', 'k')} AS penalty, {TOKENS} AS tokens, {meta('text', 'k')} AS meta, {sql_advert('text')} AS advert, {LABEL} AS label FROM l0),
+l2 AS (SELECT *, {caution_of('text', 'k')} AS caution, len(list_filter(tokens, lambda x: {like_name('x')})) AS good FROM l1),
+l3 AS (SELECT *, len(tokens) >= 4 AND good >= 4 AND good / greatest(len(tokens), 1) >= 0.65 AS sequence FROM l2),
+l4 AS (SELECT *, (n_separators >= 2 AND len(tokens) >= 3) OR (n_separators >= 1 AND len(tokens) >= 2) OR sequence OR (suffixes >= 2 AND NOT advert AND NOT meta) AS structure FROM l3),
+l5 AS (SELECT *, {usage_of('text', 'k', 'structure')} AS usage, NOT noise AND NOT meta AND penalty < 2 AND NOT url AND NOT amount AND structure AS listed FROM l4),
+l6 AS (SELECT *, {IMPLICIT} AS implicit, len(text) >= 2 AND NOT amount AND NOT url AND NOT listed AS sentence, {VALUE} AS value,
+  k <> '' AND len(text) BETWEEN 2 AND 80 AND NOT noise AND NOT {has('k', _NAME_WORDS)} AND NOT amount AND NOT listed AND NOT url AND NOT phone AND penalty < 2 AND regexp_matches(text, '[가-힣A-Za-z]') AS name_like,
+  1.0 + CASE WHEN len(text) BETWEEN 3 AND 45 THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(text, '[가-힣]') THEN 0.2 ELSE 0 END - CASE WHEN meta THEN 1.3 ELSE 0 END
+  - CASE WHEN amount THEN 1.2 ELSE 0 END - CASE WHEN listed THEN 1.8 ELSE 0 END - CASE WHEN usage THEN 1.4 ELSE 0 END - CASE WHEN caution THEN 1.4 ELSE 0 END - CASE WHEN url THEN 1.2 ELSE 0 END AS name_score,
+  CASE WHEN meta OR usage OR caution OR amount OR url THEN -1.0 ELSE least(n_separators * 0.5, 3.0) + CASE WHEN len(tokens) >= 4 THEN 1 ELSE 0 END + CASE WHEN sequence THEN 1.5 ELSE 0 END + CASE WHEN len(text) >= 30 THEN 0.5 ELSE 0 END END AS list_score FROM l5),
+facts AS MATERIALIZED (SELECT * FROM l6)"""
+NAMES = """names AS (SELECT doc_id, line_index, text, name_score + greatest(0, 1.0 - line_index / greatest(low, 1)) AS score, pos FROM
+  (SELECT *, max(line_index) OVER (PARTITION BY doc_id) AS low FROM facts) WHERE pos <= 10 AND name_like QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) = 1)"""
+#: The walk, all documents a line at a time: what each line may do with the section that is going on.
+_GOES_ON = (
+    "CASE active WHEN 'ingredients' THEN NOT usage AND NOT caution AND NOT meta AND NOT url AND (structure OR n_separators >= 1 OR len(tokens) >= 2 OR gap < 3) WHEN 'usage' THEN NOT meta AND NOT listed AND NOT caution AND sentence "
+    "WHEN 'cautions' THEN NOT listed AND NOT url AND sentence WHEN 'capacity' THEN NOT meta AND amount WHEN 'effects' THEN NOT meta AND NOT listed AND NOT url AND NOT amount AND sentence WHEN 'qr_url' THEN NOT meta AND url ELSE false END"
+)
+_WALKED = (
+    "CASE WHEN label IS NOT NULL THEN label WHEN implicit IN ('ingredients', 'usage', 'cautions') THEN implicit WHEN implicit IS NOT NULL THEN active WHEN goes_on THEN active END AS active, "
+    "CASE WHEN label IS NOT NULL OR implicit IN ('ingredients', 'usage', 'cautions') THEN 0 WHEN implicit IS NOT NULL THEN gap WHEN goes_on AND active = 'ingredients' THEN CASE WHEN structure THEN 0 ELSE gap + 1 END WHEN goes_on THEN gap ELSE 0 END AS gap, "
+    "CASE WHEN label IS NOT NULL THEN CASE WHEN value <> '' THEN label END WHEN implicit IS NOT NULL THEN implicit WHEN goes_on THEN active END AS section"
+)
+WALK = f"""walk AS (SELECT doc_id, 0::BIGINT AS pos, NULL::VARCHAR AS active, 0 AS gap, NULL::VARCHAR AS section, 0::BIGINT AS line_index, ''::VARCHAR AS section_text FROM (SELECT DISTINCT doc_id FROM facts)
+  UNION ALL SELECT doc_id, pos, {_WALKED}, line_index, CASE WHEN label IS NOT NULL THEN value ELSE text END FROM (SELECT f.*, w.active, w.gap, {_GOES_ON} AS goes_on FROM walk w JOIN facts f ON f.doc_id = w.doc_id AND f.pos = w.pos + 1)),
+found AS MATERIALIZED (SELECT doc_id, section, line_index, section_text FROM walk WHERE section IS NOT NULL)"""
+#: The best guesses for sections that a document lacks, then all other lines, then texts by section.
+SECTIONED = f"""{NAMES},
+amounts AS (SELECT doc_id, line_index, text FROM facts WHERE amount QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY 1 + CASE WHEN {has('k', R.capacity)} THEN 0.4 ELSE 0 END - CASE WHEN meta THEN 1 ELSE 0 END DESC, line_index) = 1),
+marks AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) - 1 > 3 THEN 1 ELSE 0 END AS new FROM facts WHERE list_score > 0),
+isles AS (SELECT doc_id, island, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM marks) GROUP BY doc_id, island),
+inside AS (SELECT f.*, island FROM facts f JOIN isles i ON i.doc_id = f.doc_id AND f.pos BETWEEN i.first AND i.last),
+scored AS (SELECT doc_id, island, count(*) FILTER (WHERE structure) AS n, sum(CASE WHEN structure THEN 2.0 ELSE 0 END - CASE WHEN meta THEN 1.5 ELSE 0 END - CASE WHEN usage THEN 1 ELSE 0 END - CASE WHEN caution THEN 1 ELSE 0 END)
+  + least(sum(n_separators) * 0.3, 3.0) + least(sum(len(text)) * 0.005, 2.0) AS score FROM inside GROUP BY doc_id, island),
+best AS (SELECT doc_id, island FROM scored WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, island) = 1),
+guesses AS (SELECT doc_id, line_index, text, 'product_name' AS section FROM names UNION ALL SELECT *, 'capacity' FROM amounts UNION ALL SELECT doc_id, line_index, text, 'ingredients' FROM inside JOIN best USING (doc_id, island)
+  UNION ALL SELECT doc_id, line_index, text, 'qr_url' FROM facts WHERE url),
+filled AS (SELECT * FROM found UNION ALL SELECT doc_id, section, line_index, text FROM guesses ANTI JOIN (SELECT DISTINCT doc_id, section FROM found) USING (doc_id, section)),
+used AS (SELECT DISTINCT doc_id, section_text AS text, line_index FROM filled WHERE section <> 'others'),
+every AS (SELECT * FROM filled UNION ALL SELECT doc_id, 'others', line_index, text FROM facts ANTI JOIN used USING (doc_id, text, line_index)),
+firsts AS (SELECT doc_id, section, section_text, min(line_index) AS i FROM every GROUP BY ALL)"""
+
 _RATES = """SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS matched, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN lower(l_linestatus) END) AS verified,
   count(*) FILTER (WHERE l_returnflag <> 'R') AS unverified, round(count(DISTINCT CASE WHEN l_returnflag = 'R' THEN lower(l_linestatus) END) / count(*) * 100, 6) AS match_rate,
   CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') = count(*) THEN 'success' WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN 'partial_success' ELSE 'all_failed' END AS status
@@ -137,6 +227,21 @@ SQL = {
           QUALIFY row_number() OVER (PARTITION BY conv_id, translate(lower(trim(text)), ' ' || chr(10) || chr(13) || chr(9), '') ORDER BY turn) = 1) GROUP BY conv_id)
         SELECT c.conv_id, count(*) AS n_images, arg_min(role, turn) AS role, any_value(coalesce(n.n, 0))::BIGINT AS n_lines, any_value(md5(coalesce(n.t, ''))) AS lines_md5, any_value(md5(coalesce(b.t, ''))) AS body_md5, round(coalesce(avg(CASE WHEN len(text) > 0 THEN len(text) / 1000 END), 0), 6) AS confidence
         FROM conversations c LEFT JOIN n USING (conv_id) LEFT JOIN b USING (conv_id) GROUP BY c.conv_id""",
+    "top_line_per_document": f"WITH {FACTS}, {NAMES} SELECT doc_id, line_index::BIGINT AS line_index, round(score, 6)::DOUBLE AS score FROM names",
+    "section_walk": f"WITH RECURSIVE {FACTS}, {WALK} SELECT doc_id, section, count(*) AS n FROM found GROUP BY ALL",
+    "sectioned_documents": f"""WITH RECURSIVE {FACTS}, {WALK}, {SECTIONED} SELECT doc_id, section, count(*) AS n_texts,
+        md5(CASE WHEN section IN ('usage', 'cautions', 'effects', 'others') THEN string_agg(section_text, chr(10) ORDER BY i) ELSE string_agg(section_text, ' ' ORDER BY i) END) AS text_md5 FROM firsts GROUP BY doc_id, section""",
+    "line_clusters": """WITH RECURSIVE b AS (SELECT l_orderkey AS o, l_linenumber * 60.0::DOUBLE AS x, (l_quantity % 7) * 18.0::DOUBLE + l_discount * 40 + 7 AS y, 'w' || l_partkey AS text FROM lineitem),
+        s AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY y, x, text) AS pos FROM b),
+        walk AS (SELECT o, pos, 0 AS line, y AS total, 1 AS n, x, y, text FROM s WHERE pos = 1
+          UNION ALL SELECT s.o, s.pos, CASE WHEN opens THEN line + 1 ELSE line END, CASE WHEN opens THEN s.y ELSE total + s.y END, CASE WHEN opens THEN 1 ELSE n + 1 END, s.x, s.y, s.text
+          FROM (SELECT w.o, w.pos, w.line, w.total, w.n, s.y - w.total / w.n > 7.7 AS opens FROM walk w JOIN s ON s.o = w.o AND s.pos = w.pos + 1) w JOIN s ON s.o = w.o AND s.pos = w.pos + 1),
+        m AS (SELECT *, lag(x) OVER (PARTITION BY o, line ORDER BY x, text) AS before FROM walk)
+        SELECT o::VARCHAR AS image_id, line::BIGINT AS line_index, string_agg(CASE WHEN x - before - 50 >= 3 THEN ' ' ELSE '' END || text, '' ORDER BY x, text) AS text, count(*) AS n_blocks, round(avg(y), 6) AS center_y FROM m GROUP BY o, line""",
+    "suppressed_boxes": """WITH RECURSIVE b AS (SELECT l_orderkey AS o, l_returnflag AS t, l_linenumber * 2 AS y, 1.0 - l_discount AS c, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount, l_linenumber) AS pos FROM lineitem),
+        walk AS (SELECT o, t, pos, [y] AS chosen, c AS best FROM b WHERE pos = 1
+          UNION ALL SELECT b.o, b.t, b.pos, CASE WHEN len(list_filter(chosen, lambda v: (40 - abs(v - b.y)) / (40 + abs(v - b.y)) >= 0.75)) > 0 THEN chosen ELSE list_append(chosen, b.y) END, best FROM walk w JOIN b ON b.o = w.o AND b.t = w.t AND b.pos = w.pos + 1)
+        SELECT o AS image_index, t AS section_type, len(arg_max(chosen, pos))::BIGINT AS kept, any_value(best)::DOUBLE AS best FROM walk GROUP BY o, t""",
     "match_rates": _RATES,
     "exact_matches": """SELECT query, min(i) AS item_pos, 1.0::DOUBLE AS score FROM (SELECT DISTINCT upper(replace(p_name, ' ', '-')) AS query, replace(lower(p_name), ' ', '') AS k FROM part) JOIN (SELECT p_partkey AS i, replace(lower(p_name), ' ', '') AS k FROM part) USING (k) GROUP BY query""",
     "word_boxes": """SELECT l_orderkey::VARCHAR AS image_id, l_linenumber::BIGINT AS ord, x AS x_min, x + 50 AS x_max, round(y, 6) AS y_min, round(y + 7, 6) AS center_y, 50.0::DOUBLE AS width, 14.0::DOUBLE AS height
@@ -163,7 +268,7 @@ SQL = {
         SELECT section, count(*) AS n, sum(len(body))::BIGINT AS n_chars FROM c WHERE body <> '' GROUP BY section""",
     "payload_projection": f"""SELECT o_orderkey::VARCHAR AS user_id, CASE WHEN {KNOWN.format('o_orderpriority')} THEN trim(o_orderpriority) ELSE '{UNKNOWN}' END AS product_name, coalesce(verified, 0) AS ingredient_verified_count, coalesce(total, 0) AS ingredient_total_count,
         coalesce(status, 'no_candidates') AS ingredient_api_status FROM orders LEFT JOIN ({_RATES}) r ON l_orderkey = o_orderkey""",
-    "matching_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT line) AS n_lines FROM (SELECT lang, string_split(text, chr(10))[1] AS line FROM documents) GROUP BY lang",
+    "matching_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
     "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
 }
 __all__ = ["SQL", "INVALID_CANDIDATES"]

@@ -162,7 +162,7 @@ def fuzzy_matches(spark, sf_dir):
 
 def section_walk(spark, sf_dir):
     """Sections of all lines, by document."""
-    found = sections.detect(sections.classify(document_lines(spark, sf_dir)))
+    found = sections.detect(document_lines(spark, sf_dir))
     return found.groupBy(F.col("image_id").alias("doc_id"), "section").agg(F.count("*").alias("n"))
 
 
@@ -261,9 +261,10 @@ def payload_projection(spark, sf_dir):
 
 
 def matching_keys(spark, sf_dir):
-    """Distinct matching keys of the documents' first lines only, as its SQL has it; line_keys has all lines."""
-    first = table(spark, sf_dir, "documents").select("lang", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    return first.groupBy("lang").agg(F.countDistinct(compact(F.col("line"))).alias("n_keys"), F.countDistinct("line").alias("n_lines"))
+    """Distinct matching keys of all lines of the documents, by language. Distinct lines come first, so few rows are shuffled."""
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).distinct()
+    keys = lines.select("lang", compact(F.col("line")).alias("key"), "line").groupBy("lang", "key").agg(F.count("line").alias("n"))
+    return keys.groupBy("lang").agg(F.count("key").alias("n_keys"), F.sum("n").cast("long").alias("n_lines"))
 
 
 def line_keys(spark, sf_dir):

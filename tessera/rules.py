@@ -12,6 +12,8 @@ SECTIONS = ("product_name", "capacity", "ingredients", "usage", "cautions", "eff
 
 #: Syllables that end in the consonant rieul: every 28th one from U+AC00, the eighth of each.
 RIEUL = "".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 == 8)
+#: Looks whether a syllable stands before that word at all, since a class of so many single characters is slow to test.
+BEFORE_THING = r"(?=[가-힣](?U:\s)*것)"
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ class RuleSet:
     strong_cautions: tuple[str, ...] = ("주의사항", "자제", "보관할", "피해서", "어린이", "상처")
 
     usage_ending: str = r"(?i)(?:하|발라|적[셔신]|뿌리|짜|덜|문지[르러]|닦|씻|적[셔시]|두[드들]|바|펴|얇게|넓게|적당량|소량|세요|십시오|십시요|시오|합니다|냅니다|줍니다|줍시다|드립니다)(?:(?U:\s)*[.!]?(?U:\s)*)?$"
-    caution_ending: str = "(?i)(?:[" + RIEUL + r"](?U:\s)*것|마세요|마십시오|마라|말아라|금지|자제|피하[세십]|피할(?U:\s)*것|하지(?U:\s)*(?:말|마|않)|않도록|안(?U:\s)*돼|안돼)"
+    caution_ending: str = "(?i)(?:" + BEFORE_THING + "[" + RIEUL + r"](?U:\s)*것|마세요|마십시오|마라|말아라|금지|자제|피하[세십]|피할(?U:\s)*것|하지(?U:\s)*(?:말|마|않)|않도록|안(?U:\s)*돼|안돼)"
     company: str = r"(?i)(?:주식(?U:\s)*회사|유한(?U:\s)*회사|유한책임(?U:\s)*회사|\((?U:\s)*주(?U:\s)*\)|co\.?(?U:\s)*,?(?U:\s)*ltd\.?|inc\.?|corp\.?|llc\.?|gmbh|s\.?a\.?|판매(?U:\s)*유한(?U:\s)*회사|책임판매업자|제조판매업자|화장품책임판매업자)"
     address: str = r"(?:특별시|광역시|특별자치시|특별자치도|[가-힣]{2,}(?U:\s)*(?:구|군)(?U:\s)+[가-힣]|[가-힣]{2,}(?U:\s)*(?:로|길)(?U:\s)*\d+|\d+(?U:\s)*(?:번지|층|호))"
     phone: str = r"(?<!\d)(?:\d{2,4}[-\s.]\d{3,4}[-\s.]\d{4}|1\d{3}[-\s.]?\d{4}|\+?\d{1,3}[-\s.]\d{1,4}[-\s.]\d{3,4}[-\s.]\d{4})(?!\d)"
