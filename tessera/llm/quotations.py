@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-MARKS = r"^((?:[ \t]*>)+)"
 BREAK = r"\r\n|\r|\n"
 
 
@@ -29,7 +28,8 @@ def _units(texts: Column) -> Column:
 def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """messages with levels and bodies of the lines, runs of equal level (level, lines), and own_text: the lines of level 0."""
     lines = messages.withColumn("_lines", F.split(F.coalesce(text_col, F.lit("")), BREAK))
-    marks = F.transform("_lines", lambda x: F.regexp_extract(x, MARKS, 1))
+    # A run of one class of characters, cut after its last mark: no group that a pattern would have to enter again for each mark.
+    marks = F.transform("_lines", lambda x: F.rtrim(F.regexp_extract(x, r"^[ \t>]*", 0), F.lit(" \t")))
     lines = lines.withColumn("_marks", marks).withColumn("levels", F.transform("_marks", lambda m: F.length(m) - F.length(F.replace(m, F.lit(">"), F.lit("")))))
     lines = lines.withColumn("bodies", F.zip_with("_lines", "_marks", lambda x, m: F.substr(x, F.length(m) + 1)))
     starts = F.filter(F.sequence(F.lit(0), F.size("levels") - 1), lambda i: (i == 0) | (F.get("levels", i) != F.get("levels", i - 1)))
@@ -43,17 +43,19 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
     """One row per row: conversation, turn, role, n_quotes, n_linked, reply_to, thread, position, message.
 
     n_quotes counts the quoted passages, n_linked those whose whole text, or any line, an earlier turn wrote itself. reply_to is
-    the turn that a passage of level 1 links to, whole passages before single lines, later turns before earlier ones. thread is
-    the turn that the replies lead back to, or the own one. position counts from 0, by thread, then turn. message is the
-    role and the text without quotes. A null text counts as empty, a null role as "unknown"; rows without a conversation or
-    turn are linked with nothing and stay. Repeated rows stay, in any order. An empty table gives an empty result.
+    the turn that a passage of level 1 links to, whole passages before single lines, later turns before earlier ones. Each of
+    these is told of the row's own text, also where rows share a turn. thread is the earliest turn that the replies of the
+    turn's rows lead back to, or the own one. position counts from 0, by thread, then turn. message is the role and the text
+    without quotes. A null text counts as empty, a null role as "unknown"; rows without a conversation or turn are linked with
+    nothing and stay. Repeated rows stay, in any order. An empty table gives an empty result.
     """
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    parsed = saved(parse_quotes(rows).select("conv", "turn", "role", "own_text", "runs"), "parsed")
+    # Rows are numbered as they are stored, so the numbers stay the same from then on.
+    parsed = saved(parse_quotes(rows).select("conv", "turn", "role", "own_text", "runs", F.monotonically_increasing_id().alias("row")), "parsed")
     quoted = F.filter("runs", lambda r: r["level"] > 0)
-    passages = parsed.select("conv", "turn", F.posexplode(F.array_distinct(quoted)).alias("passage", "run")).where("conv is not null and turn is not null")
-    wholes = passages.select("conv", "turn", "passage", F.col("run.level").alias("level"), F.lit(1).alias("whole"), F.explode(_units(F.array(F.array_join("run.lines", " ")))).alias("unit"))
-    lines = passages.select("conv", "turn", "passage", F.col("run.level").alias("level"), F.lit(0).alias("whole"), F.explode(_units(F.col("run.lines"))).alias("unit"))
+    passages = parsed.select("conv", "turn", "row", F.posexplode(F.array_distinct(quoted)).alias("passage", "run")).where("conv is not null and turn is not null")
+    wholes = passages.select("conv", "turn", "row", "passage", F.col("run.level").alias("level"), F.lit(1).alias("whole"), F.explode(_units(F.array(F.array_join("run.lines", " ")))).alias("unit"))
+    lines = passages.select("conv", "turn", "row", "passage", F.col("run.level").alias("level"), F.lit(0).alias("whole"), F.explode(_units(F.col("run.lines"))).alias("unit"))
     asked = saved(wholes.union(lines), "asked")
     # Every text that a message wrote itself: all of it, its runs, paragraphs and lines. Minima come before the shuffle.
     texts = F.concat(F.array("own_text"), F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.array_join(r["lines"], " ")), F.split("own_text", r"\n[\x20\x09]*\n"), F.split("own_text", r"\n"))
@@ -61,17 +63,20 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
     origins = saved(wrote.groupBy("conv", "unit").agg(F.min("turn").alias("origin")), "origins")
     found = asked.join(origins.hint("merge"), ["conv", "unit"]).where("origin < turn")
     best = F.max(F.when(F.col("level") == 1, F.struct("whole", "origin")))
-    each = found.groupBy("conv", "turn", "passage").agg(best.alias("best"))
-    links = saved(each.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.max("best").getField("origin").alias("reply_to")), "links")
-    # Replies lead to earlier turns, so following them by doubling ends.
-    roots = saved(links.where("reply_to is not null").select("conv", "turn", F.col("reply_to").alias("thread")), "threads")
+    each = found.groupBy("conv", "turn", "row", "passage").agg(best.alias("best"))
+    links = saved(each.groupBy("conv", "turn", "row").agg(F.count("*").alias("n_linked"), F.max("best").getField("origin").alias("reply_to")), "links")
+    # Replies lead to earlier turns. A turn takes the least thread of the turns that its rows reply to, and of its thread so far, which doubles the steps.
+    replies = saved(links.where("reply_to is not null").select("conv", "turn", F.col("reply_to").alias("to")).distinct(), "replies")
+    roots = replies.groupBy("conv", "turn").agg(F.min("to").alias("thread"))
     while True:
-        ahead = roots.select("conv", F.col("turn").alias("thread"), F.col("thread").alias("further"))
-        stepped = saved(roots.join(ahead, ["conv", "thread"], "left").select("conv", "turn", "thread", "further"), "threads")
-        roots = stepped.select("conv", "turn", F.coalesce("further", "thread").alias("thread"))
-        if not stepped.where("further is not null").limit(1).count():
+        roots = saved(roots, "threads")
+        steps = replies.unionByName(roots.select("conv", "turn", F.col("thread").alias("to")))
+        further = steps.join(roots.select("conv", F.col("turn").alias("to"), "thread"), ["conv", "to"]).groupBy("conv", "turn").agg(F.min("thread").alias("further"))
+        stepped = saved(roots.join(further, ["conv", "turn"], "left"), "threads")
+        roots = stepped.select("conv", "turn", F.least("thread", "further").alias("thread"))
+        if not stepped.where("further < thread").limit(1).count():
             break
-    joined = parsed.join(links, ["conv", "turn"], "left").join(roots, ["conv", "turn"], "left")
+    joined = parsed.join(links.select("row", "n_linked", "reply_to"), "row", "left").join(roots, ["conv", "turn"], "left")
     message = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("own_text"))
     told = joined.select(
         "conv", "turn", "role", F.size(F.array_distinct(quoted)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

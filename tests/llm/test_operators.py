@@ -215,11 +215,27 @@ def test_top_k(spark):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:10]
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     assert good and sorted(tuple(x) for x in topk.top_k(df, df.where("vec_id % 100 = 0"), query_block=2).collect()) == sorted(want)
+    assert sorted(tuple(x) for x in topk.top_k(df, df.where("vec_id % 100 = 0"), parts=1).collect()) == sorted(want)
     few = df.where("vec_id < 4")
     assert topk.top_k(few, few).count() == 12
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    r = np.random.default_rng(8)
+    sizes = [1.0, 1e6, 1e15, 1e150, 1e300, 1.7e308]
+    vectors = [(i, (r.normal(size=3) * r.choice(sizes)).clip(-1.7e308, 1.7e308).tolist()) for i in range(80)] + [(100, [1e300, 0.0, 0.0]), (101, [1e300, 0.0, 0.0]), (102, [2.0**53 / 1024 / 1024, 0.0, 0.0]), (103, [-1e300, 1.0, 2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    ints = [(i, [topk.whole(x, 1024) for x in v]) for i, v in vectors]
+    want = []
+    for q, v in ints:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:10]
+        want += [(q, n + 1, i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for n, (s, i) in enumerate(scored)]
+    assert sorted(tuple(x) for x in topk.top_k(df, df).collect()) == sorted(want)
+    values = [int(x) for x in r.integers(-(10**6), 10**6, 50)] + [10**k for k in range(0, 600, 50)] + [-(10**k) for k in range(0, 600, 50)]
+    assert sorted(values, key=topk.sortable) == sorted(values)
+
+
 def test_fingerprints(spark):
     rows = corpus()
     for partitions in (1, 4, 25):
@@ -317,6 +333,31 @@ def test_quotations(spark):
     assert quotations.render(out.where("conv_id = 1")).first().chat.startswith("<|user|>\nHello there.\nHow are you?\n<|assistant|>\nFine.\n<|user|>\nGood.\n<|unknown|>\nagain")
 
 
+def test_quotations_of_rows_that_share_a_turn_and_of_long_marks(spark):
+    rows = [(1, 0, "u", "Hello"), (1, 1, "a", "> Hello"), (1, 1, "b", "no quote"), (1, 2, "c", "No quote?"), (1, 3, "d", "> no quote?\nyes"), (1, 3, "e", "> hello"), (2, 0, "u", ">" * 200_000 + " deep"), (2, 1, "u", " " * 100_000 + "x"), (2, 2, "u", "> " * 50_000)]
+    got = {(r.conv_id, r.turn, r.role): (r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {
+        (1, 0, "u"): (0, 0, None, 0), (1, 1, "a"): (1, 1, 0, 0), (1, 1, "b"): (0, 0, None, 0), (1, 2, "c"): (0, 0, None, 2), (1, 3, "d"): (1, 1, 2, 0), (1, 3, "e"): (1, 1, 0, 0),
+        (2, 0, "u"): (1, 0, None, 0), (2, 1, "u"): (0, 0, None, 1), (2, 2, "u"): (1, 0, None, 2),
+    }
+    import duckdb
+    import pandas as pd
+
+    from tessera.llm import oracles
+
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841  (read by the SQL)
+    told = duckdb.connect().execute(oracles.QUOTATIONS).df()
+    assert {(r.conv_id, r.turn, r.role): (r.n_quotes, r.n_linked, None if pd.isna(r.reply_to) else int(r.reply_to), r.thread) for r in told.itertuples()} == got
+    chain = [(1, 0, "u", "line 0")] + [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
+    assert {r.thread for r in quotations.link_quotations(spark.createDataFrame(chain, "conv_id long, turn long, role string, text string")).collect()} == {0}
+
+
+def test_quotations_and_top_k_of_empty_tables(spark):
+    assert quotations.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(none, none).count() == 0
+
+
 @pytest.mark.parametrize("op", [substring.dedup_substrings, neardup.near_duplicates, secrets.scan_secrets, lambda d: packing.pack_documents(d, tokenizer_path()), fingerprints.fingerprints, lambda d: sentencepieces.round_trip(d, tokenizer_path("piece_bpe_32k.model"))])
 def test_empty_tables(spark, op):
     assert op(frame(spark, [(1, "x")]).where("doc_id = 2")).count() == 0
