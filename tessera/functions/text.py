@@ -93,8 +93,10 @@ def clean_query(c: Column, labels: tuple[str, ...] = ("전성분", "전 성 분"
 
 def until_keyword(c: Column, words: tuple[str, ...]) -> Column:
     """The text before the earliest first occurrence, after the start, of any of the words."""
-    places = F.array(*(F.locate(w.lower(), F.lower(c)) for w in words))
-    at = F.array_min(F.filter(places, lambda p: p > 1))
+    every = F.array(*(F.lit(w.lower()) for w in words))
+    # A list of one element, so that the text is put into lower case once and not once a word.
+    least = F.transform(F.array(F.lower(c)), lambda text: F.array_min(F.filter(F.transform(every, lambda w: F.position(w, text)), lambda p: p > 1)))
+    at = F.get(least, F.lit(0))
     return F.when(at.isNull(), c).otherwise(strip(F.substring(c, F.lit(1), at - 1)))
 
 

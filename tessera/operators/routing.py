@@ -17,12 +17,12 @@ def flat(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
-def inline_segments(c: Column, labels: tuple[tuple[str, str], ...] = INLINE_LABELS) -> Column:
+def inline_segments(c: Column, labels: tuple[tuple[str, str], ...] = INLINE_LABELS, keep_lines: bool = False) -> Column:
     """array<struct<section, body>>: what stands before the first label, with a null section, and after each label.
 
     One alternation, longest label first, finds the leftmost and longest labels without overlap.
     """
-    text = flat(c)
+    text = F.coalesce(c, F.lit("")) if keep_lines else flat(c)
     pattern = "(?i)" + "|".join(_quoted(k) for k, _ in sorted(labels, key=lambda x: -len(x[0])))
     section = F.create_map(*[F.lit(x) for k, s in labels for x in (k.lower(), s)])
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))

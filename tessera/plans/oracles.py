@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.predicates import key_of
 from ..functions.text import _quoted
-from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, SENTINELS, UNKNOWN
+from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, LINK_ENDS, SENTINELS, UNKNOWN
 
 R = LABELS
 
@@ -186,6 +186,38 @@ _RATES = """SELECT l_orderkey, count(*) AS total, count(*) FILTER (WHERE l_retur
 
 _FIRST_KNOWN = KNOWN.format("value")
 
+
+def list_steps(source: str) -> str:
+    """list_text of (doc_id, x) for texts without Hangul or PEG numbers, where no name runs into another."""
+    from ..functions.phrases import stop_words
+    from ..rules import RAW
+
+    steps = ["trim(regexp_replace(regexp_replace(x, '[^가-힣a-zA-Z0-9\\s,./·ㆍ;:+\\-()_%\\[\\]：]', ' ', 'g'), '\\s+', ' ', 'g'))"]
+    chem = "translate(x, '，、；ㆍ：', ',,;·:')"
+    for old, new in ((r"1\s*,?\s*2\s*-\s*", "1,2-"), (r"(\d)\s*[pP][pP][mM]", r"\1ppm"), (r"(?i)(피이지|PEG)\s*-?\s*(\d+)", r"\1-\2"), (r"(?i)(피피지|PPG)\s*-?\s*(\d+)", r"\1-\2"), (r"\s+", " ")):
+        chem = f"regexp_replace({chem}, '{old}', '{new}', 'g')"
+    label = "x"
+    for w in RAW.ingredients:
+        label = f"regexp_replace({label}, '(?i)^\\s*{_quoted(w)}\\s*[:：]?\\s*', '')"
+    spots = "list_min(list_filter([" + ", ".join(f"instr(lower(x), '{w.lower()}')" for w in stop_words()) + "], lambda p: p > 1))"
+    bare = "regexp_replace(w, '^[ ,.;:：/·ㆍ\\-()\\[\\]{}]+|[ ,.;:：/·ㆍ\\-()\\[\\]{}]+$', '', 'g')"
+    noise = ", ".join(f"'{key_of(w)}'" for w in RAW.noise)
+    commas = "translate(x, '，、；ㆍ：', ',,;·:')"
+    for old, new in ((r"\s*,\s*", ", "), (r",\s*,+", ", "), (r"\s*;\s*", "; "), (r"\s+", " ")):
+        commas = f"regexp_replace({commas}, '{old}', '{new}', 'g')"
+    commas = f"trim({commas}, ' ,;:')"
+    steps += [f"trim({chem})", f"trim({label})", f"CASE WHEN {spots} IS NULL THEN x ELSE trim(substr(x, 1, {spots} - 1)) END", f"array_to_string(list_filter(string_split(x, ' '), lambda w: {bare} <> '' AND {key(bare)} NOT IN ({noise})), ' ')", commas, commas]
+    for step in steps:
+        source = f"(SELECT doc_id, {step} AS x FROM {source})"
+    return source
+
+
+_RESULTS = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_returnflag = 'R' AS matched, 'Name ' || l_linestatus || (l_partkey % 2) AS name, 'part ' || l_partkey AS ocr FROM lineitem)"
+_MATCHED = f"""(SELECT l_orderkey, count(*) AS total_count, count(*) FILTER (WHERE matched) AS success_count, count(*) FILTER (WHERE NOT matched) AS failed_count, count(DISTINCT CASE WHEN matched THEN name END) AS normalized_count,
+  CASE WHEN count(*) = count(*) FILTER (WHERE matched) THEN 'success' WHEN count(*) FILTER (WHERE matched) > 0 THEN 'partial_success' ELSE 'all_failed' END AS status,
+  coalesce(any_value(n.names), '') AS names, coalesce(string_agg(ocr, ',' ORDER BY i) FILTER (WHERE NOT matched), '') AS unverified
+  FROM {_RESULTS} LEFT JOIN (SELECT l_orderkey, string_agg(name, ',' ORDER BY f) AS names FROM (SELECT l_orderkey, name, min(i) AS f FROM {_RESULTS} WHERE matched GROUP BY ALL) GROUP BY l_orderkey) n USING (l_orderkey) GROUP BY l_orderkey)"""
+
 SQL = {
     "line_section_counts": f"SELECT lang, coalesce({LABEL}, 'none') AS label, {NOISE} AS noise, count(*) AS n_lines, sum(len(text))::BIGINT AS n_chars FROM (SELECT *, {key('text')} AS k FROM {LINES}) GROUP BY ALL",
     "separator_profile": f"""SELECT doc_id, sum(s)::BIGINT AS separators, sum(t)::BIGINT AS tokens, count(*) FILTER (WHERE (s >= 2 AND t >= 3) OR (s >= 1 AND t >= 2)) AS list_lines
@@ -268,6 +300,19 @@ SQL = {
         SELECT section, count(*) AS n, sum(len(body))::BIGINT AS n_chars FROM c WHERE body <> '' GROUP BY section""",
     "payload_projection": f"""SELECT o_orderkey::VARCHAR AS user_id, CASE WHEN {KNOWN.format('o_orderpriority')} THEN trim(o_orderpriority) ELSE '{UNKNOWN}' END AS product_name, coalesce(verified, 0) AS ingredient_verified_count, coalesce(total, 0) AS ingredient_total_count,
         coalesce(status, 'no_candidates') AS ingredient_api_status FROM orders LEFT JOIN ({_RATES}) r ON l_orderkey = o_orderkey""",
+    "list_texts": f"SELECT doc_id, len(x)::BIGINT AS n_chars, md5(x) AS text_md5 FROM {list_steps('(SELECT doc_id, text AS x FROM documents)')}",
+    "amount_texts": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size || 'g' WHEN 1 THEN '3ml / ' || p_size || ' x 3ml' ELSE '' END AS amount FROM part",
+    "mended_links": f"""WITH t AS (SELECT page_id, 'see http://' || regexp_replace(url, '^https?://', '') || ' , and www.site' || page_id || '.com/x.' AS t FROM pages),
+        f AS (SELECT page_id, list_transform(list_concat(regexp_extract_all(t, '(?i)https?://\\S+'), regexp_extract_all(t, '(?i)www\\.\\S+'), regexp_extract_all(t, '(?i)[a-zA-Z0-9.-]+\\.(?:{LINK_ENDS})\\S*')), lambda x: trim(x, ' ,.;:()[]{{}}<>')) AS ls FROM t)
+        SELECT page_id, len(list_distinct(list_transform(ls, lambda x: lower(x))))::BIGINT AS n_links, ls[1] AS first_link FROM f""",
+    "match_records": f"SELECT * FROM {_MATCHED}",
+    "flat_payloads": f"""SELECT o_orderkey AS user_id, trim(o_orderpriority) AS product_name, '{UNKNOWN}' AS capacity, coalesce(names, '') AS ingredients, 'raw' AS raw_text, '' AS usage, trim(o_orderpriority) AS cautions, '' AS effects,
+        round(o_custkey % 7 / 7.0::DOUBLE, 4) AS ocr_confidence, '2024-01-01 00:00:00' AS analyzed_at, round(coalesce(normalized_count / total_count * 100, 0), 2)::DOUBLE AS ingredient_match_rate, coalesce(normalized_count, 0) AS ingredient_verified_count,
+        coalesce(total_count, 0) AS ingredient_total_count, o_orderstatus || ',' || trim(o_orderpriority) AS ingredients_raw, coalesce(unverified, '') AS unverified_ingredients, coalesce(status, 'not_run') AS ingredient_api_status,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'www.x.com/' || o_orderkey || ',code' ELSE '' END AS qr_codes, CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.x.com/' || o_orderkey ELSE '' END AS qr_urls
+        FROM orders LEFT JOIN {_MATCHED} ON l_orderkey = o_orderkey""",
+    "stored_payloads": f"""SELECT o_orderkey AS user_id, trim(o_orderpriority) AS product_name, CASE WHEN o_orderkey % 2 = 0 THEN 'www.x.com/' || o_orderkey || ',code' ELSE '{UNKNOWN}' END AS qr_codes, coalesce(status, 'not_run') AS status,
+        coalesce(total_count, 0) AS total, '{UNKNOWN}' AS capacity FROM orders LEFT JOIN {_MATCHED} ON l_orderkey = o_orderkey""",
     "matching_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
     "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
 }

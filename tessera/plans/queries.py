@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.arrays import clean_list, compact, distinct_rows, first_known, spaceless, value_or_unknown
 from ..functions.predicates import Line, separator_count, split_tokens
 from ..functions.text import clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
-from ..operators import boxes, layout, merge, routing, sections, verify
+from ..functions import phrases
+from ..operators import boxes, extraction, layout, merge, raw_sections, records, routing, sections, verify
 from ..sources import readers
 
 #: Labels that the generated prose has, for routing over it.
@@ -274,3 +275,87 @@ def line_keys(spark, sf_dir):
     each = lines.select("lang", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in kinds.items()))).alias("x"))
     keys = each.select("lang", "x.kind", "x.key").distinct()
     return keys.groupBy("lang").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+
+
+def list_texts(spark, sf_dir):
+    """Documents made ready to be split into names."""
+    told = phrases.list_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return told.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def ingredient_names(spark, sf_dir):
+    """Names in each document's text."""
+    told = extraction.ingredient_candidates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return told.select("doc_id", F.size("items").cast("long").alias("n_names"), F.md5(F.array_join("items", "|")).alias("names_md5"))
+
+
+def amount_texts(spark, sf_dir):
+    """Amounts in texts about parts."""
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Net wt "), size, F.lit(" g"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Capacity: "), size, F.lit(" x 3 ㎖"))).otherwise(F.concat(F.lit("LOT "), size, F.lit(" ml")))
+    return extraction.amounts(table(spark, sf_dir, "part").select("p_partkey", text.alias("amount")), "amount")
+
+
+def mended_links(spark, sf_dir):
+    """Links in texts that break them."""
+    text = F.concat(F.lit("see http : //"), F.regexp_replace("url", "^https?://", ""), F.lit(" , and www . site"), F.col("page_id").cast("string"), F.lit(" . com/x."))
+    links = extraction.link_candidates(text)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.get(links, F.lit(0)).alias("first_link"))
+
+
+def line_results(spark, sf_dir) -> DataFrame:
+    """Order lines as results of a verification: a line matches if it was returned, its status is the name that was found."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), (F.col("l_returnflag") == "R").alias("matched"), F.concat(F.lit("Name "), "l_linestatus", (F.col("l_partkey") % 2).cast("string")).alias("matched_name_kr"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("ocr_name"))
+
+
+def match_records(spark, sf_dir):
+    """Results of each order's lines as one record."""
+    told = records.match_records(line_results(spark, sf_dir), "l_orderkey")
+    return told.select("l_orderkey", "total_count", "success_count", "failed_count", "normalized_count", "status", F.array_join("verified_ingredient_names", ",").alias("names"), F.array_join(F.transform("unverified_ingredients", lambda x: x["ocr_name"]), ",").alias("unverified"))
+
+
+def final_of_orders(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    none = F.array().cast("array<string>")
+    merged = orders.select(
+        F.col("o_orderkey").alias("user_id"), F.col("o_orderpriority").alias("product_name"), F.lit(None).cast("string").alias("capacity"), F.array("o_orderstatus", "o_orderpriority", F.lower("o_orderstatus")).alias("ingredients_raw"),
+        F.array(F.lit("N/A")).alias("usage"), F.array("o_orderpriority").alias("cautions"), none.alias("effects"), none.alias("qr_codes"), none.alias("urls"), F.lit("raw").alias("raw_text"), (F.col("o_custkey") % 7 / 7.0).alias("confidence"),
+    )
+    validation = records.validations(records.match_records(line_results(spark, sf_dir), "l_orderkey"), "l_orderkey").withColumnRenamed("l_orderkey", "user_id")
+    images = orders.select(F.col("o_orderkey").alias("user_id"), F.lit(0).alias("no"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.concat(F.lit("www.x.com/"), F.col("o_orderkey").cast("string")), F.lit("code"))).alias("codes"))
+    return records.final_records(merged, validation, records.link_union(images, "user_id", "no", ("codes",)), "user_id", F.lit("2024-01-01 00:00:00"))
+
+
+def flat_payloads(spark, sf_dir):
+    """The flat record of each order, all 18 fields."""
+    told = records.flat_payload(final_of_orders(spark, sf_dir))
+    lists = ("ingredients", "usage", "cautions", "effects", "ingredients_raw", "qr_codes", "qr_urls")
+    told = told.withColumn("unverified_ingredients", F.transform("unverified_ingredients", lambda x: x["ocr_name"]))
+    return told.select(*(F.array_join(c, ",").alias(c) if c in (*lists, "unverified_ingredients") else F.col(c) for c in told.columns))
+
+
+def stored_payloads(spark, sf_dir):
+    """The nested record of each order, as JSON without its lists of structs."""
+    told = records.nested_payload(final_of_orders(spark, sf_dir), "user_id")
+    p = F.col("payload")
+    return told.select("user_id", p["result"]["product_name"].alias("product_name"), F.array_join(p["result"]["qr_info"]["qr_codes"], ",").alias("qr_codes"), p["ingredient_api_validation"]["status"].alias("status"), p["ingredient_api_validation"]["total_checked_count"].alias("total"), F.get_json_object(F.to_json(p), "$.result.capacity").alias("capacity"))
+
+
+def raw_section_texts(spark, sf_dir):
+    """Sections of the documents' raw texts by the walk for raw text."""
+    lines = raw_sections.raw_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return raw_sections.raw_sections(lines, "doc_id").select("doc_id", "section", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def raw_lists(spark, sf_dir):
+    """The list of names that each document's raw text holds."""
+    lines = raw_sections.raw_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return raw_sections.list_in_raw_text(lines, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def extracted_fields(spark, sf_dir):
+    """All fields of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = records.extract_fields(docs, "doc_id", "text")
+    return told.select("doc_id", "product_name", "capacity", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("ingredients_raw", "usage", "cautions", "effects", "qr_codes", "urls")))

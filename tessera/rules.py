@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 #: How "nothing known" is written at the edge, and all the spellings of it that are dropped on reading. Fixed values.
 UNKNOWN = "확인 불가"
@@ -132,3 +132,61 @@ SENTENCE_ENDING = (
     r"|사용한다|사용하십시오|사용하세요|사용합니다|주의|금지|중단|보관|섭취|문의|상담)(?:[.!?]|\s*$)"
 )
 TRAILING_ADVERT = r"(?i)\s*[+*]\s*[가-힣A-Za-z0-9\-'‘’][가-힣A-Za-z0-9\-'‘’\s,]*?(?:\(\s*\d[\d,\s]*\s*ppm\s*\))?\s*함유\s*\.?\s*$"
+
+#: Where the rules for text without detected sections differ from those of the detector.
+RAW = replace(
+    LABELS,
+    product=("제품명", "제품 명", "품명", "상품명", "제품이름", "제품 이름", "product name", "item name"),
+    noise=("for", "cfor", "the", "and", "from", "with", "use", "made", "in", "korea", "usa", "소비자가", "만드는신문", "신문", "brand", "nobrand", "no brand"),
+    not_ingredients=(
+        "사용후", "사용 후", "사용하지", "사용하고", "사용하기", "바릅니다", "발라", "흡수", "마사지", "세안", "도포", "화기", "화기주의", "가연성", "가스", "환기", "불",
+        "버리지", "장소", "보관", "경우", "반드시", "하십시오", "하세요", "합니다", "됩니다", "있습니다", "상담", "고객", "소비자", "제조", "판매", "주소",
+        "교환", "반품", "분쟁", "공정거래", "분리수거", "분리배출", "용기", "상품", "상표", "원산지", "품질보증", "욕실", "녹슬지",
+    ),
+    not_capacity=("제조번호", "제조일자", "사용기한", "유통기한", "exp", "mfg", "별도표", "lot", "batch"),
+    usage_signals=("사용방법", "사용법", "사용순서", "바르", "발라", "도포", "흡수", "마사지", "세안", "눈가", "얼굴", "피부", "적당량", "apply", "massage", "rinse"),
+    phone=r"\d{2,4}-\d{3,4}-\d{4}",
+)
+
+#: Words of makers' notes, regions, and what tells an explanation from a list of names.
+META_NOISE = (
+    "brand", "상표", "이마트", "nobrand", "no brand", "소비자", "신문", "제조", "주소", "상담", "공급업자", "원산지", "품질보증",
+    "corporation", "manufacturer", "distributor", "고객센터", "판매업자", "책임판매업자",
+)
+REGIONS = "서울|경기|인천|부산|대구|광주|대전|울산|충북|충남|청주|주소"
+EXPLAINS = "도움|준다|주고|함유되어|성분이|줍니다|바릅니다|하십시오|마세요"
+LIST_SUFFIX = r"(?:추출물|오일|버터|왁스|애[씨시]드|에이트|레이트|이드|클로라이드|글라이콜|폴리머|에테르|하이드록사이드|설페이트|페이트|향료|색소|비타민)"
+
+#: Ends of names, after which a comma is put, and beginnings of names, before which one is put, in this order.
+NAME_ENDS = (
+    "정제수", "글리세린", "부틸렌글라이콜", "프로필렌글라이콜", "다이프로필렌글라이콜", "스테아릭애씨드", "미리스틱애씨드", "라우릭애씨드", "팔미틱애씨드",
+    "하이드록사이드", "스테아레이트", "팔미테이트", "미리스테이트", "라우레이트", "추출물", "오일", "버터", "왁스", "알코올", "토코페롤", "판테놀", "카보머", "트로메타민",
+    "이디티에이", "하이알루로네이트", "하이알루로닉", "페녹시에탄올", "리모넨", "리날룰", "아데노신", "다이올", "나이아신아마이드", "콜라겐", "유비퀴논", "알란토인", "베타인", "잔탄검",
+)
+NAME_STARTS = (
+    "소듐라우레스", "소듐라우릴", "소듐클로라이드", "소듐시트레이트", "소듐하이드록사이드", "소듐벤조에이트", "소듐자일렌", "소듐이디티에이", "소듐살리실레이트", "다이소듐이디티에이", "트라이소듐이디티에이",
+    "소듐", "소둠", "소돔", "포타슘하이드록사이드", "포타슘", "코카미도프로필베타인", "코카미도프로필", "코카미드", "글리세린", "부틸렌글라이콜", "프로필렌글라이콜", "다이프로필렌글라이콜", "헥실렌글라이콜",
+    "정제수", "스테아릴알코올", "세틸알코올", "세테아릴알코올", "베헤닐알코올", "라우릴알코올", "알로에베라추출물", "녹차추출물", "카밀레추출물", "향료", "색소", "구아하이드록시", "잔탄검", "카보머",
+    "나이아신아마이드", "판테놀", "아데노신", "토코페롤", "알란토인", "베타인", "하이알루로닉애씨드", "하이알루로네이트", "페녹시에탄올", "메칠파라벤", "에칠파라벤", "시트릭애씨드", "락틱애씨드", "말릭애씨드",
+    "피이지", "폴리쿼터늄", "트라이에탄올아민", "트로메타민", "테트라소듐", "테트라", "에탄올", "이소프로판올", "향료", "물",
+)
+
+#: Where advertising begins in a product name, and how a name that is one ends.
+NAME_CUTS = (
+    r"(?U)\s*[가-힣]{1,4}감을?\s*(?:전달|선사|제공|부여|선물)하[여는을며고지]\s*", r"(?U)\s*(?:전달|선사|부여|선물)하[여는을며고지]\s*", r"(?U)\s*(?:에\s*)?도움을\s*주[는며고지]\s*",
+    r"(?U)\s*함유되어\s*", r"(?U)\s*위해\s*만든\s*", r"(?U)\s*마치\s+[가-힣A-Za-z]+\s+(?:같은|처럼|듯한)\s*",
+)
+ADVERT_END = r"(?:는|한|된|해|하여|되어|위한|로서|에서|함유|주는|전달|선사)$"
+
+#: Labels inside a section's text, and headers that alone open an ingredient list in raw text.
+SECTION_LABELS = (
+    *((x, "usage") for x in ("사용방법", "사용법", "용법용량", "용법", "사용순서", "사용 방법", "사용 순서")),
+    *((x, "cautions") for x in ("사용상의 주의사항", "사용할 때의 주의사항", "사용시의 주의사항", "사용시 주의사항", "사용상주의사항", "주의사항", "경고")),
+    *((x, "effects") for x in ("효능효과", "효능 효과", "효능", "효과", "주요기능", "기능성", "주요특징", "제품특징")),
+    *((x, "ingredients") for x in ("전성분", "주요성분", "주성분", "성분명", "원료명")),
+)
+LIST_HEADERS = tuple(x for x in RAW.ingredients if x not in ("성분", "원료"))
+CAPACITIES = (
+    r"(?i)\d+(?:\.\d+)?\s?(?:ml|g|kg|mg|oz|fl\.?\s?oz|매|pcs|ea|개)", r"(?i)\d+\s?[xX×]\s?\d+(?:\.\d+)?\s?(?:ml|g|kg|mg|oz|매|pcs|ea|개)?", r"(?i)\d+(?:\.\d+)?\s?(?:fl\.?\s?oz)",
+)
+LINK_ENDS = "com|co\\.kr|kr|net|org|io|ai|shop|mall|beauty|me|app|store|global"
