@@ -14,6 +14,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,10 @@ from .common import saved, work_path
 BLOCK_LINES, MOST_BLOCKS = 3000, 100_000
 #: Bytes between two records that are still read in one go, and the most bytes read so.
 GAP, WINDOW = 1 << 14, 1 << 22
+#: Bytes of archives that a task reads back.
+TASK_BYTES = 1 << 24
 CRLF = "\r\n"
+CONTROLS = re.compile(r"[\x00-\x20\x7f]")
 
 
 def url_key(url: str | None) -> str:
@@ -53,16 +57,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record(page: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A WARC record: a response with its payload, or a revisit that has the HTTP head only."""
     http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{CRLF}{CRLF}".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>" if page is not None else "WARC-Record-ID: <urn:nopage:0>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.insert(4, f"WARC-Target-URI: {json.dumps(url)[1:-1]}")
+        plain = CONTROLS.sub(lambda m: f"%{ord(m[0]):02X}", url)
+        head.insert(4, f"WARC-Target-URI: {plain}")
+        if plain != url:  # for reading back: other readers skip fields that they do not know
+            head.insert(5, f"X-Original-URI: {json.dumps(url)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return (CRLF.join(head) + CRLF + CRLF).encode() + block + b"\r\n\r\n"
@@ -79,10 +86,10 @@ def parse_record(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(next(x for x in http.decode().split(CRLF) if x.startswith("Content-Length: "))[16:])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    own = lambda name: fields[name].removeprefix("<urn:page:").removesuffix(">") if name in fields else None
+    own = lambda name: fields[name].removeprefix("<urn:page:").removesuffix(">") if fields.get(name, "").startswith("<urn:page:") else None
     found = {"page": own("WARC-Record-ID"), "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": digest, "refers_to": own("WARC-Refers-To")}
     uri = fields.get("WARC-Target-URI")
-    found["url"] = None if uri is None else json.loads(f'"{uri}"')
+    found["url"] = json.loads(fields["X-Original-URI"]) if "X-Original-URI" in fields else uri
     found["payload"] = payload if found["record_type"] == "response" else None
     if found["payload"] is not None and (len(payload), base32_sha1(payload)) != (size, digest):
         raise ValueError(f"the payload of {found['page']} is damaged")
@@ -117,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 out = system.open_output_stream(path, compression=None)
             keys, offsets, lengths = [], [], []
             for page, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                member = gzip.compress(record("none" if page is None else page, url, payload, base32_sha1(payload), refers_to), 6, mtime=0)
+                member = gzip.compress(record(page, url, payload, base32_sha1(payload), refers_to), 6, mtime=0)
                 out.write(member)
                 keys.append(url_key(url))
                 offsets.append(at)
@@ -182,8 +189,11 @@ def look_up(index: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFram
     return lines.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi")
 
 
-def read_ranges(captures: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records at the captures' byte ranges: (page, url, record_type, payload_bytes, payload_digest, refers_to[, payload])."""
+def read_ranges(captures: DataFrame, with_payload: bool = False, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The records at the captures' byte ranges: (page, url, record_type, payload_bytes, payload_digest, refers_to[, payload]).
+
+    captures: a stored table. Neighbouring records are dealt together, about task_bytes of archives to a task.
+    """
     schema = "page string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string" + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -206,7 +216,9 @@ def read_ranges(captures: DataFrame, with_payload: bool = False) -> DataFrame:
             kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
-    near = captures.select("path", "offset", "length").repartition("path", F.expr("offset div 67108864")).sortWithinPartitions("path", "offset")
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    # A number of its own: adaptive execution would merge tasks by the few bytes of the captures. Chunks are smaller than a task, so that tasks even out.
+    near = captures.select("path", "offset", "length").repartition(max(1, -(-size // task_bytes)), "path", F.expr(f"offset div {max(1, task_bytes // 4)}")).sortWithinPartitions("path", "offset")
     return near.mapInArrow(run, schema)
 
 
@@ -221,7 +233,6 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     folder = folder or work_path(pages.sparkSession, "archives")
     captures = saved(write_archives(pages, folder, id_col, url_col, payload_col), "captures")
     index = saved(build_index(captures), "index")
-    found = read_ranges(look_up(index, pages.select(url_col), url_col))
+    found = read_ranges(saved(look_up(index, pages.select(url_col), url_col), "found"))
     kind = pages.schema[id_col].dataType
-    page = F.when(F.col("page") != "none", F.col("page")).cast(kind)
-    return found.select(page.alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("url").alias(url_col))
+    return found.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("url").alias(url_col))
