@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = saved(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1"), "centres")
     shared = saved(members.join(buckets.hint("merge"), "bucket"), "buckets")
     needed = shared.select("id").distinct()
-    sets = saved(_sets(keyed.join(needed.hint("shuffle_hash"), "id").select("id", "text", "text_key").dropDuplicates(["id", "text_key"]).select("id", "text")), "sets")
+    sets = saved(_sets(keyed.join(needed.hint("merge"), "id").select("id", "text", "text_key").dropDuplicates(["id", "text_key"]).select("id", "text")), "sets")
     pairs = shared.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     labels = connected_components(saved(confirmed(pairs, sets, percent), "links"))
     # What stars may have missed: links between components that meet in a bucket.
@@ -174,6 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all columns as they are."""
+    """The rows of docs that near_duplicates keeps, with all columns as they are; of rows that share an id and a text, one."""
     found = near_duplicates(docs, id_col, text_col, with_key=True).where("kept").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")), "left_semi")
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    kept = keyed.join(found.hint("merge"), keyed[id_col].eqNullSafe(F.col("_id")) & (keyed["_key"] == found["_key"]), "left_semi")
+    # Repeated rows are told by id and text; texts without an id are no copies of one another.
+    known, nameless = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
+    return known.dropDuplicates([id_col, "_key"]).unionByName(nameless).select(*docs.columns)

@@ -22,7 +22,7 @@ from .common import saved
 
 #: Shares of the pooled covariance and of the identity in a class covariance.
 POOLED, ROUND = 0.3, 0.05
-#: Log density differences grow with the number of statistics; the score divides by it, which keeps its sign.
+#: Rows whose id has this remainder of its CRC are held out.
 FOLDS, HELD_OUT = 3, 1
 
 STATISTICS = (
@@ -88,6 +88,7 @@ class Discriminant:
         if self.only is not None:
             return np.full(len(x), self.only)
         low, high = (prior - 0.5 * (((x - mean) @ factor.T) ** 2).sum(axis=1) - 0.5 * determinant for prior, mean, factor, determinant in self.classes)
+        # Log density differences grow with the number of statistics; dividing by it keeps the sign.
         return 1 / (1 + np.exp(-np.clip((high - low) / x.shape[1], -700, 700)))
 
 
@@ -137,8 +138,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     get equal scores; an empty table gives an empty result. Language, source and other columns are not read.
     """
     stats = saved(with_statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", "label")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).try_cast("double").alias("label")).where("id is not null and label in (0.0, 1.0)")
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("id", F.col("label").cast("int").alias("label"))
     model = fit(stats.where(~held_out("id")).join(known, "id").select("stats", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,4 +155,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are predicted good, with all columns as they are."""
     bad = score_quality(docs, labels, id_col, text_col, with_key=True).where("predicted = 0").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")), "left_anti")
+    return docs.join(bad.hint("merge"), docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")), "left_anti")

@@ -165,7 +165,7 @@ def exact_copies(scanned: DataFrame) -> DataFrame:
 def repeated_windows(keyed: DataFrame, scanned: DataFrame, copies: DataFrame) -> DataFrame:
     """(id, text_key, text, run_start, run_length, starts): documents, but for exact copies, with windows that start in a document with a smaller id."""
     # Anchors that several documents have; partial sums come before the shuffle, so a common passage is no hot key.
-    originals = scanned.where("id is not null").join(copies.hint("shuffle_hash"), ["id", "text_key"], "left_anti")
+    originals = scanned.where("id is not null").join(copies.hint("merge"), ["id", "text_key"], "left_anti")
     before = F.when(F.size("next") > 0, F.concat(F.array(F.lit(int(END.view(np.int64)))), F.slice("next", 1, F.size("next") - 1))).otherwise(F.col("next"))
     each = originals.select("id", "text_key", F.explode(F.arrays_zip("pos", "kmer", "next", before.alias("prev"))).alias("a"))
     stats = (
@@ -177,12 +177,12 @@ def repeated_windows(keyed: DataFrame, scanned: DataFrame, copies: DataFrame) ->
     stats = saved(stats, "repeated")  # as a table, so that adaptive execution can split the join below
     places = each.select("id", "text_key", F.col("a.kmer").alias("kmer"), F.col("a.pos").alias("pos"))
     flags = places.join(stats.hint("merge"), "kmer").groupBy("id", "text_key").agg(F.collect_set(F.struct("pos", "first", "goes", "comes")).alias("flags"))
-    flagged = saved(_windows(keyed.join(flags.hint("shuffle_hash"), ["id", "text_key"])), "windows")
+    flagged = saved(_windows(keyed.join(flags.hint("merge"), ["id", "text_key"])), "windows")
     opened = flagged.select("id", "text_key", F.explode(F.arrays_zip("start", "hash_a", "hash_b")).alias("w")).select("id", "text_key", "w.*")
     firsts = opened.groupBy("hash_a", "hash_b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("hash_a", "hash_b", "first")
     firsts = saved(firsts, "firsts")
     late = opened.join(firsts.hint("merge"), ["hash_a", "hash_b"]).where("id > first").groupBy("id", "text_key").agg(F.collect_set("start").alias("starts"))
-    return flagged.select("id", "text_key", "text", "run_start", "run_length").join(late.hint("shuffle_hash"), ["id", "text_key"], "left").where("size(run_start) > 0 or starts is not null")
+    return flagged.select("id", "text_key", "text", "run_start", "run_length").join(late.hint("merge"), ["id", "text_key"], "left").where("size(run_start) > 0 or starts is not null")
 
 
 def kept_words(n: int, run_start: np.ndarray, run_length: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = saved(_scan(keyed), "anchors")
     gone = removals(keyed, scanned)
     every = scanned.select("id", "text_key", "sha", "n_words")
-    return every.join(gone.hint("shuffle_hash"), ["id", "text_key"], "left").select(
+    return every.join(gone.hint("merge"), ["id", "text_key"], "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
 
@@ -254,6 +254,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _keyed(docs, id_col, text_col)
     gone = removals(keyed, saved(_scan(keyed), "anchors"), with_text=True)
     gone = gone.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "kept_text")
-    joined = docs.join(gone.hint("shuffle_hash"), (docs[id_col] == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")), "left")
+    joined = docs.join(gone.hint("merge"), (docs[id_col] == F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key")), "left")
     kept = joined.where("kept_text is null or kept_text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return kept.select(*(F.coalesce("kept_text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns))

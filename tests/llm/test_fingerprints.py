@@ -47,3 +47,31 @@ def test_chain_is_a_longest_one():
     a, b = r.integers(0, 20, 80).astype(np.uint64), r.integers(0, 20, 70).astype(np.uint64)
     i, j = f.collinear(a, b)
     assert (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+
+
+def test_anchors_against_every_kmer():
+    """Each k-mer by itself: its least inner substring lies at an edge, whatever stands around it."""
+    for text in (letters(10, 700), "ab" * 60, "a" * 50, "short", letters(11, f.K), "東京" * 20):
+        points = f.code_points(text)
+        at, hashes = f.anchors(points)
+        found = dict(zip(at.tolist(), hashes.tolist()))
+        for i in range(len(points) - f.K + 1):
+            kmer = points[i : i + f.K]
+            inner = [int(f.gram_hashes(kmer[j : j + f.S].astype(np.uint64), f.S, 31)[0]) for j in range(f.K - f.S + 1)]
+            assert (i in found) == (min(inner) in (inner[0], inner[-1]))
+            if i in found:
+                assert found[i] == int(f.anchors(kmer)[1][0])
+
+
+def test_likeness_against_all_chains():
+    """The best rising matches of few anchors, found by trying all of them between the common ends."""
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (r.integers(0, 5, r.integers(1, 9)).astype(np.uint64) for _ in range(2))
+        i, j = f.collinear(a, b)
+        longest = np.zeros((len(a) + 1, len(b) + 1), int)
+        for x in range(len(a)):
+            for y in range(len(b)):
+                longest[x + 1, y + 1] = longest[x, y] + 1 if a[x] == b[y] else max(longest[x, y + 1], longest[x + 1, y])
+        assert (a[i] == b[j]).all() and len(i) <= longest[-1, -1]
+        assert len(set(a.tolist())) < len(a) or len(set(b.tolist())) < len(b) or len(i) == longest[-1, -1]

@@ -92,7 +92,8 @@ def test_near_duplicates(spark, monkeypatch, several):
     want = [(d, len(s), root(d) if d is not None else None, d is None or root(d) == d) for d, s in sets]
     got = [tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert neardup.one_of_each(frame(spark, rows)).count() == sum(r[3] for r in want)
+    kept = [(d, t) for (d, t), r in zip(rows, want) if r[3]]
+    assert neardup.one_of_each(frame(spark, rows)).count() == len({x for x in kept if x[0] is not None}) + sum(d is None for d, _ in kept)
 
 
 @pytest.mark.parametrize("labels", [1, 3, 200])
@@ -266,8 +267,8 @@ def test_quality(spark):
         docs.append((i, prose(i, 80).capitalize() + "." if good else " ".join(w + "###" for w in prose(i, 60).upper().split())))
         labels.append((i, int(good)))
     docs += [(400, ""), (401, None), (None, "x"), (5, docs[5][1])]
-    labels += [(6, 0), (6, 1), (7, None), (None, 1), (8, 5)]
-    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    labels += [(6, 0), (6, 1), (7, None), (None, 1), (8, 5), (9, 0.7)]
+    table = spark.createDataFrame([(i, None if y is None else float(y)) for i, y in labels], "doc_id long, quality double")
     got = quality.score_quality(frame(spark, docs), table).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
@@ -277,6 +278,38 @@ def test_quality(spark):
     assert {r.score for r in quality.score_quality(frame(spark, docs), table.where("quality = 1")).collect()} == {1.0}
 
 
+def test_fit_against_numpy(spark):
+    """Means, shrunk covariances and priors from sums over partitions are those of the whole rows."""
+    r = np.random.default_rng(9)
+    width = len(quality.STATISTICS)
+    x = r.normal(size=(300, width)) @ r.normal(size=(width, width))
+    y = (r.random(300) < 0.3).astype(int)
+    x[y == 1] += 0.5
+    model = quality.fit(spark.createDataFrame([(row.tolist(), int(k)) for row, k in zip(x, y)], "stats array<double>, label int").repartition(5))
+    common = sum((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)) / (len(x) - 2)
+    logs = []
+    for c in (0, 1):
+        own = 0.7 * np.cov(x[y == c].T) + 0.3 * common
+        own = 0.95 * own + 0.05 * np.trace(own) / width * np.eye(width)
+        d = x - x[y == c].mean(0)
+        logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(own), d))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp((logs[0] - logs[1]) / width)))
+
+
+def test_links_of_secrets_against_all_pairs():
+    r = random.Random(11)
+    for _ in range(300):
+        weak = [(a, a + r.randint(1, 30), r.choice(secrets.WEAK)) for a in r.choices(range(1500), k=r.randint(0, 12))]
+        parts = weak + [(a, a + r.randint(1, 40), r.choice(secrets.BASE)) for a in r.choices(range(1500), k=r.randint(0, 6))]
+        scope = r.choice([0, 5, 50, 200])
+
+        def near(w, p):
+            return p[0] >= w[1] and p[0] - w[1] <= scope or p[1] <= w[0] and w[0] - p[1] <= scope
+
+        want = [w for w in weak if all(any(p[2] in group and near(w, p) for p in parts) for group in secrets.COMPLEMENTS[w[2]])]
+        assert secrets.linked(weak, parts, scope) == want
+
+
 def test_discriminant_is_the_gaussian_one():
     r = np.random.default_rng(3)
     width = len(quality.STATISTICS)
@@ -363,6 +396,15 @@ def test_empty_tables(spark, op):
     assert op(frame(spark, [(1, "x")]).where("doc_id = 2")).count() == 0
 
 
+def test_records_are_plain_to_other_readers():
+    for url in ("http://a.example/%41?q=ä", "bad url\r\nX: y", "", None):
+        data = warc.record("none", url, b"x", warc.base32_sha1(b"x"), None)
+        found = warc.parse_record(data)
+        assert (found["page"], found["url"]) == ("none", url)
+        assert url is None or "\r\n" in url or f"WARC-Target-URI: {url}\r\n".encode() in data
+    assert warc.parse_record(warc.record(None, None, b"", warc.base32_sha1(b""), None))["page"] is None
+
+
 def test_empty_pages(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert quality.score_quality(frame(spark, [(1, "x")]).limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
@@ -403,6 +445,8 @@ def test_pipeline(spark, tmp_path):
     assert 200 not in kept[1] and 201 not in kept[1] and {202, 203, 204} <= set(kept[1])
     assert passage in kept[2][202] and passage.split()[30] not in kept[2][203].split() and kept[2][0] == good[0][1]
     assert "abcdef1234" not in kept[3][204] and "<SECRET>" in kept[3][204]
+    twice = spark.read.parquet(f"{folder}/documents.parquet")
+    assert pipeline.STAGES[1][1](spark, twice.union(twice), folder).groupBy("doc_id").count().where("count > 1").count() == 0
     result = pipeline.run(spark, folder)
     assert {r.doc_id for r in result.select("doc_id").distinct().collect()} == set(kept[3])
     assert result.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
