@@ -73,11 +73,11 @@ def test_amounts(spark):
 
 def test_product_names(spark):
     cases = {
-        "제품명: 수분 가득 크림": "수분 가득 크림", "Brand: Snow Cream": None, "브랜드: Snow Cream": "Snow Cream", "데일리 크림 보습감을 전달하여 좋은": "데일리 크림", "50 ml": None,
+        "제품명: 수분 가득 크림": "수분 가득 크림", "Brand: Snow Cream": "Snow Cream", "브랜드: Snow Cream": "Snow Cream", "데일리 크림 보습감을 전달하여 좋은": "데일리 크림", "50 ml": None,
         "주의사항 있음. Soft Cream. A rather long sentence about nothing much": "Soft Cream.", "": None,
     }
     got = answers(extraction.product_names(frame(spark, [*cases, None]), "id", "text"), "name")
-    assert [got.get(i) for i in range(len(cases))] == [None if k == "Brand: Snow Cream" and 1 not in got else got.get(i) if k == "Brand: Snow Cream" else v for i, (k, v) in enumerate(cases.items())]
+    assert [got.get(i) for i in range(len(cases))] == list(cases.values())
 
 
 def test_sentences(spark):
