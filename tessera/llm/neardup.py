@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, gram_hashes, hashed, list_array, mix, odd_constants, saved, slices, words_of
@@ -115,13 +115,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.withColumn("common", shared).where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
+def length_block(n: Column) -> Column:
+    """Blocks of set sizes, rising with n; four of them to a doubling."""
+    return F.floor(F.log2(n) * 4).cast("int")
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of members (id, label) with different labels that can be similar enough; no such pair is left out.
 
     Shingles are put in one order for all sets: first those that a single label has, then rare ones before common ones.
     Similar sets of n and m shingles share so many that the first shared one must come early in both: with p and q
     shingles before it, min(n - p, m - q) is at least percent / (100 + percent) of n + m. So pairs come from a join
-    on early shingles under that condition. Rows of a shingle's largest component meet only those of the others.
+    on early shingles under that condition. Rows of a shingle's largest component meet only those of the others, and
+    rows of one length only those of lengths that the condition leaves possible: a set of n shingles, `rest` of which
+    are left, can be like sets of percent / 100 * n to rest * (100 + percent) / percent - n shingles.
     """
     weights = members.groupBy("label").agg(F.count("*").alias("weight"))
     each = saved(members.join(weights, "label").join(sets, "id").select("id", "label", "weight", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
@@ -133,8 +140,11 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     mains = early.groupBy("shingle").agg(F.max(F.struct("weight", "label")).getField("label").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "main")
     rows = saved(early.join(saved(mains, "mains").hint("merge"), "shingle"), "early")
     other = rows.where("label <> main").select("shingle", F.col("id").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n"), F.col("rest").alias("c_rest"))
+    least, most = F.ceil(F.col("c_n") * percent / 100), F.floor(F.col("c_rest") * (100 + percent) / percent - F.col("c_n"))
+    other = other.where(least <= most).withColumn("block", F.explode(F.sequence(length_block(least), length_block(most))))
     able = f"label <> c_label and (label = main or id > c) and least(rest, c_rest) * {100 + percent} >= (n + c_n) * {percent}"
-    return rows.join(other, "shingle").where(able).select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+    found = rows.withColumn("block", length_block(F.col("n"))).join(other, ["shingle", "block"]).where(able)
+    return found.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, with_key: bool = False) -> DataFrame:
