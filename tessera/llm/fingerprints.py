@@ -9,12 +9,13 @@ lists the SKETCH smallest hashes besides. The likeness of two texts comes from a
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import gram_hashes, mix, sliding
 
 K, S = 16, 8
 SKETCH = 64
+#: How documents are dealt to tasks: characters of a text that cuts may look at, rows a part that cuts are chosen from, bytes of text a part.
+HEAD, CUT_ROWS, PART_BYTES = 64, 32, 32 << 20
 
 
 def code_points(text: str) -> np.ndarray:
@@ -138,31 +141,37 @@ def as_string(marks: Marks) -> str:
     return digest + smallest(marks.hashes).astype(">u8").tobytes().hex()
 
 
-def with_neighbours(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def place(doc, head: str) -> tuple:
+    """Where a row stands: nulls first, by id, then by the start of its text."""
+    return (False, head) if doc is None else (True, doc, head)
+
+
+def with_neighbours(docs: DataFrame, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, guest, id, text) such that each part holds a stretch of documents in ascending id, and as guest the next stretch's first.
 
-    One shuffle of the texts: stretches start at existing ids, so the first document of each is dealt to two parts.
-    Null ids come first; rows that share an id are ordered by text.
+    One shuffle of the texts: stretches start at existing rows, so the first document of each is dealt to two parts.
+    Null ids come first; rows that share an id, or have none, are ordered by text, and cut by the first HEAD characters
+    of it, so that they spread over parts too. Cuts come from about CUT_ROWS random rows a part; they decide on the size
+    of parts and on nothing else. Without a number of parts there is one for PART_BYTES of text, or as many as shuffles have.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = ", ".join(str(i / partitions) for i in range(1, partitions))
-    ends = plain.agg(F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("holes"), F.expr(f"percentile_approx(id, array({wanted}), 100000)" if wanted else "null").alias("cuts")).first()
-    low, holes = ends["low"], bool(ends["holes"])
-    cuts = np.array(sorted(set(ends["cuts"] or []) - {low}), np.int64)
+    heads = plain.select("id", F.substring("text", 1, HEAD).alias("head"))
+    told = plain.agg(F.min(F.struct("id", F.substring("text", 1, HEAD))).alias("low"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if partitions is None:
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(told["bytes"] or 0) // PART_BYTES))
+    low = told["low"] and place(*told["low"])
+    some = sorted(place(*row) for row in heads.orderBy(F.rand(41)).limit(CUT_ROWS * partitions).collect()) if partitions > 1 else []
+    cuts = sorted({some[i * len(some) // partitions] for i in range(1, partitions)} - {low}) if some else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy()
-            part = np.where(null, 0, np.searchsorted(cuts, ids, "right"))
+            places = [place(*x) for x in zip(batch.column(0).to_pylist(), pc.utf8_slice_codeunits(batch.column(1), 0, HEAD).to_pylist())]
+            part = [bisect_right(cuts, x) for x in places]
             # Guests: the first of a stretch in the one before, the very first of all in the last.
-            early = np.flatnonzero(np.isin(ids, cuts) & ~null)
-            first = np.flatnonzero(null if holes else ids == low)
-            row = np.concatenate([np.arange(len(batch)), early, first])
-            place = np.concatenate([part, part[early] - 1, np.full(len(first), len(cuts))])
-            guest = np.arange(len(row)) >= len(batch)
-            own = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(guest), *own.columns], names=["part", "guest", "id", "text"])
+            guests = [(i, len(cuts) if x == low else n - 1) for i, (x, n) in enumerate(zip(places, part)) if x == low or n and x == cuts[n - 1]]
+            own = batch.take(pa.array([*range(len(batch)), *(i for i, _ in guests)], pa.int64()))
+            numbers = pa.array([*part, *(n for _, n in guests)], pa.int32())
+            yield pa.RecordBatch.from_arrays([numbers, pa.array([False] * len(batch) + [True] * len(guests)), *own.columns], names=["part", "guest", "id", "text"])
 
     dealt = plain.mapInArrow(deal, f"part int, guest boolean, id {docs.schema[id_col].dataType.simpleString()}, text string")
     return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "text")
@@ -173,11 +182,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next document,
     in ascending id; after the last comes the first, and a single document follows itself. A null text counts as empty.
-    Rows without an id come first, and rows that share an id follow one another by text. An empty table gives an empty
+    Ids are integers or strings. Rows without an id come first, and rows that share an id follow one another by text. An empty table gives an empty
     result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    dealt = with_neighbours(docs, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), id_col, text_col)
+    dealt = with_neighbours(docs, partitions, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -1,5 +1,6 @@
 """Fingerprints of long texts, and matching by position."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -75,3 +76,20 @@ def test_likeness_against_all_chains():
                 longest[x + 1, y + 1] = longest[x, y] + 1 if a[x] == b[y] else max(longest[x, y + 1], longest[x + 1, y])
         assert (a[i] == b[j]).all() and len(i) <= longest[-1, -1]
         assert len(set(a.tolist())) < len(a) or len(set(b.tolist())) < len(b) or len(i) == longest[-1, -1]
+
+
+@pytest.mark.parametrize("name", ["bigint", "string"])
+def test_a_third_of_all_rows_without_id_or_with_one_id_is_spread(spark, name):
+    texts = [f"{i * 7919 % 300:03d} words that follow {i}" for i in range(300)]
+    rows = [((None, "5", str(i))[i % 3], t) for i, t in enumerate(texts)]
+    rows = [(int(d) if d and name == "bigint" else d, t) for d, t in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {name}, text string")
+    sizes = [r["count"] for r in f.with_neighbours(docs, 10).where("not guest").groupBy("part").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 7 and max(sizes) < 75
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] if x[0] is not None else rows[1][0], x[1]))
+    want = []
+    for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
+        m = len(t) // 4
+        want.append((d, hashlib.sha256((t[: len(t) - m] + n[:m]).encode()).hexdigest()))
+    got = f.fingerprints(docs, partitions=10).select("doc_id", "edited_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
