@@ -23,8 +23,8 @@ from .common import gram_hashes, mix, sliding
 
 K, S = 16, 8
 SKETCH = 64
-#: How documents are dealt to tasks: characters of a text that cuts may look at, rows a part that cuts are chosen from, bytes of text a part, most parts.
-HEAD, CUT_ROWS, PART_BYTES, MOST_PARTS = 64, 32, 64 << 20, 10_000
+#: How documents are dealt to tasks: characters of a text that cuts may look at, rows a part that cuts are chosen from and most of them in all, bytes of text a part, most parts.
+HEAD, CUT_ROWS, MOST_CUT_ROWS, PART_BYTES, MOST_PARTS = 64, 32, 1_000_000, 64 << 20, 100_000
 
 
 def code_points(text: str) -> np.ndarray:
@@ -151,9 +151,10 @@ def with_neighbours(docs: DataFrame, partitions: int | None = None, id_col: str
 
     One shuffle of the texts: stretches start at existing rows, so the first document of each is dealt to two parts.
     Null ids come first; rows that share an id, or have none, are ordered by text, and cut by the first HEAD characters
-    of it, so that they spread over parts too. Cuts come from about CUT_ROWS random rows a part; they decide on the size
-    of parts and on nothing else. Without a number of parts there is one for PART_BYTES of text, or as many as shuffles
-    have, but no more than MOST_PARTS, which bounds what the driver gathers and sends; parts are then larger and sorted on disk.
+    of it, so that they spread over parts too. Cuts come from about CUT_ROWS random rows a part, MOST_CUT_ROWS at most; they
+    decide on the size of parts and on nothing else. Without a number of parts there is one for PART_BYTES of text, or as many
+    as shuffles have, but no more than MOST_PARTS; parts of a table of 100 TB hold about 1 GB, sorted on disk. The driver
+    gathers ids and heads of at most a million rows.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     heads = plain.select("id", F.substring("text", 1, HEAD).alias("head"))
@@ -161,7 +162,7 @@ def with_neighbours(docs: DataFrame, partitions: int | None = None, id_col: str
     if partitions is None:
         partitions = min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(told["bytes"] or 0) // PART_BYTES)))
     low = told["low"] and place(*told["low"])
-    share = CUT_ROWS * partitions / max(1, told["rows"])
+    share = min(CUT_ROWS * partitions, MOST_CUT_ROWS) / max(1, told["rows"])
     some = sorted(place(*row) for row in heads.where(F.rand(41) < share).collect()) if partitions > 1 else []
     cuts = sorted({some[i * len(some) // partitions] for i in range(1, partitions)} - {low}) if some else []
 
