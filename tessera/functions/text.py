@@ -13,21 +13,34 @@ GLYPHS = (
     ("\r", " "), ("\n", " "), ("\t", " "), ("，", ","), ("、", ","), ("；", ";"), ("：", ":"), ("ㆍ", "·"), ("（", "("), ("）", ")"), ("［", "["), ("］", "]"), ("【", "["), ("】", "]"),
     ("㎖", "ml"), ("ｍｌ", "ml"), ("ＭＬ", "ml"), ("ｇ", "g"), ("Ｇ", "g"), ("㎎", "mg"), ("㎏", "kg"), ("–", "-"), ("—", "-"), ("−", "-"),
 )
+#: Glyphs that recognised text has besides.
+MORE_GLYPHS = (
+    ("・", "·"), ("「", "["), ("」", "]"), ("『", "["), ("』", "]"), ("㎘", "kl"), ("㎕", "ul"), ("㎍", "ug"), ("㎤", "cm3"), ("‐", "-"), ("‑", "-"),
+    ("\u201c", '"'), ("\u201d", '"'), ("\u2018", "'"), ("\u2019", "'"), ("Ⅰ", "I"), ("Ⅱ", "II"), ("Ⅲ", "III"), ("Ⅳ", "IV"), ("Ⅴ", "V"),
+    ("▶", ""), ("▷", ""), ("◀", ""), ("◁", ""), ("→", " "), ("←", " "), ("↑", " "), ("↓", " "), ("•", "·"), ("●", "·"), ("○", " "), ("■", " "), ("□", " "), ("◆", " "), ("◇", " "),
+    ("★", " "), ("☆", " "), ("✓", " "), ("✔", " "), ("０", "0"), ("１", "1"), ("２", "2"), ("３", "3"), ("４", "4"), ("５", "5"), ("６", "6"), ("７", "7"), ("８", "8"), ("９", "9"),
+    ("％", "%"), ("＆", "&"), ("＋", "+"), ("／", "/"), ("＿", "_"),
+)
 SPACING = (
     (r"(?U)\s+", " "), (r"(?U)\s*,\s*", ", "), (r"(?U)\s*;\s*", "; "), (r"(?U)\s*:\s*", ": "), (r"(?U)\s+([,.;:)\]\}])", "$1"), (r"(?U)([(\[\{])\s+", "$1"), (r"([,;])(?=[가-힣A-Za-z0-9])", "$1 "),
 )
 
 
-def clean_text(c: Column) -> Column:
+def clean_text(c: Column, glyphs: tuple[tuple[str, str], ...] = GLYPHS) -> Column:
     """Glyphs unified, white space collapsed, spacing around separators and brackets made even; null becomes empty."""
-    one_to_one = [(a, b) for a, b in GLYPHS if len(a) == len(b) == 1]
+    one_to_one = [(a, b) for a, b in glyphs if len(a) == len(b) == 1]
     c = F.translate(F.coalesce(c, F.lit("")), "".join(a for a, _ in one_to_one), "".join(b for _, b in one_to_one))
-    c = replaced(c, [(a, b) for a, b in GLYPHS if not len(a) == len(b) == 1])
+    c = replaced(c, [(a, b) for a, b in glyphs if not len(a) == len(b) == 1])
     for pattern, new in SPACING:
         c = F.regexp_replace(c, pattern, new)
     return strip(c)
 
 
+def clean_recognised(c: Column) -> Column:
+    """clean_text of text as recognised from images, with its marks, numerals and wide digits."""
+    return clean_text(c, GLYPHS + MORE_GLYPHS)
+
+
 def clean_lines(c: Column) -> Column:
     """clean_text of each line; blank lines go."""
     return F.array_join(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), clean_text), lambda x: x != ""), "\n")

@@ -116,3 +116,13 @@ def quality_score(texts: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
 def best_variant(scored: DataFrame, by: str = "image_id", order: str = "ord") -> DataFrame:
     """The row with the highest score of each image, the first of equals."""
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), order))).where("_r = 1").drop("_r")
+
+
+def distinct_variants(variants: DataFrame, by: str = "image_id", order: str | Column = "ord", variant: str = "variant", path: str = "path") -> DataFrame:
+    """The first row in `order` of each image, variant and path; a missing variant is "unknown", a missing path is empty.
+
+    Firsts are taken before the shuffle, so an image with very many rows is no hot key.
+    """
+    keys = [F.col(by), F.coalesce(variant, F.lit("unknown")).alias("_variant"), F.coalesce(path, F.lit("")).alias("_path")]
+    firsts = variants.groupBy(*keys).agg(F.min_by(F.struct(*variants.columns), order).alias("row"))
+    return firsts.select("row.*")

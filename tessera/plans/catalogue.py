@@ -13,7 +13,7 @@ NAMES = (
     "query_variants", "quality_score", "penalty_score", "keyword_cut", "anti_fill_others", "line_islands", "gap_threshold", "top_line_per_document", "merge_by_conversation",
     "match_rates", "exact_matches", "fuzzy_matches", "section_walk", "sectioned_documents", "line_clusters", "word_boxes", "box_overlaps", "suppressed_boxes",
     "two_source_merge", "override_merge", "lenient_json", "catalogue_items", "request_images", "inline_segments", "payload_projection", "matching_keys", "line_keys",
-    "list_texts", "ingredient_names", "amount_texts", "mended_links", "match_records", "flat_payloads", "stored_payloads", "raw_section_texts", "raw_lists", "extracted_fields",
+    "glyph_texts", "distinct_variants", "list_texts", "ingredient_names", "amount_texts", "mended_links", "match_records", "flat_payloads", "stored_payloads", "raw_section_texts", "raw_lists", "extracted_fields",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(queries, n) for n in NAMES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.predicates import key_of
-from ..functions.text import _quoted
+from ..functions.text import GLYPHS, MORE_GLYPHS, _quoted
 from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, LINK_ENDS, SENTINELS, UNKNOWN
 
 R = LABELS
@@ -19,6 +19,12 @@ def clean(x: str) -> str:
     return f"trim({x})"
 
 
+def clean_recognised(x: str) -> str:
+    for old, new in GLYPHS + MORE_GLYPHS:
+        x = "replace({}, '{}', '{}')".format(x, old, new.replace("'", "''"))
+    return clean(x)
+
+
 def has(k: str, words: tuple[str, ...]) -> str:
     keys = list(dict.fromkeys(x for x in map(key_of, words) if x))
     return f"regexp_matches({k}, '{'|'.join(_quoted(x) for x in keys)}')"
@@ -314,6 +320,9 @@ SQL = {
     "stored_payloads": f"""SELECT o_orderkey AS user_id, trim(o_orderpriority) AS product_name, CASE WHEN o_orderkey % 2 = 0 THEN 'www.x.com/' || o_orderkey || ',code' ELSE '{UNKNOWN}' END AS qr_codes, coalesce(status, 'not_run') AS status,
         coalesce(total_count, 0) AS total, '{UNKNOWN}' AS capacity FROM orders LEFT JOIN {_MATCHED} ON l_orderkey = o_orderkey""",
     "matching_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
+    "glyph_texts": f"SELECT p_partkey, {clean_recognised('x')} AS text FROM (SELECT p_partkey, '▶ ★' || p_name || ' ， Ⅲ → (' || p_size || ' ㎕ ) ；５％ • “' || p_brand || '” ＆ Ⅳ／２㎍' || chr(9) || '☆' AS x FROM part)",
+    "distinct_variants": """SELECT DISTINCT ON (l_orderkey, l_returnflag, l_linestatus) l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(l_returnflag, 'N') AS variant, l_linestatus AS path
+        FROM lineitem ORDER BY l_orderkey, l_returnflag, l_linestatus, l_linenumber, l_partkey, l_suppkey""",
     "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
 }
 __all__ = ["SQL", "INVALID_CANDIDATES"]

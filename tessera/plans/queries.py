@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import clean_list, compact, distinct_rows, first_known, spaceless, value_or_unknown
 from ..functions.predicates import Line, separator_count, split_tokens
-from ..functions.text import clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
+from ..functions.text import clean_recognised, clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
 from ..functions import phrases
 from ..operators import boxes, extraction, layout, merge, raw_sections, records, routing, sections, verify
 from ..sources import readers
@@ -277,6 +277,19 @@ def line_keys(spark, sf_dir):
     return keys.groupBy("lang").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
 
 
+def glyph_texts(spark, sf_dir):
+    """Texts about parts with the glyphs of recognised text."""
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("▶ ★"), "p_name", F.lit(" ， Ⅲ → ("), size, F.lit(" ㎕ ) ；５％ • “"), "p_brand", F.lit("” ＆ Ⅳ／２㎍\t☆"))
+    return table(spark, sf_dir, "part").select("p_partkey", clean_recognised(text).alias("text"))
+
+
+def distinct_variants(spark, sf_dir):
+    """The first line of each order, return flag and status."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.nullif("l_returnflag", F.lit("N")).alias("variant"), F.col("l_linestatus").alias("path"))  # noqa: E741
+    return layout.distinct_variants(l, "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+
+
 def list_texts(spark, sf_dir):
     """Documents made ready to be split into names."""
     told = phrases.list_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
