@@ -69,3 +69,67 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN page_id <> response THEN response END AS refers_to, url
 FROM d
 """
+
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY text) AS kept, sha256(text) AS text_sha256 FROM d
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+c AS (SELECT *, len(units) AS n, list_transform(range(4), lambda i: ('0x' || h[8 * i + 1:8 * i + 8])::BIGINT) AS draws FROM d),
+p AS (SELECT *, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS low, greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS high,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draws[3] % 100 >= 100 THEN 'plain'
+                  WHEN draws[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM o
+"""
+
+# A step of the recursion takes one row of every conversation, from the last to the first. For each of the states nothing yet,
+# after system, after user, after assistant it holds the cost to the end, the audit from here and the repaired text from here.
+_STATES = range(4)
+_NEXT, _KEEP = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+
+
+def _repair_step() -> str:
+    made = {2: "user:", 3: "assistant:"}
+
+    def edit(letter: str, cost: str, to: int, text: str) -> str:
+        return f"{{'c': v[{to + 1}].c + {cost}, 'a': '{letter}' || v[{to + 1}].a, 't': {text} || v[{to + 1}].t}}"
+
+    own = []
+    for q in _STATES:
+        options = [edit("D", "4", q, "''")]
+        options += [f"CASE WHEN NOT must AND left(role, 1) = '{x}' THEN {edit('K', '3 * cut', to, 'chr(10) || role || chr(58) || text')} END" for x, to in _KEEP[q].items()]
+        options.append(f"CASE WHEN NOT must THEN {edit('R', '3 + 3 * cut', _NEXT[q], f'chr(10) || {made[_NEXT[q]]!r} || text')} END")
+        own.append(f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))")
+    inserted = [f"list_min([b[{q + 1}], {{'c': b[{_NEXT[q] + 1}].c + 3, 'a': 'I' || b[{_NEXT[q] + 1}].a, 't': chr(10) || {made[_NEXT[q]]!r} || b[{_NEXT[q] + 1}].t}}])" for q in _STATES]
+    step = f"SELECT conv, k, [{', '.join(own)}] AS b FROM todo"
+    for _ in range(3):
+        step = f"SELECT conv, k, [{', '.join(inserted)}] AS b FROM ({step})"
+    return step
+
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n))"
+_END = "[{'c': 0, 'a': '', 't': ''}, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 3, 'a': 'I', 't': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 't': ''}]"
+
+REPAIR = rf"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS crcs),
+k AS (SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT k.*, xor(list_reduce(list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c // 256, crcs[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 20 AS kind FROM k, t),
+d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k, count(*) OVER (PARTITION BY conv) AS n FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN k > min(k) OVER (PARTITION BY conv, role, text) THEN 'duplicate'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) AS before FROM r),
+g AS (SELECT conv, k, n, role, text, fault IN ('blank', 'duplicate') AS must, (fault = 'truncated')::INTEGER AS cut FROM f),
+walk AS (SELECT DISTINCT conv, n + 1 AS k, {_END} AS b FROM g
+         UNION ALL (WITH todo AS (SELECT g.*, walk.b AS v FROM walk JOIN g ON g.conv IS NOT DISTINCT FROM walk.conv AND g.k = walk.k - 1) {_repair_step()})),
+told AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(b[1].c, 0)::BIGINT AS cost, coalesce(b[1].a, '') AS audit, sha256(coalesce(b[1].t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN told ON told.conv IS NOT DISTINCT FROM e.conv_id LEFT JOIN (SELECT * FROM walk WHERE k = 1) w ON w.conv IS NOT DISTINCT FROM e.conv_id
+"""

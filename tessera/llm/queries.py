@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, neardup, oracles, packing, quality, quotations, secrets, sentencepieces, substring, topk, warc
+from . import exact, fingerprints, infill, neardup, oracles, packing, quality, quotations, repair, secrets, sentencepieces, substring, topk, warc
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +60,19 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link_quotations(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_top_k,
         op9_document_fingerprints,
         op10_quotation_linking,
+        op11_exact_dedup,
+        op12_conversation_repair,
+        op13_fill_in_middle,
     )
 }
 
@@ -81,4 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op8_exact_top_k": oracles.TOP_K,
     "op10_quotation_linking": oracles.QUOTATIONS,
+    "op11_exact_dedup": oracles.EXACT,
+    "op12_conversation_repair": oracles.REPAIR,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
