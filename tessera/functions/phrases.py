@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import ADVERT_END, EXPLAINS, LIST_SUFFIX, META_NOISE, NAME_CUTS, NAME_ENDS, NAME_STARTS, RAW, REGIONS, RuleSet
+from ..rules import ADVERT_END, EXPLAINS, LIST_SUFFIX, NAME_CUTS, NAME_ENDS, NAME_STARTS, RAW, REGIONS, RuleSet
 from .arrays import compact, replaced, strip
-from .predicates import Line, has_keyword, key_of, keyword_hits
+from .predicates import Line, has_keyword, keyword_hits
+from .tagging import key_of, word_tags
 from .text import _quoted, allowed_characters, until_keyword
 
 _ENDS = r"[ ,.;:：/·ㆍ\-()\[\]{}]+"
@@ -124,18 +125,18 @@ def name_text(df: DataFrame, name: str, rules: RuleSet = RAW) -> DataFrame:
 class Phrase(Line):
     """Predicates of a text by the rules for raw text."""
 
-    def __init__(self, text: Column, rules: RuleSet = RAW):
-        super().__init__(text, rules)
+    def __init__(self, text: Column, rules: RuleSet = RAW, mask: Column | None = None):
+        super().__init__(text, rules, mask=mask)
 
     @cached_property
     def meta(self) -> Column:
-        return has_keyword(self.key, self.rules.makers + META_NOISE) | self.phone | self.text.rlike(REGIONS)
+        return self.has("makers", "meta_noise") | self.phone | F.when(self.hangul, self.text.rlike(REGIONS)).otherwise(F.lit(False))
 
     @cached_property
     def penalty(self) -> Column:
         """As for a line, but only commas count as separators."""
-        polite = self.text.rlike(self.rules.polite).cast("int") * 2
-        return keyword_hits(self.key, self.rules.not_ingredients) + polite + ((F.length(self.text) >= 45) & ~F.contains(self.text, F.lit(","))).cast("int")
+        polite = self.finds("polite").cast("int") * 2
+        return self.against + polite + ((F.length(self.text) >= 45) & ~F.contains(self.text, F.lit(","))).cast("int")
 
     @cached_property
     def tokens(self) -> Column:
@@ -161,23 +162,32 @@ class Phrase(Line):
 
     @cached_property
     def words(self) -> Column:
-        return F.filter(F.split(self.text, r"(?U)[,，、;；·ㆍ/\s]+"), lambda w: w != "")
+        """Structs of a word and the mask of the rules' words in it, null if the phrase has none."""
+        return F.transform(word_parts(self.text), lambda w: F.struct(w.alias("text"), F.lit(None).cast("bigint").alias("mask")))
+
+    def word_against(self, w: Column) -> Column:
+        """Whether a word holds one that no ingredient list has."""
+        if self.mask is None:
+            return has_keyword(compact(w["text"]), self.rules.not_ingredients)
+        return word_tags(self.rules).any_of(w["mask"], ("not_ingredients",))
 
     @cached_property
     def ingredient_list(self) -> Column:
         """Separators besides those within numbers, or at least five plain words, two of them with the ends of names."""
         between = F.greatest(self.separators - F.regexp_count(self.text, F.lit(r"\d\s*[,，、]\s*\d")), F.lit(0))
-        plain = F.size(F.filter(self.words, lambda w: F.length(w).between(2, 40) & ~has_keyword(compact(w), self.rules.not_ingredients) & ~w.rlike(self.rules.polite)))
-        named = (plain >= 5) & ~self.text.rlike(EXPLAINS) & (F.size(F.filter(self.words, lambda w: w.rlike(LIST_SUFFIX))) >= 2)
+        plain = F.size(F.filter(self.words, lambda w: F.length(w["text"]).between(2, 40) & ~self.word_against(w) & ~w["text"].rlike(self.rules.polite)))
+        # Ends of names are Hangul: other texts have none.
+        named = (F.size(F.filter(self.words, lambda w: w["text"].rlike(LIST_SUFFIX))) >= 2) & ~self.text.rlike(EXPLAINS) & (plain >= 5)
+        named = F.when(self.hangul, named).otherwise(F.lit(False))
         return ~self.noise & ~self.meta & (self.penalty < 2) & ~((self.effect_hits >= 2) & (self.separators == 0)) & ((between >= 2) | ((between >= 1) & (F.size(self.tokens) >= 2)) | named)
 
     @cached_property
     def usage(self) -> Column:
-        return has_keyword(self.key, self.rules.usage_signals) & ~self.structure
+        return self.has("usage_signals") & ~self.structure
 
     @cached_property
     def caution(self) -> Column:
-        return has_keyword(self.key, self.rules.caution_signals)
+        return self.has("caution_signals")
 
     @cached_property
     def effects(self) -> Column:
@@ -190,24 +200,34 @@ class Phrase(Line):
     @cached_property
     def candidate(self) -> Column:
         """Whether it can be one name of a list."""
-        r = self.rules
-        words = r.product + r.usage + r.cautions + r.capacity + r.makers + r.links + r.storage + META_NOISE
-        return F.length(self.text).between(2, 80) & ~self.noise_word & ~has_keyword(self.key, words) & ~self.url & ~self.phone & ~self.amount & (self.penalty < 2) & self.text.rlike("[가-힣a-zA-Z]")
+        words = self.has("product", "usage", "cautions", "capacity", "makers", "links", "storage", "meta_noise")
+        return F.length(self.text).between(2, 80) & ~self.noise_word & ~words & ~self.url & ~self.phone & ~self.amount & (self.penalty < 2) & self.text.rlike("[가-힣a-zA-Z]")
 
     @cached_property
     def product_name(self) -> Column:
-        r = self.rules
-        words = r.ingredients + r.usage + r.cautions + r.capacity + r.makers + r.links + r.storage
-        return F.length(self.text).between(2, 80) & ~self.noise & ~has_keyword(self.key, words) & ~self.amount & ~self.ingredient_list & ~self.url & ~self.phone & (self.penalty < 2) & self.text.rlike("[가-힣A-Za-z]")
+        words = self.has("ingredients", "usage", "cautions", "capacity", "makers", "links", "storage")
+        return F.length(self.text).between(2, 80) & ~self.noise & ~words & ~self.amount & ~self.ingredient_list & ~self.url & ~self.phone & (self.penalty < 2) & self.text.rlike("[가-힣A-Za-z]")
 
 
 #: Facts of a phrase that others are made of, each level from those before it.
-PHRASE_FACTS = (("key",), ("url", "phone", "amount", "separators", "noise_word", "penalty", "tokens", "effect_hits", "words"), ("meta", "noise", "structure", "caution"), ("usage", "ingredient_list"))
+PHRASE_FACTS = (("hangul", "digit"), ("url", "phone", "amount", "separators", "noise_word", "penalty", "tokens"), ("meta", "noise", "structure", "caution"), ("usage", "ingredient_list"))
+
+
+def word_parts(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)[,，、;；·ㆍ/\s]+"), lambda w: w != "")
 
 
 def with_phrase_facts(df: DataFrame, text: str = "text", rules: RuleSet = RAW) -> tuple[DataFrame, Phrase]:
-    """df with a column _<fact> for each of PHRASE_FACTS, and a Phrase that reads them. Store the table before rows are chosen by them."""
-    phrase = Phrase(F.col(text), rules)
+    """df with a column _<fact> for each of PHRASE_FACTS, and a Phrase that reads them. Store the table before rows are chosen by them.
+
+    The words of all rules are found by one pass over the phrase's key and one over those of its words, if it has Hangul.
+    """
+    c = F.coalesce(text, F.lit(""))
+    df = df.withColumns({"_key": compact(c), "_word_parts": F.when(c.rlike("[가-힣]"), word_parts(c)).otherwise(F.array().cast("array<string>"))})
+    df = word_tags(rules).tagged(df.withColumn("_word_keys", F.transform("_word_parts", compact)), "_key", "_word_keys")
+    df = df.withColumn("_words", F.zip_with("_word_parts", "_masks", lambda t, m: F.struct(t.alias("text"), m.alias("mask"))))
+    phrase = Phrase(F.col(text), rules, mask=F.col("_mask"))
+    phrase.__dict__.update({"key": F.col("_key"), "against": F.col("_n_not_ingredients"), "effect_hits": F.col("_n_effects_content"), "words": F.col("_words")})
     for level in PHRASE_FACTS:
         df = df.withColumns({f"_{name}": getattr(phrase, name) for name in level})
         phrase.__dict__.update({name: F.col(f"_{name}") for name in level})

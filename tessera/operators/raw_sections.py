@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import spaceless
 from ..functions.phrases import general_text, list_text, own_labels_removed, with_phrase_facts
-from ..functions.predicates import has_keyword
-from ..rules import LIST_HEADERS, RAW, RuleSet
+from ..rules import RAW, RuleSet
 from ..storage import saved
-from .sequential import walk_sorted
+from .scan import going_on
 
 NAMES = ("product_name", "capacity", "ingredients", "usage", "cautions", "effects", "qr_url")
 FACTS = ("label", "value", "alone", "structure", "free_ingredients", "sure_ingredients", "on_usage", "on_cautions", "on_capacity", "on_effects", "on_qr_url")
@@ -27,8 +26,8 @@ def raw_lines(docs: DataFrame, by: str, text: str = "raw_text", rules: RuleSet =
     out = facts.withColumns({
         "label": x.label, "alone": alone, "structure": x.structure, "listed": x.ingredient_list, "meta": x.meta, "name_like": x.product_name, "sentence_any": x.sentence(),
         "free_ingredients": ~x.usage & ~x.caution & ~x.meta & ~x.url, "sure_ingredients": x.structure | (x.separators >= 1) | (F.size(x.tokens) >= 2),
-        "on_capacity": x.amount, "on_qr_url": x.url | has_keyword(x.key, rules.links), "opens": has_keyword(x.key, LIST_HEADERS),
-        "stops": has_keyword(x.key, rules.product + rules.capacity + rules.usage + rules.cautions + rules.effects + rules.links + rules.makers + rules.storage) | x.meta | x.usage | x.caution,
+        "on_capacity": x.amount, "on_qr_url": x.url | x.has("links"), "opens": x.has("list_headers"),
+        "stops": x.has("product", "capacity", "usage", "cautions", "effects", "links", "makers", "storage") | x.meta | x.usage | x.caution,
     })
     value = F.when(F.lit(False), c("text"))
     for name in NAMES[:-1]:
@@ -40,33 +39,15 @@ def raw_lines(docs: DataFrame, by: str, text: str = "raw_text", rules: RuleSet =
     return saved(out.select(by, "pos", "text", *FACTS, "listed", "name_like", "opens", "stops", "list_value"), "raw-lines")
 
 
-class Walk:
-    """The section that is going on, and how many lines unlike an ingredient list have passed."""
-
-    def __init__(self, tolerance: int):
-        self.active: str | None = None
-        self.gap, self.tolerance = 0, tolerance
-
-    def step(self, row: tuple) -> tuple[str | None]:
-        label, value, alone, structure, free, sure, *rest = row
-        if label:
-            self.active, self.gap = label, 0
-            return (label if value else None,)
-        if self.active == "ingredients" and free and (sure or self.gap < self.tolerance):
-            self.gap = 0 if structure else self.gap + 1
-            return (self.active,)
-        if self.active and dict(zip(("usage", "cautions", "capacity", "effects", "qr_url"), rest)).get(self.active):
-            return (self.active,)
-        # A line that ends a section is looked at like one outside of any.
-        self.active, self.gap = None, 0
-        return (alone,)
-
-
 def raw_sections(lines: DataFrame, by: str, rules: RuleSet = RAW) -> DataFrame:
     """(by, section, text) of raw_lines: each section's distinct lines, joined; a text without a product name gets its longest line, of
-    the first ten, that can be one. The lines of one text go through one task, one after another."""
-    needed = lines.select(by, "pos", "text", *FACTS)
-    told = walk_sorted(needed, (by,), ("pos",), FACTS, lambda: Walk(rules.gap_tolerance), Walk.step, {"section": "string"}).where("section is not null")
+    the first ten, that can be one."""
+    on = {s: F.col(f"on_{s}") for s in ("usage", "cautions", "capacity", "effects", "qr_url")}
+    valued = lines.withColumn("_valued", F.coalesce(F.col("value") != "", F.lit(False)))
+    told = going_on(valued, (by,), ("pos",), F.col("label"), F.col("label").isNull(), F.col("structure"), F.col("free_ingredients"), F.col("sure_ingredients"), on, rules.gap_tolerance, ("label", "alone", "_valued"))
+    # A line that ends a section is looked at like one outside of any.
+    section = F.when(F.col("label").isNotNull(), F.when(F.col("_valued"), F.col("label"))).otherwise(F.coalesce("active", "alone"))
+    told = told.select(by, "pos", section.alias("section")).where("section is not null").join(lines.select(by, "pos", "text", "label", "value"), [by, "pos"])
     found = saved(told.select(by, "section", "pos", F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.col("text")).alias("text")), "raw-walk")
     first = lines.select(by, "pos", "text", "name_like").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).where("_n <= 10 and name_like")
     like = F.struct(F.length("text").alias("a"), F.col("text").rlike("[A-Za-z]").alias("b"), F.col("text").rlike("[가-힣]").alias("c"), (-F.col("pos")).alias("d"))

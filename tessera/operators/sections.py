@@ -1,7 +1,7 @@
 """Sections: lines to labelled sections.
 
-Every test of a line is a Column, evaluated once in the JVM and stored; only the short walk over their results is sequential, and
-runs over a few narrow columns.
+Every test of a line is evaluated once for each distinct text and stored; the walk over their results is a scan in blocks over
+a few narrow columns.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import has_keyword, with_facts
+from ..functions.predicates import with_facts
 from ..functions.text import section_label_removed
 from ..rules import LABELS, SECTIONS, RuleSet
 from ..storage import saved
-from .sequential import walk_sorted
+from .scan import going_on
 
 STICKY = ("ingredients", "usage", "cautions")
 
@@ -31,7 +31,7 @@ def classify(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     out = facts.withColumns({
         "label": x.label, "implicit": x.implicit, "structure": x.structure, "meta": x.meta, "listed": x.ingredient_list, "caution": x.caution, "usage": x.usage, "link": x.url, "amount": x.amount,
         "n_separators": x.separators, "n_tokens": F.size(x.tokens), "sentence_any": x.sentence(True), "name_like": x.product_name, "name_score": x.name_score, "list_score": x.list_score,
-        "capacity_word": has_keyword(x.key, rules.capacity),
+        "capacity_word": x.has("capacity"),
     })
     c = F.col
     out = out.withColumns({
@@ -55,37 +55,30 @@ def classified(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
 FACTS = ("label", "value", "implicit", "structure", "free_ingredients", "sure_ingredients", "on_usage", "on_cautions", "on_capacity", "on_effects", "on_qr_url")
 
 
-class Walk:
-    """The section that is going on in a document, and how many lines unlike it have passed."""
-
-    def __init__(self, tolerance: int):
-        self.active: str | None = None
-        self.gap, self.tolerance = 0, tolerance
-
-    def step(self, row: tuple) -> tuple[str | None, str | None]:
-        """(section, reason) of the next line; None: in no section."""
-        label, value, implicit, structure, free, sure, *rest = row
-        goes_on = dict(zip(("usage", "cautions", "capacity", "effects", "qr_url"), rest))
-        if label:
-            self.active, self.gap = label, 0
-            return (label, f"{label} label value") if value else (None, None)
-        if implicit:
-            if implicit in STICKY:
-                self.active, self.gap = implicit, 0
-            return implicit, f"implicit {implicit}"
-        if self.active == "ingredients" and free and (sure or self.gap < self.tolerance):
-            self.gap = 0 if structure else self.gap + 1
-        elif not goes_on.get(self.active):
-            self.active, self.gap = None, 0
-            return None, None
-        return self.active, f"continued from {self.active}"
+def walk(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
+    """(image_id, center_y, x_min, line_index, section, reason, labelled) of the lines that lie in a section; no text is moved.
+
+    A label starts its section, and lines go on with it while they can; what a line's content alone tells (implicit) comes before,
+    and starts a section if it is one of STICKY.
+    """
+    told = classified(lines, rules)
+    starts = F.coalesce("label", F.when(F.col("implicit").isin(*STICKY), F.col("implicit")))
+    plain = F.col("label").isNull() & F.col("implicit").isNull()
+    on = {s: F.col(f"on_{s}") for s in ("usage", "cautions", "capacity", "effects", "qr_url")}
+    valued = told.withColumn("_valued", F.coalesce(F.col("value") != "", F.lit(False)))
+    rows = going_on(valued, ("image_id",), ("center_y", "x_min", "line_index"), starts, plain, F.col("structure"), F.col("free_ingredients"), F.col("sure_ingredients"), on, rules.gap_tolerance, ("label", "implicit", "_valued"))
+    section = F.when(F.col("label").isNotNull(), F.when(F.col("_valued"), F.col("label"))).otherwise(F.coalesce("implicit", "active"))
+    reason = F.when(F.col("label").isNotNull(), F.concat("label", F.lit(" label value"))).when(F.col("implicit").isNotNull(), F.concat(F.lit("implicit "), "implicit")).otherwise(F.concat(F.lit("continued from "), "active"))
+    out = rows.select("image_id", "center_y", "x_min", "line_index", section.alias("section"), reason.alias("reason"), F.col("label").isNotNull().alias("labelled"))
+    return out.where("section is not null")
 
 
 def detect(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """(image_id, line_index, section, reason, section_text) of the lines that the walk puts in a section."""
-    needed = classified(lines, rules).select("image_id", "line_index", "center_y", "x_min", "text", *FACTS)
-    told = walk_sorted(needed, ("image_id",), ("center_y", "x_min", "line_index"), FACTS, lambda: Walk(rules.gap_tolerance), Walk.step, {"section": "string", "reason": "string"})
-    return told.where("section is not null").select("image_id", "line_index", "section", "reason", F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.col("text")).alias("section_text"))
+    lines = classified(lines, rules)
+    texts = lines.select("image_id", "line_index", "text", "value")
+    rows = walk(lines, rules).join(texts, ["image_id", "line_index"])
+    return rows.select("image_id", "line_index", "section", "reason", F.when(F.col("labelled"), F.col("value")).otherwise(F.col("text")).alias("section_text"))
 
 
 def line_key(text, x="x_min", y="center_y"):

@@ -77,6 +77,10 @@ class RuleSet:
     amount: str = r"(?i)\d+(?:\.\d+)?\s?(?:ml|g|kg|mg|oz|fl\.?\s?oz|매|pcs|ea|개)"
     url: str = r"(?i)https?://|www\.|\.com|\.co\.kr|\.kr|\.net|\.org|\.io|\.ai"
 
+    #: Patterns that match no text without Hangul, or without a digit, so that those texts need not be searched. Change them with the patterns.
+    need_hangul: tuple[str, ...] = ("usage_ending", "caution_ending", "address", "suffix", "advert", "polite")
+    need_digit: tuple[str, ...] = ("phone", "amount")
+
     header_length: int = 25
     label_length: int = 15
     gap_tolerance: int = 3
