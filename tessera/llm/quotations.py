@@ -36,7 +36,7 @@ def parse_quotes(messages: DataFrame, text_col: str = "text") -> DataFrame:
     lines = lines.withColumn("_starts", starts)
     runs = F.transform("_starts", lambda s, k: F.struct(F.get("levels", s).alias("level"), F.slice("bodies", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("levels")) - s).alias("lines")))
     own = F.array_join(F.flatten(F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["lines"])), "\n")
-    return lines.withColumn("runs", runs).withColumn("own_text", F.regexp_replace(own, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).drop("_lines", "_marks", "_starts")
+    return lines.withColumn("runs", runs).withColumn("own_text", F.btrim(own, F.lit(" \t\n\x0b\x0c\r"))).drop("_lines", "_marks", "_starts")
 
 
 def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -47,7 +47,8 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
     these is told of the row's own text, also where rows share a turn. thread is the earliest turn that the replies of the
     turn's rows lead back to, or the own one. position counts from 0, by thread, then turn. message is the role and the text
     without quotes. A null text counts as empty, a null role as "unknown"; rows without a conversation or turn are linked with
-    nothing and stay. Repeated rows stay, in any order. An empty table gives an empty result.
+    nothing and stay. Repeated rows stay, in any order. An empty table gives an empty result. Texts are read whole, in time that
+    grows with their length; a single one lies in one row.
     """
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     # Rows are numbered as they are stored, so the numbers stay the same from then on.
@@ -80,10 +81,10 @@ def link_quotations(conversations: DataFrame, conv_col: str = "conv_id", turn_co
     message = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("own_text"))
     told = joined.select(
         "conv", "turn", "role", F.size(F.array_distinct(quoted)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        "reply_to", F.coalesce("thread", "turn").alias("thread"), message.alias("message"),
+        "reply_to", F.coalesce("thread", "turn").alias("thread"), message.alias("message"), "row",
     )
     # Places come from a range sort, so that a conversation of any length is dealt over many tasks.
-    placed = saved(told.orderBy("conv", "thread", "turn", "role", "message").withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_task", F.shiftright("_at", 33))
+    placed = saved(told.orderBy("conv", "thread", "turn", "role", "message", "row").withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_task", F.shiftright("_at", 33))
     spans = placed.groupBy("conv", "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("conv").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = saved(spans.select(F.col("conv").alias("_conv"), F.col("_task").alias("_span"), "_first", earlier.alias("_earlier")), "spans")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Weak kinds: an account or key name, a key-like token (32 characters or more, with a digit, a capital and a small letter), an endpoint.
 IDENT = re.compile(r"""(?:user(?:_?name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]{3,})""", re.ASCII | re.IGNORECASE)
 KEY = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._:@/?&%=-]+")
+#: What follows `://` in an endpoint; its scheme is looked for backwards from there.
+PLACE = re.compile(r"[A-Za-z0-9._:@/?&%=-]+")
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 WEAK = ("ident", "key", "endpoint")
 KINDS = BASE + WEAK
 
@@ -57,7 +60,7 @@ def weak_spans(text: str) -> list[Span]:
     if "=" in text or ":" in text:
         found += [(*m.span(), "ident") for m in IDENT.finditer(text)]
     if "://" in text:
-        found += [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)]
+        found += endpoints(text)
     for m in KEY.finditer(text):
         token = m[0]
         if any(c.isdigit() for c in token) and any("a" <= c <= "z" for c in token) and any("A" <= c <= "Z" for c in token):
@@ -65,6 +68,23 @@ def weak_spans(text: str) -> list[Span]:
     return found
 
 
+def endpoints(text: str) -> list[Span]:
+    """Leftmost scheme of small letters, digits, + . -, beginning with a letter, and what follows its colon. Each character is looked at once."""
+    found, over, at = [], 0, text.find("://")
+    while at >= 0:
+        start, first = at, None
+        while start > over and text[start - 1] in SCHEME:
+            start -= 1
+            if "a" <= text[start] <= "z":
+                first = start
+        place = PLACE.match(text, at + 3) if first is not None else None
+        if place:
+            found.append((first, place.end(), "endpoint"))
+        over = place.end() if place else at + 1
+        at = text.find("://", over)
+    return found
+
+
 def linked(weak: list[Span], parts: list[Span], scope: int = SCOPE) -> list[Span]:
     """The weak spans that have, for each group of complements, a part at most `scope` away that does not overlap them.
 
@@ -91,7 +111,14 @@ def scan(text: str, scope: int = SCOPE) -> tuple[list[Span], list[Span]]:
     weak = weak_spans(text)
     if not weak:
         return base, base
-    added = [s for s in linked(weak, base + weak, scope) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+    starts, ends = [b[0] for b in base], list(itertools.accumulate((b[1] for b in base), max))
+
+    def free(span: Span) -> bool:
+        """No base span begins before its end and ends after its start."""
+        before = bisect.bisect_left(starts, span[1])
+        return not before or ends[before - 1] <= span[0]
+
+    added = [s for s in linked(weak, base + weak, scope) if free(s)]
     return base, sorted({*base, *added}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
