@@ -61,6 +61,10 @@ class Line:
         """How many words that no ingredient list has occur."""
         return keyword_hits(self.key, self.rules.not_ingredients)
 
+    @cached_property
+    def body(self) -> Column:
+        return strip(self.text)
+
     @cached_property
     def hangul(self) -> Column:
         return self.text.rlike("[가-힣]")
@@ -115,7 +119,7 @@ class Line:
 
     @cached_property
     def advert(self) -> Column:
-        t = strip(self.text)
+        t = self.body
         commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
         return (F.length(t) >= 8) & self.finds("advert", t) & ~self.finds("usage_ending", t) & ~self.finds("caution_ending", t) & (commas < 2) & (self.times("suffix", t) < 2)
 
@@ -128,7 +132,7 @@ class Line:
         hits = self.times("caution_ending")
         numbered = self.text.rlike(r"(?<![\p{L}\p{N}_])\d+\s*[.\)]\s*[가-힣]") | self.text.rlike(r"[가-힣]\s*\)\s*[가-힣]")
         meta = self.phone | self.finds("company") | self.finds("lot")
-        return (hits >= 1) & (F.length(strip(self.text)) >= 10) & ~meta & ((hits >= 2) | ((hits >= 1) & (numbered | self.has("strong_cautions"))))
+        return (hits >= 1) & (F.length(self.body) >= 10) & ~meta & ((hits >= 2) | ((hits >= 1) & (numbered | self.has("strong_cautions"))))
 
     @cached_property
     def tokens(self) -> Column:
@@ -155,7 +159,7 @@ class Line:
 
     @cached_property
     def usage(self) -> Column:
-        t = strip(self.text)
+        t = self.body
         hangul = F.when(self.hangul, F.length(F.regexp_replace(t, "[^가-힣]", ""))).otherwise(0)
         return (F.length(t) >= 5) & (hangul >= 3) & ~self.advert & ~self.structure & ~self.forbids & (self.orders | self.has("usage_signals"))
 
@@ -219,7 +223,7 @@ class Line:
     @cached_property
     def name_score(self) -> Column:
         """How like a product name a line is, by its length, script and what it is not."""
-        score = F.lit(1.0) + F.when(F.length(self.text).between(3, 45), 0.4).otherwise(0.0) + F.when(self.text.rlike("[A-Za-z]"), 0.2).otherwise(0.0) + F.when(self.text.rlike("[가-힣]"), 0.2).otherwise(0.0)
+        score = F.lit(1.0) + F.when(F.length(self.text).between(3, 45), 0.4).otherwise(0.0) + F.when(self.text.rlike("[A-Za-z]"), 0.2).otherwise(0.0) + F.when(self.hangul, 0.2).otherwise(0.0)
         for against, cost in ((self.meta, 1.3), (self.amount, 1.2), (self.ingredient_list, 1.8), (self.usage, 1.4), (self.caution, 1.4), (self.url, 1.2)):
             score = score - F.when(against, cost).otherwise(0.0)
         return score
@@ -239,27 +243,35 @@ FACTS = (
 )
 
 
-def with_facts(df: DataFrame, text: str = "text", rules: RuleSet = LABELS) -> tuple[DataFrame, Line]:
+def with_facts(df: DataFrame, text: str = "text", rules: RuleSet = LABELS, cleaned: bool = False) -> tuple[DataFrame, Line]:
     """df with a column _<fact> for each of FACTS, and a Line that reads them, so that no fact is worked out twice.
 
+    cleaned: whether the texts are as clean_text makes them, so that tokens and ends need no cleaning of their own.
+
     The words of all rules are found by one pass over the line's key and one over those of its tokens. A filter on what such a
     Line tells would be pushed below these columns and spelt out again: store the table first.
     """
-    df = df.withColumns({"_key": compact(F.coalesce(text, F.lit(""))), "_parts": token_parts(F.coalesce(text, F.lit("")), rules)})
+    df = df.withColumns({"_key": compact(F.coalesce(text, F.lit(""))), "_parts": token_parts(F.coalesce(text, F.lit("")), rules, cleaned)})
     df = word_tags(rules).tagged(df.withColumn("_part_keys", F.transform("_parts", compact)), "_key", "_part_keys")
     line = Line(F.col(text), rules, mask=F.col("_mask"))
     pairs = F.zip_with("_parts", "_masks", lambda t, m: F.struct(t.alias("text"), m.alias("mask")))
     df = df.withColumn("_tokens", F.filter(pairs, lambda p: plain_token(p["text"], rules, p["mask"])))
     line.__dict__.update({"key": F.col("_key"), "against": F.col("_n_not_ingredients"), "tokens": F.col("_tokens")})
+    if cleaned:
+        line.__dict__["body"] = F.col(text)
     for level in FACTS:
         df = df.withColumns({f"_{name}": getattr(line, name) for name in level})
         line.__dict__.update({name: F.col(f"_{name}") for name in level})
     return df, line
 
 
-def token_parts(c: Column, rules: RuleSet = LABELS) -> Column:
-    """Parts between separators, cleaned, of an allowed length."""
-    parts = F.transform(F.split(c, r"[,，、;；·ㆍ/\n]+"), lambda x: F.regexp_replace(clean_text(x), rf"^{TOKEN_ENDS}|{TOKEN_ENDS}$", ""))
+def token_parts(c: Column, rules: RuleSet = LABELS, cleaned: bool = False) -> Column:
+    """Parts between separators, cleaned, of an allowed length. A part of a clean text is clean but for its ends."""
+    parts = F.split(c, r"[,，、;；·ㆍ/\n]+")
+    if cleaned:
+        parts = F.transform(parts, lambda x: F.btrim(x, F.lit(" ,.;:：/·ㆍ-()[]{}")))
+    else:
+        parts = F.transform(parts, lambda x: F.regexp_replace(clean_text(x), rf"^{TOKEN_ENDS}|{TOKEN_ENDS}$", ""))
     return F.filter(parts, lambda x: F.length(x).between(*rules.token_length))
 
 

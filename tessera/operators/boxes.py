@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequential import walk_sorted
+from ..storage import saved
+from .lookup import joined_by_key
 
 LEAST_SIDE, PAD_SHARE, PAD_LEAST, OVERLAP = 5, 0.03, 8, 0.75
 
+#: Boxes that a box meets in its cells, on average, from which on cells are thinned out before pairs are made.
+DENSE = 64
+
 
 def auto_scale(width: Column, height: Column) -> Column:
     """How much an image is enlarged, by its shorter side."""
@@ -45,24 +51,91 @@ def iou(a: str, b: str) -> Column:
     return F.when(joint > 0, w * h / joint).otherwise(0.0)
 
 
-def suppress(sections: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Of sections (image_index, section_type, x1, y1, x2, y2, confidence) that overlap within an image and type, the surest stay, surest first.
+def _iou_of(a: str, b: str) -> Column:
+    return iou(f"{a}.box", f"{b}.box")
+
+
+def _level(side: Column, step: float) -> Column:
+    return F.floor(F.log(side) / math.log(step)).cast("int")
 
-    The choice is sequential, over the few boxes of one image and type.
-    """
 
-    def step(chosen: list, row: tuple) -> tuple:
-        x1, y1, x2, y2 = row
-        for a1, b1, a2, b2 in chosen:
-            shared = max(0, min(x2, a2) - max(x1, a1)) * max(0, min(y2, b2) - max(y1, b1))
-            joint = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - shared
-            if joint > 0 and shared / joint >= overlap:
-                return (False,)
-        chosen.append(row)
-        return (True,)
-
-    told = sections.withColumn("_unsure", -F.col("confidence"))
-    return walk_sorted(told, ("image_index", "section_type"), ("_unsure", "y1", "x1"), ("x1", "y1", "x2", "y2"), list, step, {"_kept": "boolean"}).where("_kept").drop("_unsure", "_kept")
+def _size(level: Column, step: float) -> Column:
+    return F.pow(F.lit(step), level + 1)
+
+
+def _cells(boxes: DataFrame, step: float) -> DataFrame:
+    """A row for each grid cell that a box touches, at its own level of size and the next one.
+
+    A cell is at least as wide and high as a box of its level, so a box touches four at most; boxes that overlap enough are at most
+    one level apart, so they share a level, and there the cell that holds the corner where their common part begins.
+    """
+    out = boxes
+    for axis, low, high in (("x", "x1", "x2"), ("y", "y1", "y2")):
+        own = _level(F.col(f"box.{high}") - F.col(f"box.{low}"), step)
+        out = out.withColumn(f"_own_{axis}", own).withColumn(f"_l{axis}", F.explode(F.array(own, own + 1)))
+        size = _size(F.col(f"_l{axis}"), step)
+        out = out.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(f"box.{low}") / size), F.floor(F.col(f"box.{high}") / size))))
+    return out.select(F.struct("group", "_lx", "_ly", "_cx", "_cy").alias("cell"), "rank", "box", F.struct("_own_x", "_own_y").alias("own"))
+
+
+def _meets_here(a: str, b: str, step: float) -> Column:
+    """Whether two boxes of a cell are to be compared in it, and in no other."""
+    here = F.lit(True)
+    for axis, low in (("x", "x1"), ("y", "y1")):
+        level = F.col(f"cell._l{axis}")
+        here = here & (level == F.greatest(f"{a}.own._own_{axis}", f"{b}.own._own_{axis}")) & (F.col(f"cell._c{axis}") == F.floor(F.greatest(f"{a}.box.{low}", f"{b}.box.{low}") / _size(level, step)))
+    return here
+
+
+def suppress(sections: DataFrame, overlap: float = OVERLAP, dense: int = DENSE) -> DataFrame:
+    """Of sections (image_index, section_type, x1, y1, x2, y2, confidence) that overlap within an image and type, the surest stay.
+
+    As if boxes were taken surest first (then by y1 and x1) and each were kept unless it overlaps a kept one. Boxes meet in grid
+    cells. While cells are crowded (more than `dense` boxes a box on average), the best box of all its cells is kept in each, and
+    what it overlaps goes; the pairs that are left are then decided in rounds: a box without a better one that is open is kept,
+    and its worse neighbours go. Rounds are as many as the longest row of boxes of which each one decides the next.
+    Equal boxes are one. Boxes without area overlap nothing and stay. An empty table gives an empty result.
+    """
+    step = 1 / (overlap - 1e-6)
+    rows = saved(sections.withColumn("_id", F.monotonically_increasing_id()), "boxes")
+    solid = rows.where("x2 > x1 and y2 > y1")
+    rank = F.struct((-F.col("confidence")).alias("unsure"), "y1", "x1", F.col("_id").alias("id"))
+    group, box = F.to_json(F.struct("image_index", "section_type")), F.struct("x1", "y1", "x2", "y2")
+    open_ = saved(solid.groupBy(group.alias("group"), box.alias("box")).agg(F.min(rank).alias("rank")), "open")
+    kept: list[DataFrame] = []
+    while True:
+        cells = saved(_cells(open_, step), "cells")
+        tops = saved(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("rank", "box", "own")).alias("top")), "tops")
+        pairs, boxes = tops.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+        if not pairs or pairs <= dense * boxes:
+            break
+        met = joined_by_key(cells, tops, "cell", "n")
+        winners = saved(met.groupBy("rank").agg(F.bool_and(F.col("top.rank") == F.col("rank")).alias("won")).where("won").select(F.col("rank.id").alias("id")), "winners")
+        kept.append(winners)
+        won = saved(tops.join(winners.hint("merge"), tops["top.rank.id"] == winners["id"], "left_semi"), "won")
+        beside = joined_by_key(cells.withColumn("me", F.struct("rank", "box", "own")), won, "cell", "n")
+        gone = beside.where(_iou_of("me", "top") >= overlap).select(F.col("me.rank.id").alias("id")).distinct()
+        open_ = saved(open_.join(gone.hint("merge"), open_["rank.id"] == gone["id"], "left_anti"), "open")
+    a, b = (cells.select("cell", F.struct("rank", "box", "own").alias(x)) for x in ("a", "b"))
+    near = a.join(b.hint("merge"), "cell").where((F.col("a.rank") < F.col("b.rank")) & _meets_here("a", "b", step) & (_iou_of("a", "b") >= overlap))
+    links = saved(near.select(F.col("a.rank.id").alias("better"), F.col("b.rank.id").alias("worse")), "links")
+    ids = saved(open_.select(F.col("rank.id").alias("id")), "ids")
+    while True:
+        worse = links.select(F.col("worse").alias("id")).distinct()
+        winners = saved(ids.join(worse.hint("merge"), "id", "left_anti"), "winners")
+        kept.append(winners)
+        losers = saved(links.join(winners.select(F.col("id").alias("better")).hint("merge"), "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "losers")
+        if not losers.limit(1).count():
+            break
+        # What is still open has a better neighbour that is open too.
+        ids = saved(ids.join(winners.unionByName(losers).hint("merge"), "id", "left_anti"), "ids")
+        still = ids.hint("merge")
+        links = saved(links.join(still.select(F.col("id").alias("better")), "better", "left_semi").join(still.select(F.col("id").alias("worse")), "worse", "left_semi"), "links")
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    chosen = rows.join(every.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi").select(*sections.columns)
+    return chosen.unionByName(rows.where("not coalesce(x2 > x1 and y2 > y1, false)").select(*sections.columns))
 
 
 def presence(sections: DataFrame, types: tuple[str, ...]) -> DataFrame:

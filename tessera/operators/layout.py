@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Line
 from ..functions.text import clean_text
 from ..rules import LABELS, RuleSet
+from ..storage import saved
+from .order import kth_values, medians, with_step
+from .scan import same
 from .sequential import walk_sorted
 
 LINE_SHARE, LINE_LEAST, HEIGHT_DEFAULT = 0.55, 6.0, 14.0
@@ -67,13 +70,18 @@ def merge_lines(numbered: DataFrame) -> DataFrame:
 
 
 def section_break(lines: DataFrame) -> DataFrame:
-    """(image_id, threshold): 1.5 times the gap at three quarters of the sorted positive gaps, at least 1.5 median heights; 2 median heights without gaps."""
-    gaps = lines.withColumn("gap", F.col("center_y") - F.lag("center_y").over(Window.partitionBy("image_id").orderBy("center_y", "x_min")))
-    sorted_gaps = F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))))
-    each = gaps.groupBy("image_id").agg(sorted_gaps.alias("gaps"), F.coalesce(F.median(F.when(F.col("height") > 0, F.col("height"))), F.lit(HEIGHT_DEFAULT)).alias("h"))
-    n = F.size("gaps")
-    at = F.least((n * 0.75).cast("int"), n - 1)
-    return each.select("image_id", F.when(n == 0, F.col("h") * 2.0).otherwise(F.greatest(F.get("gaps", at) * 1.5, F.col("h") * 1.5)).alias("threshold"))
+    """(image_id, threshold): 1.5 times the gap at three quarters of the sorted positive gaps, at least 1.5 median heights; 2 median heights without gaps.
+
+    Gaps and heights are counted by value, so an image of any number of lines is dealt over tasks.
+    """
+    by = ("image_id",)
+    stepped = saved(with_step(lines.select("image_id", "center_y", "x_min", "height"), by, "center_y", ("x_min",)), "steps")
+    gaps = kth_values(stepped.where("_step > 0"), by, "_step", {"_gap": lambda n: F.least(F.floor(n * 0.75), n - 1)})
+    heights = medians(stepped.where("height > 0"), by, "height")
+    images = stepped.select("image_id").distinct()
+    told = images.join(gaps, same(images, gaps, by), "left").select(images["image_id"], "_gap")
+    told = told.join(heights, same(told, heights, by), "left").select(told["image_id"], "_gap", F.coalesce("median", F.lit(HEIGHT_DEFAULT)).alias("h"))
+    return told.select("image_id", F.when(F.col("_gap").isNull(), F.col("h") * 2.0).otherwise(F.greatest(F.col("_gap") * 1.5, F.col("h") * 1.5)).alias("threshold"))
 
 
 def page_text(lines: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import spaceless
 from ..functions.phrases import general_text, list_text, own_labels_removed, with_phrase_facts
 from ..rules import RAW, RuleSet
 from ..storage import saved
+from .lookup import of_distinct
 from .scan import going_on
 
 NAMES = ("product_name", "capacity", "ingredients", "usage", "cautions", "effects", "qr_url")
@@ -16,27 +17,32 @@ FACTS = ("label", "value", "alone", "structure", "free_ingredients", "sure_ingre
 
 
 def raw_lines(docs: DataFrame, by: str, text: str = "raw_text", rules: RuleSet = RAW) -> DataFrame:
-    """(by, pos, text, facts): the lines that are not blank, with what the walk and the guesses ask of them, as a stored table."""
+    """(by, pos, text, facts): the lines that are not blank, with what the walk and the guesses ask of them, as a stored table. Each distinct text is worked out once."""
     lines = docs.select(by, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("pos", "text")).withColumn("text", general_text(F.col("text"))).where("text <> ''")
-    facts, x = with_phrase_facts(lines, "text", rules)
-    c = F.col
+    return saved(of_distinct(saved(lines, "raw-lines"), "text", lambda texts: _facts(texts, rules), "raw-facts"), "raw-lines").withColumn("value", _value(rules)).withColumn("list_value", F.when(F.col("opens"), own_labels_removed(F.col("text"), rules.ingredients)).otherwise(F.col("text")))
+
+
+def _facts(texts: DataFrame, rules: RuleSet) -> DataFrame:
+    facts, x = with_phrase_facts(texts, "text", rules)
     alone = (
         F.when(x.amount, "capacity").when(x.url, "qr_url").when(x.ingredient_list, "ingredients").when(x.usage, "usage").when(x.caution, "cautions").when(x.effects, "effects")
     )
+    sentence = x.sentence()
     out = facts.withColumns({
-        "label": x.label, "alone": alone, "structure": x.structure, "listed": x.ingredient_list, "meta": x.meta, "name_like": x.product_name, "sentence_any": x.sentence(),
+        "label": x.label, "alone": alone, "structure": x.structure, "listed": x.ingredient_list, "name_like": x.product_name,
         "free_ingredients": ~x.usage & ~x.caution & ~x.meta & ~x.url, "sure_ingredients": x.structure | (x.separators >= 1) | (F.size(x.tokens) >= 2),
-        "on_capacity": x.amount, "on_qr_url": x.url | x.has("links"), "opens": x.has("list_headers"),
+        "on_usage": sentence, "on_cautions": sentence, "on_effects": sentence, "on_capacity": x.amount, "on_qr_url": x.url | x.has("links"), "opens": x.has("list_headers"),
         "stops": x.has("product", "capacity", "usage", "cautions", "effects", "links", "makers", "storage") | x.meta | x.usage | x.caution,
     })
-    value = F.when(F.lit(False), c("text"))
+    return out.select(*texts.columns, *(n for n in FACTS if n != "value"), "listed", "name_like", "opens", "stops")
+
+
+def _value(rules: RuleSet) -> Column:
+    """A line with a label without it."""
+    value = F.when(F.lit(False), F.col("text"))
     for name in NAMES[:-1]:
-        value = value.when(c("label") == name, own_labels_removed(c("text"), rules.keywords(name)))
-    out = out.withColumns({
-        "value": value.when(c("label") == "qr_url", c("text")), "on_usage": c("sentence_any"), "on_cautions": c("sentence_any"), "on_effects": c("sentence_any"),
-        "list_value": F.when(c("opens"), own_labels_removed(c("text"), rules.ingredients)).otherwise(c("text")),
-    })
-    return saved(out.select(by, "pos", "text", *FACTS, "listed", "name_like", "opens", "stops", "list_value"), "raw-lines")
+        value = value.when(F.col("label") == name, own_labels_removed(F.col("text"), rules.keywords(name)))
+    return value.when(F.col("label") == "qr_url", F.col("text"))
 
 
 def raw_sections(lines: DataFrame, by: str, rules: RuleSet = RAW) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.predicates import with_facts
 from ..functions.text import section_label_removed
 from ..rules import LABELS, SECTIONS, RuleSet
 from ..storage import saved
+from .lookup import of_distinct
 from .scan import going_on
 
 STICKY = ("ingredients", "usage", "cautions")
@@ -23,33 +24,39 @@ GUESSED = ("name_like", "name_score", "list_score", "link", "amount", "meta", "u
 
 
 def classify(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
-    """lines with label, value, implicit, structure, for each section whether the line may go on with it, and what guesses need.
+    """lines, a stored table, with label, value, implicit, structure, for each section whether the line may go on with it, and what guesses need.
 
-    Each line's facts are worked out once. Store the result before rows are chosen by them.
+    Texts are as clean_text makes them. The facts of each distinct text are worked out once; its value, the text without its label,
+    is cut from the line itself. Store the result before rows are chosen by them.
     """
-    facts, x = with_facts(lines, "text", rules)
-    out = facts.withColumns({
-        "label": x.label, "implicit": x.implicit, "structure": x.structure, "meta": x.meta, "listed": x.ingredient_list, "caution": x.caution, "usage": x.usage, "link": x.url, "amount": x.amount,
-        "n_separators": x.separators, "n_tokens": F.size(x.tokens), "sentence_any": x.sentence(True), "name_like": x.product_name, "name_score": x.name_score, "list_score": x.list_score,
-        "capacity_word": x.has("capacity"),
-    })
-    c = F.col
-    out = out.withColumns({
-        "value": F.when(c("label").isNotNull(), section_label_removed(c("text"), c("label"), rules)),
-        "free_ingredients": ~c("usage") & ~c("caution") & ~c("meta") & ~c("link"),
-        "sure_ingredients": c("structure") | (c("n_separators") >= 1) | (c("n_tokens") >= 2),
-        "on_usage": ~c("meta") & ~c("listed") & ~c("caution") & c("sentence_any"),
-        "on_cautions": ~c("listed") & ~c("link") & c("sentence_any"),
-        "on_capacity": ~c("meta") & c("amount"),
-        "on_effects": ~c("meta") & ~c("listed") & ~c("link") & ~c("amount") & c("sentence_any"),
-        "on_qr_url": ~c("meta") & c("link"),
-    })
-    return out.select(*dict.fromkeys([*lines.columns, *FACTS, *GUESSED]))
+
+    def told(texts: DataFrame) -> DataFrame:
+        facts, x = with_facts(texts, "text", rules, cleaned=True)
+        out = facts.withColumns({
+            "label": x.label, "implicit": x.implicit, "structure": x.structure, "meta": x.meta, "listed": x.ingredient_list, "caution": x.caution, "usage": x.usage, "link": x.url, "amount": x.amount,
+            "n_separators": x.separators, "n_tokens": F.size(x.tokens), "sentence_any": x.sentence(True), "name_like": x.product_name, "name_score": x.name_score, "list_score": x.list_score,
+            "capacity_word": x.has("capacity"),
+        })
+        c = F.col
+        out = out.withColumns({
+            "free_ingredients": ~c("usage") & ~c("caution") & ~c("meta") & ~c("link"),
+            "sure_ingredients": c("structure") | (c("n_separators") >= 1) | (c("n_tokens") >= 2),
+            "on_usage": ~c("meta") & ~c("listed") & ~c("caution") & c("sentence_any"),
+            "on_cautions": ~c("listed") & ~c("link") & c("sentence_any"),
+            "on_capacity": ~c("meta") & c("amount"),
+            "on_effects": ~c("meta") & ~c("listed") & ~c("link") & ~c("amount") & c("sentence_any"),
+            "on_qr_url": ~c("meta") & c("link"),
+        })
+        return out.select(*texts.columns, *(n for n in dict.fromkeys([*FACTS, *GUESSED]) if n != "value"))
+
+    facts = of_distinct(lines, "text", told, "line-facts")
+    value = F.when(F.col("label").isNotNull(), section_label_removed(F.col("text"), F.col("label"), rules))
+    return facts.withColumn("value", value).select(*dict.fromkeys([*lines.columns, *FACTS, *GUESSED]))
 
 
 def classified(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """lines if classify has been over them, else what it makes of them, as a stored table."""
-    return lines if {*FACTS, *GUESSED} <= set(lines.columns) else saved(classify(lines, rules), "classified")
+    return lines if {*FACTS, *GUESSED} <= set(lines.columns) else saved(classify(saved(lines, "lines"), rules), "classified")
 
 
 FACTS = ("label", "value", "implicit", "structure", "free_ingredients", "sure_ingredients", "on_usage", "on_cautions", "on_capacity", "on_effects", "on_qr_url")
@@ -86,7 +93,8 @@ def line_key(text, x="x_min", y="center_y"):
 
 
 def with_others(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """found and, as others, every line whose text and place no section has. A header loses its label, so its key differs and it is kept."""
+    """found and, as others, every line whose text and place no section has. A header loses its label, so its key differs and it is kept.
+    lines: a stored table, as it is read more than once."""
     placed = lines.select("image_id", "line_index", "text", "x_min", "center_y")
     used = found.where("section <> 'others'").join(placed, ["image_id", "line_index"]).select("image_id", line_key("section_text").alias("line_key")).distinct()
     rest = placed.withColumn("line_key", line_key("text")).join(used, ["image_id", "line_key"], "left_anti")

@@ -326,3 +326,34 @@ SQL = {
     "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
 }
 __all__ = ["SQL", "INVALID_CANDIDATES"]
+
+SQL["page_texts"] = """WITH l AS (SELECT l_orderkey, (l_quantity * 10 + l_linenumber)::DOUBLE AS y, l_linenumber::DOUBLE AS x, 'w' || l_partkey AS t FROM lineitem),
+    g AS (SELECT *, y - lag(y) OVER (PARTITION BY l_orderkey ORDER BY y, x) AS gap FROM l),
+    b AS (SELECT l_orderkey, list(gap ORDER BY gap) FILTER (WHERE gap > 0) AS gs FROM g GROUP BY l_orderkey),
+    c AS (SELECT l_orderkey, CASE WHEN gs IS NULL THEN 24.0 ELSE greatest(gs[least(floor(len(gs) * 0.75)::BIGINT, len(gs) - 1) + 1] * 1.5, 18.0) END AS threshold FROM b)
+    SELECT l_orderkey, md5(string_agg(t, chr(10) ORDER BY y, x, t)) AS raw_md5, replace(string_agg(CASE WHEN gap > threshold THEN chr(10) || t ELSE t END, chr(10) ORDER BY y, x, t), chr(10), '|') AS layout_text
+    FROM g JOIN c USING (l_orderkey) GROUP BY l_orderkey"""
+
+SQL["projected_answers"] = f"""WITH e AS (SELECT event_id, event_id % 8 AS s, props->>'$.k' AS k FROM events)
+    SELECT event_id, s < 6 AS success, CASE WHEN s IN (0, 1, 5) THEN 'P' || k ELSE '{UNKNOWN}' END AS product_name,
+        CASE s WHEN 0 THEN 'a' || k || '|b' WHEN 2 THEN 'a' WHEN 3 THEN 'i' || k WHEN 4 THEN 'a|7' ELSE '' END AS ingredients, CASE s WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 1::DOUBLE END AS confidence,
+        CASE s WHEN 2 THEN 'product_name text {{"ko":"P' || k || '"}}' WHEN 4 THEN 'ingredients list ["a",{{"name":"b' || k || '"}},7]; confidence number "high"' ELSE '' END AS misfits,
+        CASE s WHEN 6 THEN 'no JSON object' WHEN 7 THEN 'no answer' END AS error FROM e"""
+
+SQL["repaired_pages"] = """WITH p AS (SELECT page_id, regexp_replace(translate(lower(html), 'abcdefghijklmnopqrstuvwxyz', '가나다라마바사아자차카타파하거너더러머버서어저처커터'), '[^가-힣 -~]', '', 'g') AS x FROM pages)
+    SELECT page_id, len(x)::BIGINT AS n_chars, md5(x) AS text_md5, CASE page_id % 2 WHEN 1 THEN 'euc-kr' ELSE 'utf-8' END AS charset FROM p"""
+
+SQL["stage_metrics"] = """SELECT 0 AS position, 'requests' AS stage, count(*) AS n_rows, count(*) FILTER (WHERE page_id % 5 < 2) AS n_errors, true AS done FROM pages
+    UNION ALL SELECT 1, 'images', 2 * count(*) FILTER (WHERE page_id % 5 >= 2), 0, true FROM pages
+    UNION ALL SELECT 2, 'pages', count(*), count(*) FILTER (WHERE page_id % 7 = 0 OR coalesce(html, '') = ''), true FROM pages"""
+
+SQL["cached_lookups"] = """SELECT lower(p_name) AS name, len(p_name)::INTEGER AS length, lower(p_name)[1] AS first, CASE WHEN count(*) FILTER (WHERE p_partkey % 50 = 0) > 0 THEN 1 ELSE 2 END AS asked_in, 0 AS asked_last FROM part GROUP BY ALL"""
+
+SQL["request_sessions"] = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, (props->>'$.k')::INTEGER % 6 AS i, user_id % 3 + 2 AS n FROM events),
+    s AS (SELECT user_id, min(us) AS first FROM e GROUP BY user_id
+          UNION ALL SELECT e.user_id, min(e.us) AS first FROM s JOIN e ON e.user_id = s.user_id AND e.us > s.first + 172800000000 GROUP BY e.user_id, s.first),
+    p AS (SELECT user_id, first, n, i, min(us) AS us FROM s JOIN e USING (user_id) WHERE us BETWEEN first AND first + 172800000000 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, first ORDER BY us, i) AS k, count(*) OVER (PARTITION BY user_id, first) AS c FROM p),
+    t AS (SELECT user_id, first, n, least(any_value(c), n) AS received, max(us) FILTER (WHERE k <= n) AS last, lead(first) OVER (PARTITION BY user_id ORDER BY first) AS next FROM r GROUP BY user_id, first, n)
+    SELECT user_id::VARCHAR AS request_id, first AS first_us, last AS last_us, n::BIGINT AS n_images, received::BIGINT AS received, CASE WHEN received >= n THEN 'complete' ELSE 'timed out' END AS outcome
+    FROM t WHERE received >= n OR next IS NOT NULL OR (first + 172800000000) // 1000 < (SELECT max(us) FROM e) // 1000 - 3600000"""

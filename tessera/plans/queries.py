@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.arrays import clean_list, compact, distinct_rows, first_known, spaceless, value_or_unknown
 from ..functions.predicates import Line, separator_count, split_tokens
 from ..functions.text import clean_recognised, clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
-from ..functions import phrases
-from ..operators import boxes, extraction, layout, merge, raw_sections, records, routing, sections, verify
-from ..sources import readers
+from ..functions import phrases, projection
+from ..operators import boxes, charsets, extraction, layout, merge, raw_sections, records, routing, sections, stages, verify
+from ..sources import cache, readers
+from ..storage import saved, work_path
+from ..streaming import sessions as streamed
 
 #: Labels that the generated prose has, for routing over it.
 PROSE_LABELS = (("that", "usage"), ("with", "cautions"), ("avec", "cautions"), ("pour", "effects"), ("nicht", "effects"), ("para", "usage"))
@@ -106,7 +108,7 @@ def keyword_cut(spark, sf_dir):
 
 def anti_fill_others(spark, sf_dir):
     """Lines that no section has, by document."""
-    lines = document_lines(spark, sf_dir)
+    lines = saved(document_lines(spark, sf_dir), "lines")
     found = lines.where(separator_count(F.col("text")) >= 2).select("image_id", "line_index", F.lit("ingredients").alias("section"), F.lit("listed").alias("reason"), F.col("text").alias("section_text"))
     return sections.with_others(found, lines).groupBy(F.col("image_id").alias("doc_id"), "section").agg(F.count("*").alias("n"))
 
@@ -163,7 +165,7 @@ def fuzzy_matches(spark, sf_dir):
 
 def section_walk(spark, sf_dir):
     """Sections of all lines, by document."""
-    found = sections.detect(document_lines(spark, sf_dir))
+    found = sections.walk(document_lines(spark, sf_dir))
     return found.groupBy(F.col("image_id").alias("doc_id"), "section").agg(F.count("*").alias("n"))
 
 
@@ -372,3 +374,85 @@ def extracted_fields(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     told = records.extract_fields(docs, "doc_id", "text")
     return told.select("doc_id", "product_name", "capacity", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("ingredients_raw", "usage", "cautions", "effects", "qr_codes", "urls")))
+
+
+def page_texts(spark, sf_dir):
+    """Lines of an order from the top, with a blank line where the gap is wide."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    lines = l.select(F.col("l_orderkey").alias("image_id"), (F.col("l_quantity") * 10 + F.col("l_linenumber")).cast("double").alias("center_y"), F.col("l_linenumber").cast("double").alias("x_min"), F.lit(12.0).alias("height"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"))
+    told = layout.page_text(lines)
+    return told.select(F.col("image_id").alias("l_orderkey"), F.md5("raw_text").alias("raw_md5"), F.replace("layout_text", F.lit("\n"), F.lit("|")).alias("layout_text"))
+
+
+def projected_answers(spark, sf_dir):
+    """Answers of a model in eight shapes, spoilt ones among them, onto the fixed struct."""
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    k = F.col("k")
+    shapes = (
+        F.concat(F.lit('```json\n{"product_name": " P'), k, F.lit('", "ingredients": ["a'), k, F.lit('", " b ", "a'), k, F.lit('", "N/A"], "confidence": 0.5}\n```')),
+        F.concat(F.lit('Here: {"product_name": ["", "P'), k, F.lit('"], "ingredients": null, "confidence": "0.25",} Thanks.')),
+        F.concat(F.lit('{"product_name": {"ko": "P'), k, F.lit('"}, "ingredients": ["a"], "confidence": 1}')),
+        F.concat(F.lit('{"product_name": "none", "ingredients": "i'), k, F.lit('"}')),
+        F.concat(F.lit('{"ingredients": ["a", {"name": "b'), k, F.lit('"}, 7], "confidence": "high"}')),
+        F.concat(F.lit('{“product_name”: “P'), k, F.lit('”, "ingredients": [],}')),
+        F.lit("Sorry, I can not read that."),
+        F.lit(" "),
+    )
+    raw = F.element_at(F.array(*shapes), (F.col("event_id") % 8 + 1).cast("int"))
+    told = e.select("event_id", raw.alias("raw")).select("event_id", projection.answers(F.col("raw"), {"product_name": "text", "ingredients": "list", "confidence": "number"}).alias("a"))
+    misfits = F.array_join(F.transform("a.misfits", lambda m: F.concat(m["field"], F.lit(" "), m["expected"], F.lit(" "), m["found"])), "; ")
+    return told.select("event_id", "a.success", "a.product_name", F.array_join("a.ingredients", "|").alias("ingredients"), "a.confidence", misfits.alias("misfits"), "a.error")
+
+
+#: Latin letters and the syllables that stand for them, to have Hangul in pages.
+LATIN, SYLLABLES = "abcdefghijklmnopqrstuvwxyz", "가나다라마바사아자차카타파하거너더러머버서어저처커터"
+
+
+def repaired_pages(spark, sf_dir):
+    """Pages of Hangul in two charsets, of which none is told."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.translate(F.lower("html"), LATIN, SYLLABLES), "[^가-힣 -~]", "").alias("html"))
+
+    def encoded(batches):
+        for batch in batches:
+            batch["content"] = [t.encode("euc-kr" if i % 2 else "utf-8") for i, t in zip(batch["page_id"], batch["html"])]
+            yield batch[["page_id", "content"]]
+
+    pages = saved(p.mapInPandas(encoded, "page_id bigint, content binary"), "encoded")
+    told = charsets.with_decoded(pages)
+    return told.select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "charset")
+
+
+def stage_metrics(spark, sf_dir):
+    """Rows and errors of each stage of a flow from requests to pages, as they were stored."""
+    p = table(spark, sf_dir, "pages")
+    url = F.concat(F.lit("http://x/"), F.col("page_id").cast("string"))
+    body = F.when(F.col("page_id") % 5 == 0, F.lit("{oops")).when(F.col("page_id") % 5 == 1, F.lit('{"user_id": 1, "image_url": " "}')).otherwise(F.to_json(F.struct(F.col("page_id").alias("user_id"), F.array(url, url, F.concat(url, F.lit("/b"))).alias("image_url"))))
+    flow = stages.Stages(spark)
+    requests = flow.run("requests", readers.requests(p.select(body.alias("body"))), "error")
+    flow.run("images", readers.image_items(requests.where("error is null")))
+    html = F.when(F.col("page_id") % 7 > 0, F.col("html"))
+    flow.run("pages", readers.fetched_pages(p.select("url", html.alias("html"))), "error")
+    return flow.metrics().select("position", "stage", "n_rows", "n_errors", F.col("failure").isNull().alias("done"))
+
+
+def cached_lookups(spark, sf_dir):
+    """Names asked in two runs and a third that asks nothing; each answer tells the run that asked for it."""
+    names = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    known = cache.LookupCache(spark, work_path(spark, "cache"), "name", "length int, first string")
+    ask = lambda keys: keys.select("name", F.length("name").alias("length"), F.substring("name", 1, 1).alias("first"))
+    known.look_up(names.where("p_partkey % 50 = 0"), ask)
+    known.look_up(names, ask)
+    known.compact()
+    found, asked = known.look_up(names, ask)
+    return found.select("name", "length", "first", F.col("version").alias("asked_in"), F.lit(asked).alias("asked_last"))
+
+
+def request_sessions(spark, sf_dir):
+    """Events as images of requests, streamed; a request closes when its images came or its time ran out."""
+    e = table(spark, sf_dir, "events")
+    index = F.get_json_object("props", "$.k").cast("int") % 6
+    images = e.select(F.col("user_id").cast("string").alias("request_id"), index.alias("image_index"), (F.col("user_id") % 3 + 2).cast("int").alias("n_images"), F.col("ts").cast("timestamp").alias("at"))
+    inbox, outbox, checkpoint = (work_path(spark, x) for x in ("inbox", "outbox", "stream"))
+    images.write.parquet(inbox)
+    told = streamed.run_sessions(spark, inbox, outbox, checkpoint, "request_id string, image_index int, n_images int, at timestamp", "2 days", "1 hour")
+    return told.select("request_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.col("n_images").cast("long").alias("n_images"), F.col("received").cast("long").alias("received"), "outcome")
