@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..functions.predicates import key_of
 from ..functions.text import GLYPHS, MORE_GLYPHS, _quoted
-from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, LINK_ENDS, SENTINELS, UNKNOWN
+from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, LINK_ENDS, NAME_ENDS, NAME_STARTS, SENTINELS, UNKNOWN
+from .labels import over_labels
 
 R = LABELS
 
@@ -357,3 +358,27 @@ SQL["request_sessions"] = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) A
     t AS (SELECT user_id, first, n, least(any_value(c), n) AS received, max(us) FILTER (WHERE k <= n) AS last, lead(first) OVER (PARTITION BY user_id ORDER BY first) AS next FROM r GROUP BY user_id, first, n)
     SELECT user_id::VARCHAR AS request_id, first AS first_us, last AS last_us, n::BIGINT AS n_images, received::BIGINT AS received, CASE WHEN received >= n THEN 'complete' ELSE 'timed out' END AS outcome
     FROM t WHERE received >= n OR next IS NOT NULL OR (first + 172800000000) // 1000 < (SELECT max(us) FROM e) // 1000 - 3600000"""
+
+
+def commas_in_turn(x: str, words: tuple[str, ...], after: bool) -> str:
+    """A comma at each of the words in turn, as the rule says it; twice each, since a match takes the character beside it along."""
+    for w in words:
+        for _ in range(2):
+            x = f"regexp_replace({x}, '({w})([가-힣A-Za-z0-9])', '\\1, \\2', 'g')" if after else f"regexp_replace({x}, '([가-힣a-zA-Z0-9])({w})', '\\1, \\2', 'g')"
+    return x
+
+
+def list_steps_of_labels(source: str) -> str:
+    """list_steps with the commas that names which run together ask for, before the last step."""
+    # The outermost step evens the commas: the new ones come before it.
+    last, inner = list_steps(source).removeprefix("(SELECT doc_id, ").removesuffix(")").split(" AS x FROM ", 1)
+    ends = "CASE WHEN contains(x, ',') THEN x ELSE " + f"regexp_replace(regexp_replace({commas_in_turn('x', NAME_ENDS, True)}, '(?i)(피이지-?\\d+[A-Za-z]*)([가-힣])', '\\1, \\2', 'g'), '(?i)(PEG-?\\d+[A-Za-z]*)([A-Za-z가-힣])', '\\1, \\2', 'g') END"
+    starts = f"CASE WHEN len(x) - len(replace(x, ',', '')) >= 3 THEN x ELSE {commas_in_turn('x', NAME_STARTS, False)} END"
+    for step in (ends, starts, last):
+        inner = f"(SELECT doc_id, {step} AS x FROM {inner})"
+    return inner
+
+
+for _new, _old in (("label_line_counts", "line_section_counts"), ("label_walk", "section_walk"), ("label_sections", "sectioned_documents"), ("label_top_lines", "top_line_per_document"), ("label_penalties", "penalty_score"), ("label_scores", "quality_score")):
+    SQL[_new] = over_labels(SQL[_old])
+SQL["label_lists"] = over_labels(f"SELECT doc_id, len(x)::BIGINT AS n_chars, md5(x) AS text_md5 FROM {list_steps_of_labels('(SELECT doc_id, text AS x FROM documents)')}")

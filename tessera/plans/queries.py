@@ -13,6 +13,7 @@ from ..operators import boxes, charsets, extraction, layout, merge, raw_sections
 from ..sources import cache, readers
 from ..storage import saved, work_path
 from ..streaming import sessions as streamed
+from .labels import label_documents
 
 #: Labels that the generated prose has, for routing over it.
 PROSE_LABELS = (("that", "usage"), ("with", "cautions"), ("avec", "cautions"), ("pour", "effects"), ("nicht", "effects"), ("para", "usage"))
@@ -24,12 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.lines_of_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return lines_of(table(spark, sf_dir, "documents"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    return layout.lines_of_text(docs.select("doc_id", "text"), "doc_id")
 
 
 def line_section_counts(spark, sf_dir):
     """Lines by language, label and noise."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("raw"))
+    return counts_by_label(table(spark, sf_dir, "documents"))
+
+
+def counts_by_label(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("raw"))
     lines = docs.select("lang", clean_text(F.col("raw")).alias("text")).where("text <> ''")
     x = Line(F.col("text"))
     told = lines.select("lang", F.coalesce(x.label, F.lit("none")).alias("label"), x.noise.alias("noise"), F.length("text").alias("n"))
@@ -90,13 +99,21 @@ def query_variants(spark, sf_dir):
 
 def quality_score(spark, sf_dir):
     """Quality of each document's text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"), F.lit(0.9).alias("confidence"), F.size(F.split("text", " ")).alias("n_blocks"), F.size(F.split("text", "\n")).alias("n_lines"))
+    return scores_of(table(spark, sf_dir, "documents"))
+
+
+def scores_of(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", F.col("text").alias("raw_text"), F.lit(0.9).alias("confidence"), F.size(F.split("text", " ")).alias("n_blocks"), F.size(F.split("text", "\n")).alias("n_lines"))
     return layout.quality_score(docs).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def penalty_score(spark, sf_dir):
     """P25: how unlike a list of names the lines of each language are."""
-    docs = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    return penalties_of(table(spark, sf_dir, "documents"))
+
+
+def penalties_of(docs: DataFrame) -> DataFrame:
+    docs = docs.select("lang", F.explode(F.split("text", "\n")).alias("line"))
     return docs.groupBy("lang").agg(F.sum(Line(F.col("line")).penalty).cast("long").alias("penalty"), F.count("*").alias("n"))
 
 
@@ -129,7 +146,11 @@ def gap_threshold(spark, sf_dir):
 
 def top_line_per_document(spark, sf_dir):
     """The line most like a name."""
-    best = sections.guess_product_name(document_lines(spark, sf_dir))
+    return top_lines(document_lines(spark, sf_dir))
+
+
+def top_lines(lines: DataFrame) -> DataFrame:
+    best = sections.guess_product_name(lines)
     return best.select(F.col("image_id").alias("doc_id"), F.col("line_index").cast("long").alias("line_index"), F.round("score", 6).alias("score"))
 
 
@@ -165,13 +186,21 @@ def fuzzy_matches(spark, sf_dir):
 
 def section_walk(spark, sf_dir):
     """Sections of all lines, by document."""
-    found = sections.walk(document_lines(spark, sf_dir))
+    return walked(document_lines(spark, sf_dir))
+
+
+def walked(lines: DataFrame) -> DataFrame:
+    found = sections.walk(lines)
     return found.groupBy(F.col("image_id").alias("doc_id"), "section").agg(F.count("*").alias("n"))
 
 
 def sectioned_documents(spark, sf_dir):
     """The whole detector; texts by section."""
-    texts = sections.section_texts(sections.detect_sections(document_lines(spark, sf_dir)))
+    return sectioned(document_lines(spark, sf_dir))
+
+
+def sectioned(lines: DataFrame) -> DataFrame:
+    texts = sections.section_texts(sections.detect_sections(lines))
     return texts.select(F.col("image_id").alias("doc_id"), "section", F.size("texts").cast("long").alias("n_texts"), F.md5("text").alias("text_md5"))
 
 
@@ -294,7 +323,11 @@ def distinct_variants(spark, sf_dir):
 
 def list_texts(spark, sf_dir):
     """Documents made ready to be split into names."""
-    told = phrases.list_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return made_lists(table(spark, sf_dir, "documents"))
+
+
+def made_lists(docs: DataFrame) -> DataFrame:
+    told = phrases.list_text(docs.select("doc_id", "text"), "text")
     return told.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -456,3 +489,42 @@ def request_sessions(spark, sf_dir):
     images.write.parquet(inbox)
     told = streamed.run_sessions(spark, inbox, outbox, checkpoint, "request_id string, image_index int, n_images int, at timestamp", "2 days", "1 hour")
     return told.select("request_id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), F.col("n_images").cast("long").alias("n_images"), F.col("received").cast("long").alias("received"), "outcome")
+
+
+def labels(spark, sf_dir) -> DataFrame:
+    return label_documents(table(spark, sf_dir, "part"))
+
+
+def label_line_counts(spark, sf_dir):
+    """P2, P3, P26, N9, N13 over label texts: every label and both kinds of noise."""
+    return counts_by_label(labels(spark, sf_dir))
+
+
+def label_walk(spark, sf_dir):
+    """W4, W8, P4 to P24 over label texts: every section."""
+    return walked(lines_of(labels(spark, sf_dir)))
+
+
+def label_sections(spark, sf_dir):
+    """O6, T1 to T4, J5, A3 over label texts."""
+    return sectioned(lines_of(labels(spark, sf_dir)))
+
+
+def label_top_lines(spark, sf_dir):
+    """T1, P23 over label texts."""
+    return top_lines(lines_of(labels(spark, sf_dir)))
+
+
+def label_penalties(spark, sf_dir):
+    """P25 over label texts."""
+    return penalties_of(labels(spark, sf_dir))
+
+
+def label_scores(spark, sf_dir):
+    """A6, P33 over label texts."""
+    return scores_of(labels(spark, sf_dir))
+
+
+def label_lists(spark, sf_dir):
+    """N12, N22, N27, N28, N30 to N34 over label texts: names that run together, numbers of names, stop words."""
+    return made_lists(labels(spark, sf_dir))
