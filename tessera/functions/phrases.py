@@ -51,7 +51,7 @@ def own_labels_removed(c: Column, words: tuple[str, ...]) -> Column:
 def without_noise_words(c: Column, rules: RuleSet = RAW) -> Column:
     """Words that are noise or mere punctuation go."""
     keys = [key_of(w) for w in rules.noise]
-    bare = lambda w: trimmed(w, _ENDS)
+    bare = lambda w: F.btrim(w, F.lit(" ,.;:：/·ㆍ-()[]{}"))
     return F.array_join(F.filter(F.split(c, r"(?U)\s+"), lambda w: (bare(w) != "") & ~compact(bare(w)).isin(*keys)), " ")
 
 
@@ -80,7 +80,9 @@ def places_in_turn(words: tuple[str, ...], after: bool) -> str:
                     guards.append(f"(?<!{e}{w[k:]})" if after else f"(?!{w[:k]}{e})")
         if not dead:
             out.append((f"(?<={w})" if after else f"(?={w})") + "".join(guards))
-    return f"(?:{'|'.join(out)})"
+    # The characters that the words end or begin with are asked for first: few places have one.
+    edges = "".join(dict.fromkeys(w[-1] if after else w[0] for w in words))
+    return (f"(?<=[{edges}])" if after else f"(?=[{edges}])") + f"(?:{'|'.join(out)})"
 
 
 def comma_after_ends(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,13 +115,32 @@ def clean_query(c: Column, labels: tuple[str, ...] = ("전성분", "전 성 분"
     return strip(F.regexp_replace(c, r"^[ ,;:/\-]+|[ ,;:/\-]+$", ""))
 
 
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern of any of the words, by their first characters, so that most places are told by one look."""
+    by_first: dict[str, list[str]] = {}
+    for w in dict.fromkeys(words):
+        by_first.setdefault(w[0], []).append(_quoted(w[1:]))
+    branches = "|".join(f"{_quoted(k)}(?:{'|'.join(rest)})" for k, rest in by_first.items())
+    return f"(?=[{''.join(_quoted(k) if k not in '-&' else chr(92) + k for k in by_first)}])(?:{branches})"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used: by a list of one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def until_keyword(c: Column, words: tuple[str, ...]) -> Column:
     """The text before the earliest first occurrence, after the start, of any of the words."""
-    every = F.array(*(F.lit(w.lower()) for w in words))
-    # A list of one element, so that the text is put into lower case once and not once a word.
-    least = F.transform(F.array(F.lower(c)), lambda text: F.array_min(F.filter(F.transform(every, lambda w: F.position(w, text)), lambda p: p > 1)))
-    at = F.get(least, F.lit(0))
-    return F.when(at.isNull(), c).otherwise(strip(F.substring(c, F.lit(1), at - 1)))
+    lowered = tuple(w.lower() for w in words)
+    pattern, every = any_word(lowered), F.array(*(F.lit(w) for w in lowered))
+
+    def least(text: Column) -> Column:
+        quick = bound(F.regexp_extract(text, f"(?s)^(.+?){pattern}", 1), lambda head: F.when(head != "", F.length(head) + 1))
+        # A word that the text begins with has its first occurrence there, and does not count later on.
+        exact = F.array_min(F.filter(F.transform(every, lambda w: F.position(w, text)), lambda p: p > 1))
+        return F.when(text.rlike(f"^{pattern}"), exact).otherwise(quick)
+
+    return bound(bound(F.lower(c), least), lambda at: F.when(at.isNull(), c).otherwise(strip(F.substring(c, F.lit(1), at - 1))))
 
 
 def with_scheme(c: Column) -> Column:

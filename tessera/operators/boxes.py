@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import strip
+from ..functions.text import confidence
+from ..rules import SECTION_ALIASES, SECTION_NAMES
 from ..storage import saved
 from .lookup import joined_by_key
 
@@ -141,3 +144,24 @@ def suppress(sections: DataFrame, overlap: float = OVERLAP, dense: int = DENSE)
 def presence(sections: DataFrame, types: tuple[str, ...]) -> DataFrame:
     """(image_index, has_<type>...) of each image."""
     return sections.groupBy("image_index").agg(*(F.max(F.col("section_type") == t).alias(f"has_{t}") for t in types))
+
+
+def section_type(value: Column) -> Column:
+    """The section that a name stands for, by any of its aliases; "unknown" if it stands for none."""
+    aliases = F.create_map(*(F.lit(x) for section, names in SECTION_ALIASES.items() for name in names for x in (name, section)))
+    text = strip(F.coalesce(value, F.lit("")))
+    key, compact = F.translate(F.lower(text), "- ", "_"), F.translate(text, " -_", "")
+    return F.coalesce(F.element_at(aliases, key), F.element_at(aliases, compact), F.lit("unknown"))
+
+
+def located(sections: DataFrame, images: DataFrame, by: tuple[str, ...] = ("image_index",)) -> DataFrame:
+    """sections (by, section_type, label, x1, y1, x2, y2, confidence) of images (by, width, height, ...) with what the image tells.
+
+    A type that stands for no section is looked for in the label; sections of no kind, of no image, or with no box inside it are left
+    out. A missing label is the section's usual one, a confidence that is no number is 0.
+    """
+    kinds = [section_type(F.col(c)) for c in ("section_type", "label")]
+    typed = sections.withColumn("section_type", F.when(kinds[0] != "unknown", kinds[0]).otherwise(kinds[1])).where("section_type <> 'unknown'")
+    names = F.create_map(*(F.lit(x) for pair in SECTION_NAMES.items() for x in pair))
+    label = F.coalesce(F.nullif(strip(F.col("label")), F.lit("")), F.element_at(names, F.col("section_type")))
+    return limited(typed.join(images, list(by)).withColumns({"label": label, "confidence": confidence(F.col("confidence"))}))

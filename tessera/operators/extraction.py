@@ -14,6 +14,7 @@ from ..functions.phrases import advert_cut, comma_after_ends, ends_as_advert, ge
 from ..functions.predicates import Line, has_keyword
 from ..rules import CAPACITIES, LINK_ENDS, RAW, SECTION_LABELS, RuleSet
 from ..storage import saved
+from .lookup import of_distinct
 from .routing import inline_segments, numbered_items
 
 #: From this length a piece without separators is taken for several names.
@@ -28,10 +29,15 @@ def first_of_equals(rows: DataFrame, by: str, order: tuple[str, ...], text: str
 
 
 def _valid_names(rows: DataFrame, rules: RuleSet) -> DataFrame:
-    """rows with `text` cleaned as a name and `ok`."""
-    cleaned = name_text(rows, "text", rules)
-    plain, x = with_phrase_facts(cleaned.withColumn("_plain", general_text(F.col("text"))), "_plain", rules)
-    return plain.withColumn("ok", x.candidate).select(*rows.columns, "ok")
+    """rows with `text` cleaned as a name and `ok`; each distinct text is worked out once."""
+
+    def told(texts: DataFrame) -> DataFrame:
+        named = name_text(texts.withColumn("_name", F.col("text")), "_name", rules)
+        plain, x = with_phrase_facts(named.withColumn("_plain", general_text(F.col("_name"))), "_plain", rules)
+        return plain.select(*texts.columns, "_name", x.candidate.alias("ok"))
+
+    known = of_distinct(saved(rows.where(F.col("text").isNotNull()), "found"), "text", told, "name-facts")
+    return known.select(*(F.col("_name").alias("text") if c == "text" else F.col(c) for c in rows.columns), "ok")
 
 
 def _unseparated(rows: DataFrame, key: tuple[str, ...], rules: RuleSet) -> DataFrame:
@@ -58,7 +64,8 @@ def ingredient_candidates(texts: DataFrame, by: str, text: str = "text", order:
     names and by words; long pieces without separators once more by the latter.
     """
     rows = texts.select(by, (F.col(order) if order else F.lit(0)).alias("no"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    rows = list_text(list_text(rows, "text", rules), "text", rules)
+    # Far more work is done on a text than its shuffle costs: dealt anew, so that a large file of one part is worked on by many tasks.
+    rows = list_text(list_text(rows.repartition(by), "text", rules), "text", rules)
     commas = F.greatest(F.regexp_count("text", F.lit("[,，、]")) - F.regexp_count("text", F.lit(r"\d\s*[,，、]\s*\d")), F.lit(0))
     at = F.when(commas >= 1, ",").when(F.col("text").rlike("[;；|]"), ";").when(F.col("text").rlike("[·ㆍ]"), "·").otherwise("")
     rows = saved(rows.withColumn("_at", at), "lists").where("text <> ''")

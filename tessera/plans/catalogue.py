@@ -14,7 +14,7 @@ NAMES = (
     "match_rates", "exact_matches", "fuzzy_matches", "section_walk", "sectioned_documents", "line_clusters", "word_boxes", "box_overlaps", "suppressed_boxes",
     "two_source_merge", "override_merge", "lenient_json", "catalogue_items", "request_images", "inline_segments", "payload_projection", "matching_keys", "line_keys",
     "glyph_texts", "distinct_variants", "list_texts", "ingredient_names", "amount_texts", "mended_links", "match_records", "flat_payloads", "stored_payloads", "raw_section_texts", "raw_lists", "extracted_fields",
-    "page_texts", "projected_answers", "repaired_pages", "stage_metrics", "cached_lookups", "request_sessions",
+    "page_texts", "projected_answers", "repaired_pages", "stage_metrics", "cached_lookups", "request_sessions", "located_sections",
     "label_line_counts", "label_walk", "label_sections", "label_top_lines", "label_penalties", "label_scores", "label_lists",
 )
 

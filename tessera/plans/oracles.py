@@ -382,3 +382,8 @@ def list_steps_of_labels(source: str) -> str:
 for _new, _old in (("label_line_counts", "line_section_counts"), ("label_walk", "section_walk"), ("label_sections", "sectioned_documents"), ("label_top_lines", "top_line_per_document"), ("label_penalties", "penalty_score"), ("label_scores", "quality_score")):
     SQL[_new] = over_labels(SQL[_old])
 SQL["label_lists"] = over_labels(f"SELECT doc_id, len(x)::BIGINT AS n_chars, md5(x) AS text_md5 FROM {list_steps_of_labels('(SELECT doc_id, text AS x FROM documents)')}")
+
+SQL["located_sections"] = """WITH s AS (SELECT *, CASE l_partkey % 7 WHEN 0 THEN 'product_name' WHEN 1 THEN 'usage' WHEN 2 THEN 'cautions' WHEN 3 THEN 'qr_url' WHEN 5 THEN 'ingredients' WHEN 6 THEN 'capacity' END AS t, l_quantity::INTEGER * 4 AS x FROM lineitem),
+    k AS (SELECT *, CASE WHEN t IS NOT NULL THEN t WHEN l_suppkey % 3 = 0 THEN 'cautions' END AS kind FROM s),
+    b AS (SELECT *, greatest(least(x - 60, 120), 0) AS x1, greatest(least(x, 120), 0) AS x2 FROM k WHERE kind IS NOT NULL AND l_linenumber <= 4)
+    SELECT l_orderkey, l_linenumber AS image_index, kind AS section_type, CASE WHEN l_suppkey % 3 = 0 THEN 'warnings' ELSE CASE kind WHEN 'product_name' THEN '제품명' WHEN 'capacity' THEN '용량' WHEN 'ingredients' THEN '전성분' WHEN 'usage' THEN '사용방법' WHEN 'cautions' THEN '주의사항' ELSE 'QR/URL' END END AS label, x1, 10 AS y1, x2, 40 AS y2, round(greatest(least((l_tax * 20)::DOUBLE, 1), 0), 6) AS confidence FROM b WHERE x2 - x1 >= 5"""

@@ -98,7 +98,7 @@ def query_variants(spark, sf_dir):
 
 
 def quality_score(spark, sf_dir):
-    """Quality of each document's text."""
+    """Quality of each document's text."""
     return scores_of(table(spark, sf_dir, "documents"))
 
 
@@ -233,7 +233,7 @@ def box_overlaps(spark, sf_dir):
 
 
 def suppressed_boxes(spark, sf_dir):
-    """Of overlapping boxes the surest stay."""
+    """Of overlapping boxes the surest stay."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     b = l.select(F.col("l_orderkey").alias("image_index"), F.col("l_returnflag").alias("section_type"), F.lit(0).alias("x1"), (F.col("l_linenumber") * 2).cast("int").alias("y1"), F.lit(100).alias("x2"), (F.col("l_linenumber") * 2 + 40).cast("int").alias("y2"), (F.lit(1.0) - F.col("l_discount")).alias("confidence"))
     return boxes.suppress(b).groupBy("image_index", "section_type").agg(F.count("*").alias("kept"), F.max("confidence").alias("best"))
@@ -528,3 +528,15 @@ def label_scores(spark, sf_dir):
 def label_lists(spark, sf_dir):
     """N12, N22, N27, N28, N30 to N34 over label texts: names that run together, numbers of names, stop words."""
     return made_lists(labels(spark, sf_dir))
+
+
+def located_sections(spark, sf_dir):
+    """Sections of an order's images under other names, some of no kind, image or size."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    name = F.element_at(F.array(*(F.lit(x) for x in ("Product", "how-to-use", "사용 시 주의사항", "qr 코드", "nonsense", "ALL_INGREDIENTS", " 내용량 "))), (F.col("l_partkey") % 7 + 1).cast("int"))
+    label = F.when(F.col("l_suppkey") % 3 == 0, F.lit("warnings")).when(F.col("l_suppkey") % 3 == 1, F.lit(" "))
+    x = F.col("l_quantity").cast("int")
+    found = l.select("l_orderkey", F.col("l_linenumber").alias("image_index"), name.alias("section_type"), label.alias("label"), (x * 4).alias("x1"), F.lit(10).alias("y1"), (x * 4 - 60).alias("x2"), F.lit(50).alias("y2"), (F.col("l_tax") * 20).cast("string").alias("confidence"))
+    images = l.where("l_linenumber <= 4").select("l_orderkey", F.col("l_linenumber").alias("image_index"), F.lit(120).alias("width"), F.lit(40).alias("height")).distinct()
+    told = boxes.located(found, images, ("l_orderkey", "image_index"))
+    return told.select("l_orderkey", "image_index", "section_type", "label", "x1", "y1", "x2", "y2", F.round("confidence", 6).alias("confidence"))

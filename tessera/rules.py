@@ -194,3 +194,14 @@ CAPACITIES = (
     r"(?i)\d+(?:\.\d+)?\s?(?:ml|g|kg|mg|oz|fl\.?\s?oz|매|pcs|ea|개)", r"(?i)\d+\s?[xX×]\s?\d+(?:\.\d+)?\s?(?:ml|g|kg|mg|oz|매|pcs|ea|개)?", r"(?i)\d+(?:\.\d+)?\s?(?:fl\.?\s?oz)",
 )
 LINK_ENDS = "com|co\\.kr|kr|net|org|io|ai|shop|mall|beauty|me|app|store|global"
+
+#: Other names of sections, written without spaces and with _ for -, and the label that a section has by default.
+SECTION_ALIASES = {
+    "product_name": ("product", "productname", "product_name", "제품명", "상품명", "브랜드"),
+    "capacity": ("capacity", "volume", "weight", "size", "용량", "중량", "내용량"),
+    "ingredients": ("ingredient", "ingredients", "all_ingredients", "full_ingredients", "전성분", "성분", "주성분", "원료"),
+    "usage": ("usage", "how_to_use", "directions", "사용법", "사용방법", "사용 방법"),
+    "cautions": ("caution", "cautions", "warning", "warnings", "precautions", "주의", "주의사항", "사용시주의사항", "사용 시 주의사항"),
+    "qr_url": ("qr", "qr_url", "url", "link", "barcode", "qrcode", "qr코드", "URL"),
+}
+SECTION_NAMES = {"product_name": "제품명", "capacity": "용량", "ingredients": "전성분", "usage": "사용방법", "cautions": "주의사항", "qr_url": "QR/URL"}

@@ -71,3 +71,14 @@ def test_tags_without_the_library(monkeypatch):
     assert [fast(k) for k in keys] == [slow(k) for k in keys]
     assert sum(slow(k)[1] > 1 for k in keys) > 10
     assert slow(tagging.key_of("사용 후 사용후"))[1] == 2  # two entries of the list, one key
+
+
+def test_until_keyword(spark, texts):
+    from tessera.functions.phrases import stop_words
+    from tessera.functions.text import until_keyword
+
+    words = stop_words(RAW)
+    odd = spark.createDataFrame([(x,) for x in ("use", "use it use", "xuse", "주의 주의", "a\nuse", "☺☺ warning", "name.com", "lot lot exp")], "text string")
+    for r in texts.select("text").union(odd).where("text is not null").select("text", until_keyword(F.col("text"), words).alias("cut")).collect():
+        spots = [p for p in (r.text.lower().find(w.lower()) for w in words) if p > 0]
+        assert r.cut == (r.text[: min(spots)].strip() if spots else r.text)
