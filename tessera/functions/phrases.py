@@ -219,6 +219,14 @@ def word_parts(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)[,，、;；·ㆍ/\s]+"), lambda w: w != "")
 
 
+def tagged_phrase(df: DataFrame, text: str = "text", rules: RuleSet = RAW) -> tuple[DataFrame, Phrase]:
+    """df with the words of all rules found in its texts, and a Phrase that looks them up: for a few facts that are asked once. Store the table before rows are chosen by them."""
+    df = word_tags(rules).tagged(df.withColumn("_key", compact(F.coalesce(text, F.lit("")))), "_key")
+    phrase = Phrase(F.col(text), rules, mask=F.col("_mask"))
+    phrase.__dict__.update({"key": F.col("_key"), "against": F.col("_n_not_ingredients"), "effect_hits": F.col("_n_effects_content")})
+    return df, phrase
+
+
 def with_phrase_facts(df: DataFrame, text: str = "text", rules: RuleSet = RAW) -> tuple[DataFrame, Phrase]:
     """df with a column _<fact> for each of PHRASE_FACTS, and a Phrase that reads them. Store the table before rows are chosen by them.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import compact, ordered_distinct, replaced, spaceless, strip
-from ..functions.phrases import advert_cut, comma_after_ends, ends_as_advert, general_lines, general_text, list_text, name_text, own_labels_removed, trimmed, with_phrase_facts
+from ..functions.phrases import advert_cut, comma_after_ends, ends_as_advert, general_lines, general_text, list_text, name_text, own_labels_removed, tagged_phrase, trimmed, with_phrase_facts
 from ..functions.predicates import Line, has_keyword
 from ..rules import CAPACITIES, LINK_ENDS, RAW, SECTION_LABELS, RuleSet
 from ..storage import saved
@@ -33,7 +33,7 @@ def _valid_names(rows: DataFrame, rules: RuleSet) -> DataFrame:
 
     def told(texts: DataFrame) -> DataFrame:
         named = name_text(texts.withColumn("_name", F.col("text")), "_name", rules)
-        plain, x = with_phrase_facts(named.withColumn("_plain", general_text(F.col("_name"))), "_plain", rules)
+        plain, x = tagged_phrase(named.withColumn("_plain", general_text(F.col("_name"))), "_plain", rules)
         return plain.select(*texts.columns, "_name", x.candidate.alias("ok"))
 
     known = of_distinct(saved(rows.where(F.col("text").isNotNull()), "found"), "text", told, "name-facts")
