@@ -1,8 +1,8 @@
 """Corpus pipeline over `documents`: quality, near-dedup, substring dedup, secret scans, packing.
 
 Each stage gets what its predecessor kept, as a stored table, and all but the last give the columns of documents. `run`
-applies them in order. SQL can express neither the classifier nor the tokenizer, so ORACLE_SQL is None and the tests hold
-every stage against a brute-force version of it.
+applies them in order. SQL can express neither the classifier nor the tokenizer, so ORACLE_SQL is None. The tests hold the
+operators of the stages against brute force, and the pipeline as a whole against planted cases only.
 """
 
 from __future__ import annotations
