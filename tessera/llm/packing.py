@@ -21,8 +21,8 @@ from .common import saved, slices, utf8
 from .wordtable import MOST_BYTES, WordTable
 
 SIZE = 2048
-#: Rows of one length are ranked in so many parts, so that no length is sorted in one task.
-RANK_PARTS = 256
+#: A part of the rows of one length that are ranked by one sort holds about so many of them, whatever their number.
+RANK_ROWS = 200_000
 
 #: Bytes that are white space alone or, in UTF-8, begin it; space and line feed are told apart by their neighbours.
 ODD_BYTE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
@@ -205,25 +205,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, id_col: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """pieces with sequence_id and offset. The rows are read more than once: hand over a stored table."""
+def pack(pieces: DataFrame, id_col: str = "doc_id", size: int = SIZE, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. The rows are read more than once: hand over a stored table.
+
+    A length of n rows is ranked in n / rank_rows parts by hash, each part from where the earlier ones end.
+    """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int"))
-    counts = keyed.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    # At most size x RANK_PARTS rows: sizes of the parts, then the number of rows in earlier parts of that length.
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_best_fit(histogram, size)
     by_length: dict[int, list[Run]] = {}
     for r in runs:
         by_length.setdefault(r.length, []).append(r)
-    plan = [(n, [(r.first_rank, r.each, r.first_sequence, r.fill) for r in own]) for n, own in by_length.items()]
-    slots = spark.createDataFrame(plan, "length bigint, _runs array<struct<first_rank:bigint,each:bigint,first_sequence:bigint,fill:bigint>>")
+    # At most `size` rows, with at most `size` runs in all besides one a length.
+    plan = [(n, -(-histogram[n] // rank_rows), [(r.first_rank, r.each, r.first_sequence, r.fill) for r in own]) for n, own in by_length.items()]
+    slots = spark.createDataFrame(plan, "length bigint, _parts bigint, _runs array<struct<first_rank:bigint,each:bigint,first_sequence:bigint,fill:bigint>>")
+    part = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("_parts")).cast("int")
+    keyed = pieces.join(F.broadcast(slots.drop("_runs")), "length").withColumn("_part", part).drop("_parts")
+    counts = keyed.groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    # A row for each part: the number of rows in earlier parts of that length.
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     own_rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy(id_col, "piece", "ids_crc32")) - 1
-    ranked = keyed.withColumn("_own", own_rank).join(F.broadcast(before), ["length", "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    ranked = keyed.withColumn("_own", own_rank).join(before.hint("merge"), ["length", "_part"]).withColumn("_rank", F.col("_own") + F.col("_before"))
     run = F.element_at(F.filter("_runs", lambda r: r["first_rank"] <= F.col("_rank")), -1)
-    placed = ranked.join(F.broadcast(slots), "length").withColumn("_run", run).withColumn("_in", F.col("_rank") - F.col("_run.first_rank"))
+    placed = ranked.join(F.broadcast(slots.drop("_parts")), "length").withColumn("_run", run).withColumn("_in", F.col("_rank") - F.col("_run.first_rank"))
     return placed.select(
         *pieces.columns,
         (F.col("_run.first_sequence") + F.expr("_in div _run.each")).alias("sequence_id"),

@@ -172,6 +172,22 @@ def test_packing(spark):
     assert len(bins) <= -(-total // 64) + 1
 
 
+def test_packing_of_a_length_in_many_parts(spark):
+    lengths = [40] * 500 + [24] * 130 + [64] * 90 + [7] * 3
+    rows = [(i, 0, n, i * 7) for i, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long")
+    for rank_rows in (11, 1000):
+        bins = defaultdict(list)
+        for r in packing.pack(pieces, size=64, rank_rows=rank_rows).collect():
+            bins[r.sequence_id].append((r.offset, r.length))
+        assert sum(map(len, bins.values())) == len(rows)
+        assert len(bins) == 500 + 90
+        for b in bins.values():
+            ends = [0, *(offset + length for offset, length in sorted(b))]
+            assert [offset for offset, _ in sorted(b)] == ends[:-1] and ends[-1] <= 64
+    assert packing.pack(pieces.where("false"), size=64).collect() == []
+
+
 def test_best_fit_plan_matches_best_fit():
     r = random.Random(4)
     for _ in range(100):
