@@ -271,3 +271,9 @@ def clean_link_value(c: Column) -> Column:
     c = strip(F.translate(F.coalesce(c, F.lit("")), "\n\t", ""))
     c = F.regexp_replace(F.regexp_replace(c, r"""(?U)^[\s"'`<>\[\](){}]+""", ""), r"""(?U)[\s"'`<>\[\](){},.;]+$""", "")
     return F.when(c.rlike(RAW.url), with_scheme(F.regexp_replace(c, r"(?U)\s+", ""))).otherwise(c)
+
+
+def decoded_values(items: Column, invalid: tuple[str, ...] = ()) -> Column:
+    """Values read from codes, cleaned, without those that are neither a link nor a text of some length; a null list is empty."""
+    cleaned = F.transform(F.coalesce(items, F.array().cast("array<string>")), clean_link_value)
+    return F.filter(cleaned, lambda x: F.coalesce(valid_link_value(x, invalid), F.lit(False)))

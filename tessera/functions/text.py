@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +116,36 @@ def clean_query(c: Column, labels: tuple[str, ...] = ("전성분", "전 성 분"
     return strip(F.regexp_replace(c, r"^[ ,;:/\-]+|[ ,;:/\-]+$", ""))
 
 
+#: Marks that are unified before a list of names is split, one to one, then units and line ends.
+SPLIT_MARKS = (("，", ","), ("、", ","), ("；", ";"), ("ㆍ", "·"), ("：", ":"), ("\t", " "), ("ｇ", "g"), ("Ｇ", "g"), ("–", "-"), ("—", "-"), ("−", "-"))
+SPLIT_UNITS = (("\r\n", "\n"), ("\r", "\n"), ("㎖", "ml"), ("ｍｌ", "ml"), ("ＭＬ", "ml"))
+SPLIT_SPACING = ((r"(?U)\s*,\s*", ", "), (r"(?U)\s*;\s*", "; "), (r"(?U)\s*:\s*", ": "), (r" +", " "), (r" *\n *", "\n"))
+#: Labels before a name, taken off one after the other in this order.
+NAME_LABELS = ("전성분", "전 성분", "성분", "주성분", "주 성분", "ingredients", "ingredient")
+
+
+def splittable(c: Column) -> Column:
+    """A list of names with its marks unified and its line ends kept; null becomes empty."""
+    c = F.translate(F.coalesce(c, F.lit("")), "".join(a for a, _ in SPLIT_MARKS), "".join(b for _, b in SPLIT_MARKS))
+    for old, new in SPLIT_UNITS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    for pattern, new in SPLIT_SPACING:
+        c = F.regexp_replace(c, pattern, new)
+    return strip(c)
+
+
+def _unlabelled(label: str, x: Column) -> Column:
+    return F.when(F.startswith(F.lower(x), F.lit(label)), F.btrim(F.substr(x, F.lit(len(label) + 1)), F.lit(" :-"))).otherwise(x)
+
+
+def plain_name(c: Column) -> Column:
+    """A name of either source before they are merged: marks at the ends and labels in front go; null becomes empty."""
+    c = F.btrim(strip(F.translate(F.coalesce(c, F.lit("")), "，、；ㆍ：", ",,;·:")), F.lit(" ,.;:/·-[]{}()"))
+    for label in NAME_LABELS:
+        c = bound(c, partial(_unlabelled, label))
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def any_word(words: tuple[str, ...]) -> str:
     """A pattern of any of the words, by their first characters, so that most places are told by one look."""
     by_first: dict[str, list[str]] = {}

@@ -134,3 +134,11 @@ def distinct_variants(variants: DataFrame, by: str = "image_id", order: str | Co
     keys = [F.col(by), F.coalesce(variant, F.lit("unknown")).alias("_variant"), F.coalesce(path, F.lit("")).alias("_path")]
     firsts = variants.groupBy(*keys).agg(F.min_by(F.struct(*variants.columns), order).alias("row"))
     return firsts.select("row.*")
+
+
+def variant_summaries(scored: DataFrame, by: str = "image_id", order: str = "ord") -> DataFrame:
+    """(by, place, variant, path, score, confidence, n_blocks, n_lines, text_length): the variants of each image, the best first, then by order."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), order))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    told = scored.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return told.select(by, place.alias("place"), "variant", "path", "score", zero("confidence"), zero("n_blocks"), zero("n_lines"), F.length(F.coalesce("raw_text", F.lit(""))).alias("text_length"))

@@ -133,6 +133,15 @@ def empty_validation(kind: str = "not_run", error: str | None = None) -> dict[st
     }
 
 
+def validation_type() -> str:
+    """The type of the block that validations makes, as DDL."""
+    items = lambda names: "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+    return (
+        f"struct<status:string,verified_ingredient_names:{STRINGS},verified_ingredients:{items(VERIFIED)},unverified_ingredients:{items(UNVERIFIED)},"
+        "verified_count:bigint,unverified_count:bigint,total_checked_count:bigint,error:string>"
+    )
+
+
 def validations(records: DataFrame, by: str) -> DataFrame:
     """(by, validation) of match_records: the block of a final record; verified_count counts distinct names."""
     return records.select(

@@ -16,6 +16,7 @@ NAMES = (
     "glyph_texts", "distinct_variants", "list_texts", "ingredient_names", "amount_texts", "mended_links", "match_records", "flat_payloads", "stored_payloads", "raw_section_texts", "raw_lists", "extracted_fields",
     "page_texts", "projected_answers", "repaired_pages", "stage_metrics", "cached_lookups", "request_sessions", "located_sections",
     "label_line_counts", "label_walk", "label_sections", "label_top_lines", "label_penalties", "label_scores", "label_lists",
+    "request_flow", "split_names", "variant_places",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(queries, n) for n in NAMES}

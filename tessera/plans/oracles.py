@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.predicates import key_of
-from ..functions.text import GLYPHS, MORE_GLYPHS, _quoted
+from ..functions.text import GLYPHS, MORE_GLYPHS, NAME_LABELS, SPLIT_MARKS, _quoted
 from ..rules import BEFORE_THING, INVALID_CANDIDATES, LABEL_ORDER, LABELS, LINK_ENDS, NAME_ENDS, NAME_STARTS, SENTINELS, UNKNOWN
 from .labels import over_labels
 
@@ -26,6 +26,24 @@ def clean_recognised(x: str) -> str:
     return clean(x)
 
 
+def splittable(x: str) -> str:
+    x = f"replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for old, new in (*((a, b) for a, b in SPLIT_MARKS if a != "\t"), ("㎖", "ml"), ("ｍｌ", "ml"), ("ＭＬ", "ml")):
+        x = f"replace({x}, '{old}', '{new}')"
+    for old, new in ((r"\t", " "), (r"\s*,\s*", ", "), (r"\s*;\s*", "; "), (r"\s*:\s*", ": "), (" +", " "), (r" *\n *", r"\n")):
+        x = f"regexp_replace({x}, '{old}', {'chr(10)' if new == chr(92) + 'n' else chr(39) + new + chr(39)}, 'g')"
+    return f"trim({x}, ' ' || chr(10))"
+
+
+def plain_name(x: str) -> str:
+    for old, new in zip("，、；ㆍ：", ",,;·:"):
+        x = f"replace({x}, '{old}', '{new}')"
+    x = f"trim({x}, ' ,.;:/·-[]{{}}()')"
+    for label in NAME_LABELS:
+        x = f"list_transform([{x}], lambda v: CASE WHEN lower(v).starts_with('{label}') THEN trim(v[{len(label) + 1}:], ' :-') ELSE v END)[1]"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
 def has(k: str, words: tuple[str, ...]) -> str:
     keys = list(dict.fromkeys(x for x in map(key_of, words) if x))
     return f"regexp_matches({k}, '{'|'.join(_quoted(x) for x in keys)}')"
@@ -325,6 +343,23 @@ SQL = {
     "distinct_variants": """SELECT DISTINCT ON (l_orderkey, l_returnflag, l_linestatus) l_orderkey, l_linenumber, l_partkey, l_suppkey, nullif(l_returnflag, 'N') AS variant, l_linestatus AS path
         FROM lineitem ORDER BY l_orderkey, l_returnflag, l_linestatus, l_linenumber, l_partkey, l_suppkey""",
     "line_keys": f"SELECT lang, count(DISTINCT {key('line')}) AS n_keys, count(DISTINCT translate(lower(line), ' ' || chr(10) || chr(13) || chr(9), '')) AS n_spaceless, count(DISTINCT line) AS n_lines FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang",
+    "request_flow": f"""WITH i AS (SELECT o_orderkey AS k, n FROM orders, range(4) r(n) WHERE n < o_custkey % 5),
+        l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+        f AS (SELECT k, n, part.*, CASE WHEN p_partkey % 4 = 0 THEN 'Qzxwv Jkq' || p_size ELSE p_name END AS name FROM i JOIN l ON l_orderkey = k AND l_linenumber = n + 1 JOIN part ON p_partkey = p WHERE (l_orderkey + l_linenumber) % 6 <> 0),
+        m AS (SELECT k, count(*) AS n_analysed, arg_min(p_brand, n) FILTER (WHERE p_size % 3 > 0) AS brand, count(DISTINCT name) AS n_names, count(DISTINCT name) FILTER (WHERE p_partkey % 4 <> 0) AS n_verified,
+          coalesce(avg(p_size / 50.0::DOUBLE) FILTER (WHERE p_size > 0), 0) AS confidence FROM f GROUP BY k),
+        u AS (SELECT k, string_agg('https://www.x.com/' || p, ',' ORDER BY n) AS urls FROM (SELECT k, p_partkey AS p, min(n) AS n FROM f GROUP BY ALL) GROUP BY k),
+        s AS (SELECT k, string_agg(t, ',' ORDER BY n) AS usage FROM (SELECT k, p_type AS t, min(n) AS n FROM f GROUP BY ALL) GROUP BY k)
+        SELECT o_orderkey AS user_id, CASE WHEN m.k IS NOT NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'answered' ELSE coalesce(brand, '{UNKNOWN}') END END AS product_name,
+        CASE WHEN m.k IS NOT NULL THEN CASE WHEN o_orderstatus = 'F' THEN '10 ml' ELSE '{UNKNOWN}' END END AS capacity, CASE WHEN m.k IS NOT NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'use' ELSE usage END END AS usage,
+        CASE WHEN m.k IS NOT NULL THEN o_custkey % 5 END AS n_images, n_analysed, n_names, n_verified, round(n_verified / n_names * 100, 6)::DOUBLE AS match_rate, round(confidence, 6)::DOUBLE AS confidence,
+        CASE WHEN n_verified = n_names THEN 'success' WHEN n_verified > 0 THEN 'partial_success' WHEN n_names > 0 THEN 'all_failed' END AS status, urls,
+        CASE WHEN o_custkey % 5 = 0 THEN 'request' WHEN m.k IS NULL THEN 'images' END AS stage, CASE WHEN o_custkey % 5 = 0 THEN 'no image_url' WHEN m.k IS NULL THEN 'no image could be analysed' END AS error
+        FROM orders LEFT JOIN m ON m.k = o_orderkey LEFT JOIN u ON u.k = o_orderkey LEFT JOIN s ON s.k = o_orderkey""",
+    "split_names": f"""SELECT p_partkey, {splittable("'전성분：' || p_name || '，' || chr(9) || p_brand || ' ㆍ 5㎖' || chr(13) || chr(10) || ' 2ｇ ; x–y  z' || chr(13) || p_type")} AS list,
+        {plain_name("' (성분 : Ingredients - ' || p_name || '  2 ]，' || p_type || '。)/'")} AS name FROM part""",
+    "variant_places": """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS place, l_returnflag AS variant, l_linestatus AS path, score, l_linenumber::BIGINT AS n_blocks, 0::BIGINT AS n_lines, l_linenumber::BIGINT AS text_length
+        FROM (SELECT *, CASE WHEN l_quantity > 5 THEN floor(l_quantity / 10) / 10 ELSE 0 END::DOUBLE AS score FROM lineitem)""",
 }
 __all__ = ["SQL", "INVALID_CANDIDATES"]
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import clean_list, compact, distinct_rows, first_known, spaceless, value_or_unknown
 from ..functions.predicates import Line, separator_count, split_tokens
-from ..functions.text import clean_recognised, clean_text, html_description, html_title, lenient, safe_file_name, until_keyword, with_scheme
+from ..functions.text import clean_recognised, clean_text, html_description, html_title, lenient, plain_name, safe_file_name, splittable, until_keyword, with_scheme
 from ..functions import phrases, projection
-from ..operators import boxes, charsets, extraction, layout, merge, raw_sections, records, routing, sections, stages, verify
+from ..operators import boxes, charsets, extraction, flow, layout, merge, raw_sections, records, routing, sections, stages, verify
 from ..sources import cache, readers
 from ..storage import saved, work_path
 from ..streaming import sessions as streamed
@@ -540,3 +540,49 @@ def located_sections(spark, sf_dir):
     images = l.where("l_linenumber <= 4").select("l_orderkey", F.col("l_linenumber").alias("image_index"), F.lit(120).alias("width"), F.lit(40).alias("height")).distinct()
     told = boxes.located(found, images, ("l_orderkey", "image_index"))
     return told.select("l_orderkey", "image_index", "section_type", "label", "x1", "y1", "x2", "y2", F.round("confidence", 6).alias("confidence"))
+
+
+def flow_of_orders(spark, sf_dir) -> flow.Outcome:
+    """Orders as requests of up to four images; lines as what was read from them, some of it not to be read; parts as catalogue."""
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    urls = F.slice(F.array(*(F.lit(f"http://x/{i}.jpg") for i in range(4))), F.lit(1), (F.col("o_custkey") % 5).cast("int"))
+    asked = readers.requests(orders.select(F.to_json(F.struct(F.col("o_orderkey").alias("user_id"), urls.alias("image_url"))).alias("body")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    fields = lines.select(
+        F.col("l_orderkey").cast("string").alias("user_id"), (F.col("l_linenumber") - 1).alias("image_index"), F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 6 == 0, "unreadable").alias("error"), F.lit("").alias("raw_text"),
+        (F.col("p_size") / 50.0).alias("confidence"), F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).alias("product_name"), text.alias("capacity"),
+        F.array(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Qzxwv Jkq"), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))).alias("ingredients_raw"), F.array("p_type").alias("usage"), none.alias("cautions"), none.alias("effects"),
+        F.array(F.concat(F.lit('"www.x.com/'), F.col("p_partkey").cast("string"), F.lit('." ')), F.lit("12345"), F.lit("02-123-4567")).alias("qr_codes"), none.alias("urls"),
+    )
+    catalogue = part.select(F.col("p_partkey").alias("item_pos"), F.col("p_name").alias("kor_name"), *(text.alias(c) for c in ("eng_name", "alias", "cas_no", "definition")))
+    answers = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("user_id"), F.lit(True).alias("success"), F.lit("answered").alias("product_name"), F.lit("10 ml").alias("capacity"), F.array(F.lit("use")).alias("usage"), none.alias("cautions"), none.alias("effects"))
+    return flow.analyse(asked, fields, catalogue, answers)
+
+
+def request_flow(spark, sf_dir):
+    """Every order's way through the flow: its record's figures, or the stage and error that ended it."""
+    done = flow_of_orders(spark, sf_dir)
+    p = F.col("result.processing_summary")
+    told = done.records.select(
+        "user_id", "result.product_name", "result.capacity", F.array_join("result.usage", ",").alias("usage"), p["input_image_count"].alias("n_images"), p["successful_image_analysis_count"].alias("n_analysed"), p["ingredient_raw_count"].alias("n_names"),
+        p["ingredient_verified_count"].alias("n_verified"), F.round("accuracy.ingredient_match_rate", 6).alias("match_rate"), F.round("accuracy.ocr_confidence", 6).alias("confidence"), F.col("result.ingredient_api_validation.status").alias("status"),
+        F.array_join("result.qr_info.urls", ",").alias("urls"),
+    )
+    return told.join(done.failures, "user_id", "full").withColumn("user_id", F.col("user_id").cast("long"))
+
+
+def split_names(spark, sf_dir):
+    """Lists of parts with odd marks, and names with labels in front."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select("p_partkey", F.concat(F.lit("전성분："), "p_name", F.lit("，\t"), "p_brand", F.lit(" ㆍ 5㎖\r\n 2ｇ ; x–y  z\r"), "p_type").alias("l"), F.concat(F.lit(" (성분 : Ingredients - "), "p_name", F.lit("  2 ]，"), "p_type", F.lit("。)/")).alias("n"))
+    return rows.select("p_partkey", splittable(F.col("l")).alias("list"), plain_name(F.col("n")).alias("name"))
+
+
+def variant_places(spark, sf_dir):
+    """The lines of each order as variants of an image, the best first."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = l.select("l_orderkey", order.alias("ord"), F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("path"), F.when(F.col("l_quantity") > 5, F.floor(F.col("l_quantity") / 10) / 10).alias("score"), F.col("l_discount").alias("confidence"), F.col("l_linenumber").alias("n_blocks"), F.lit(None).cast("int").alias("n_lines"), F.repeat(F.lit("x"), F.col("l_linenumber")).alias("raw_text"))
+    told = layout.variant_summaries(rows, "l_orderkey")
+    return told.select("l_orderkey", F.col("place").cast("long").alias("place"), "variant", "path", F.col("score").cast("double").alias("score"), F.col("n_blocks").cast("long").alias("n_blocks"), F.col("n_lines").cast("long").alias("n_lines"), F.col("text_length").cast("long").alias("text_length"))

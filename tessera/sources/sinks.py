@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import safe_list, value_or_unknown
@@ -15,6 +15,18 @@ def save_stage(df: DataFrame, folder: str, stage: str, run_id: str, kind: str =
     df.write.mode("overwrite").format(kind).save(f"{folder}/stage={stage}/run_id={run_id}")
 
 
+def attempted(spark: SparkSession, saves: dict[str, Callable[[], None]]) -> DataFrame:
+    """Each save in turn, as (position, name, saved, error): one that fails is told and stops no other."""
+    told = []
+    for i, (name, save) in enumerate(saves.items()):
+        try:
+            save()
+            told.append((i, name, True, None))
+        except Exception as e:  # a snapshot that fails does not cost the results
+            told.append((i, name, False, f"{type(e).__name__}: {str(e)[:500]}"))
+    return spark.createDataFrame(told, "position int, name string, saved boolean, error string")
+
+
 def save_text(df: DataFrame, folder: str, column: str = "text") -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(folder)
 
