@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.phrases import decoded_values
 from ..rules import LABELS, RuleSet
 from ..sources import readers
-from ..storage import saved
 from . import merge, records, verify
 from .stages import Stages
 
@@ -34,8 +33,7 @@ def verified_names(merged: DataFrame, catalogue: DataFrame, by: str = "user_id",
 
     catalogue: (item_pos, kor_name, eng_name, alias, cas_no, definition), each item_pos once.
     """
-    candidates = saved(verify.expand_candidates(merged, by, "ingredients_raw", rules), "candidates")
-    told = verify.match_candidates(candidates, catalogue, by, rules)
+    told = verify.match_candidates(verify.expand_candidates(merged, by, "ingredients_raw", rules), catalogue, by, rules)
     items = catalogue.select("item_pos", F.col("kor_name").alias("matched_name_kr"), F.col("eng_name").alias("matched_name_en"), "cas_no", "definition")
     named = told.join(items, "item_pos", "left")
     return named.select(

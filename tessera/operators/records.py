@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clean_list, safe_list, value_or_unknown
-from ..functions.text import with_scheme
+from ..functions.text import bound, with_scheme
 from ..rules import RAW, UNKNOWN, RuleSet
 from ..storage import saved
 from . import extraction, raw_sections
@@ -63,13 +63,16 @@ def image_outcomes(images: DataFrame, analysed: DataFrame, by: tuple[str, ...])
 
 def link_record(qr_codes: Column, candidates: Column) -> Column:
     """struct<detected, url, urls, raw_values, status> of decoded values and of links found in texts."""
-    codes, found = clean_list(qr_codes), clean_list(candidates)
-    urls = clean_list(F.transform(F.filter(F.concat(found, codes), lambda x: x.rlike(RAW.url)), with_scheme))
-    some = (F.size(codes) > 0) | (F.size(urls) > 0)
-    return F.struct(
-        some.alias("detected"), F.coalesce(F.get(urls, F.lit(0)), F.lit(UNKNOWN)).alias("url"), urls.alias("urls"), clean_list(F.concat(codes, urls)).alias("raw_values"),
-        F.when(some, "detected").otherwise("not_detected").alias("status"),
-    )
+    links = lambda codes: clean_list(F.transform(F.filter(F.concat(clean_list(candidates), codes), lambda x: x.rlike(RAW.url)), with_scheme))
+
+    def told(codes: Column, urls: Column) -> Column:
+        some = (F.size(codes) > 0) | (F.size(urls) > 0)
+        return F.struct(
+            some.alias("detected"), F.coalesce(F.get(urls, F.lit(0)), F.lit(UNKNOWN)).alias("url"), urls.alias("urls"), clean_list(F.concat(codes, urls)).alias("raw_values"),
+            F.when(some, "detected").otherwise("not_detected").alias("status"),
+        )
+
+    return bound(clean_list(qr_codes), lambda codes: bound(links(codes), lambda urls: told(codes, urls)))
 
 
 def link_union(images: DataFrame, by: str, order: str, lists: tuple[str, ...], text: str | None = None, pages: DataFrame | None = None) -> DataFrame:

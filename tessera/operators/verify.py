@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 from ..functions.arrays import compact_query, ordered_distinct, strip
 from ..functions.text import clean_query, search_hint
 from ..rules import INVALID_CANDIDATES, LABELS, RuleSet
+from ..storage import saved
+from .lookup import of_distinct
 
 ENDS = r"^[ ,;:：/·ㆍ\-|()\[\]{}]+|[ ,;:：/·ㆍ\-|()\[\]{}]+$"
 
@@ -138,13 +140,21 @@ def best_matches(queries: DataFrame, catalogue: DataFrame, rules: RuleSet = LABE
 
 
 def match_candidates(candidates: DataFrame, catalogue: DataFrame, by: str, rules: RuleSet = LABELS) -> DataFrame:
-    """candidates (by, pos, name) with query, matched, item_pos, score: the first spelling that matches strongly, else the best one."""
-    tried = candidates.select(by, "pos", "name", F.posexplode(query_variants(F.col("name"), rules)).alias("v", "query"))
-    found = tried.join(best_matches(tried.select("query"), catalogue, rules), "query", "left")
-    strong = F.coalesce((F.col("score") >= rules.strong_match).cast("int"), F.lit(0))
-    order = Window.partitionBy(by, "pos").orderBy(F.desc(strong), F.when(strong == 1, F.col("v")), F.desc_nulls_last("score"), "v")
-    best = found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(by, "pos", "query", F.coalesce("matched", F.lit(False)).alias("matched"), F.when(F.col("matched"), F.col("item_pos")).alias("item_pos"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return candidates.join(best, [by, "pos"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    """candidates (by, pos, name) with query, matched, item_pos, score: the first spelling that matches strongly, else the best one.
+
+    Each distinct name is worked out once, however many candidates have it. A null name matches nothing, as one of which no spelling is left.
+    """
+    rows = saved(candidates, "candidates")
+
+    def told(names: DataFrame) -> DataFrame:
+        tried = saved(names.select("text", F.posexplode(query_variants(F.col("text"), rules)).alias("v", "query")), "spellings")
+        found = tried.join(best_matches(tried.select("query"), catalogue, rules), "query", "left")
+        strong = F.coalesce((F.col("score") >= rules.strong_match).cast("int"), F.lit(0))
+        order = Window.partitionBy("text").orderBy(F.desc(strong), F.when(strong == 1, F.col("v")), F.desc_nulls_last("score"), "v")
+        best = found.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("text", "query", F.coalesce("matched", F.lit(False)).alias("matched"), F.when(F.col("matched"), F.col("item_pos")).alias("item_pos"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        return names.join(best, "text", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+    return of_distinct(rows, "name", told, "names").unionByName(rows.where("name is null").withColumn("matched", F.lit(False)), allowMissingColumns=True)
 
 
 def summary(matches: DataFrame, by: str, name_col: str = "verified_name") -> DataFrame:
