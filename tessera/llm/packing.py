@@ -216,7 +216,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", size: int = SIZE, rank_rows:
     by_length: dict[int, list[Run]] = {}
     for r in runs:
         by_length.setdefault(r.length, []).append(r)
-    # At most `size` rows, with at most `size` runs in all besides one a length.
+    # At most `size` rows.
     plan = [(n, -(-histogram[n] // rank_rows), [(r.first_rank, r.each, r.first_sequence, r.fill) for r in own]) for n, own in by_length.items()]
     slots = spark.createDataFrame(plan, "length bigint, _parts bigint, _runs array<struct<first_rank:bigint,each:bigint,first_sequence:bigint,fill:bigint>>")
     part = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("_parts")).cast("int")
