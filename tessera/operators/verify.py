@@ -15,6 +15,11 @@ from ..rules import INVALID_CANDIDATES, LABELS, RuleSet
 from ..storage import saved
 from .lookup import of_distinct
 
+#: What a score gains where one key holds the other.
+HOLDS = 0.10
+#: Rows of the index that one part of a gram holds, about.
+PART_ROWS = 20_000
+
 ENDS = r"^[ ,;:：/·ㆍ\-|()\[\]{}]+|[ ,;:：/·ㆍ\-|()\[\]{}]+$"
 
 
@@ -64,24 +69,29 @@ def query_variants(c: Column, rules: RuleSet = LABELS) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching blocks of two strings (Ratcliff and Obershelp), as difflib defines it. Arrow batches, no row-at-a-time UDF."""
+def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Share of matching blocks of two strings (Ratcliff and Obershelp), as difflib defines it; 0 if their characters alone keep it under `least`."""
     matcher, last, out = SequenceMatcher(None), None, []
-    for x, y in zip(a, b):
+    for x, y, low in zip(a, b, least):
         if y != last:
             matcher.set_seq2(y)
             last = y
         matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out)
+        out.append(matcher.ratio() if matcher.quick_ratio() >= low else 0.0)
+    return pd.Series(out, dtype="float64")
+
 
+def length_factor(n: Column, m: Column) -> Column:
+    """What a score is multiplied by: less the more the lengths differ."""
+    far = F.abs(n - m)
+    return F.when(far >= 10, 0.78).when(far >= 8, 0.84).when(far >= 5, 0.90).otherwise(1.0)
 
-def key_similarity(kx: Column, ky: Column) -> Column:
+
+def key_similarity(kx: Column, ky: Column, least: Column | None = None) -> Column:
     """The ratio of two keys, more if one holds the other, less the more their lengths differ; three decimals."""
-    inside = F.when(F.contains(ky, kx) | F.contains(kx, ky), 0.10).otherwise(0.0)
-    far = F.abs(F.length(kx) - F.length(ky))
-    factor = F.when(far >= 10, 0.78).when(far >= 8, 0.84).when(far >= 5, 0.90).otherwise(1.0)
-    return F.bround(F.least((sequence_ratio(kx, ky) + inside) * factor, F.lit(1.0)), 3)
+    inside = F.when(F.contains(ky, kx) | F.contains(kx, ky), HOLDS).otherwise(0.0)
+    ratio = sequence_ratio(kx, ky, F.lit(0.0) if least is None else least)
+    return F.bround(F.least((ratio + inside) * length_factor(F.length(kx), F.length(ky)), F.lit(1.0)), 3)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -91,52 +101,81 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == "") | x.isNull() | y.isNull(), 0.0).when((x == y) | (kx == ky), 1.0).otherwise(key_similarity(kx, ky))
 
 
-def character_tokens(key: Column) -> Column:
-    """Each character with the number of its occurrence: two keys share as many tokens as characters, counted singly."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, i, F.lit(1)))
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
-
+def shared_grams(n: Column, m: Column, match: float) -> Column:
+    """What two unequal keys of n and m characters must share for a score of `match`: (q, grams, apart, ratio), null if no score can reach it.
 
-def near_keys(asked: DataFrame, items: DataFrame, ratio: float) -> DataFrame:
-    """Pairs of asked (_qk) and items (_ik, item_pos) whose keys can have a ratio of at least `ratio` (above 0); none is left out.
-
-    Matched characters never exceed the shared ones, so a ratio is at most 2 * shared / (a + b). As a key of n characters must
-    share at least ratio / (2 - ratio) * n, the first shared token, in one order for all keys, rare ones first, comes early in
-    both. So pairs come from a join on early tokens, each pair at its first shared token only.
+    A ratio is 2 * matched / (n + m), where the matched characters stand in the same order in both keys. The score asks for a
+    number of them; all others, `apart`, are what positions can be shifted by. At least `grams` matched q-grams follow: each of the
+    others parts one matched pair of neighbours. Two-grams are taken where two or more must be shared, else single characters.
+    Where only the bonus of a key inside the other one reaches the threshold, all grams of the shorter key, of up to three, are shared.
     """
-    each = items.select("_ik", F.explode(character_tokens(F.col("_ik"))).alias("_t"))
-    common = each.groupBy("_t").agg(F.count("*").alias("_f"))
-
-    def early(keys: DataFrame, key: str, sorted_: str, *others: str) -> DataFrame:
-        tokens = keys.select(key, *others, F.explode(character_tokens(F.col(key))).alias("_t")).join(common, "_t", "left")
-        ordered = tokens.groupBy(key, *others).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_t"))).alias("_s"))
-        ordered = ordered.select(key, *others, F.transform("_s", lambda x: x["_t"]).alias(sorted_))
-        n = F.size(sorted_)
-        return ordered.withColumn("_t", F.explode(F.slice(F.col(sorted_), F.lit(1), n - F.ceil(n * (ratio / (2 - ratio)) - 1e-9).cast("int") + 1)))
-
-    met = early(asked, "_qk", "_qs").join(early(items, "_ik", "_is", "item_pos"), "_t").withColumn("_both", F.array_intersect("_qs", "_is"))
-    able = (F.get("_both", F.lit(0)) == F.col("_t")) & (2 * F.size("_both") >= (F.size("_qs") + F.size("_is")) * ratio - 1e-9)
-    return met.where(able).select("_qk", "_ik", "item_pos")
+    least = match - 0.0005  # scores are rounded to three decimals
+    factor, short, both = length_factor(n, m), F.least(n, m), n + m
+    need = F.ceil(least / factor * both / 2 - 1e-9).cast("int")
+    pairs, q = 3 * need - both - 1, F.least(short, F.lit(3))
+    told = lambda q, grams, apart, matched: F.struct(q.cast("int").alias("q"), grams.cast("int").alias("grams"), apart.cast("int").alias("apart"), (2 * matched / both - 1e-9).alias("ratio"))
+    inside = ((2 * short / both + HOLDS) * factor >= least - 1e-9) & (n != m)
+    plain = F.when(pairs >= 2, told(F.lit(2), pairs, both - 2 * need, need)).otherwise(told(F.lit(1), need, both - 2 * need, need))
+    return F.when(need <= short, plain).when(inside, told(q, short - q + 1, F.abs(n - m), short))
+
+
+def key_grams(key: Column, q: Column) -> Column:
+    """The q-grams of a key as (gram, at), from 0; none if it is shorter."""
+    starts = F.when(F.length(key) >= q, F.sequence(F.lit(0), F.length(key) - q)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.substring(key, i + 1, q).alias("gram"), i.alias("at")))
+
+
+def near_keys(asked: DataFrame, items: DataFrame, match: float, part_rows: int = PART_ROWS) -> DataFrame:
+    """Distinct pairs of asked (_qk) and items (_ik, item_pos), and the ratio (least) they need: all whose score can reach `match`.
+
+    items become an inverted index of 1-, 2- and 3-grams by length of key. Each asked key looks up each length that can match it.
+    In one order of grams, rare ones first, the first gram that both share comes early: at most as many come before it as need
+    not be shared. Rows of the index tell their gram's place in that order and in the key, so that pairs whose first shared gram
+    comes too late, or too far away, are left out before they are compared. A gram of many items is dealt over parts of about
+    part_rows rows. Both tables: each key once. Without items or asked keys there are no pairs.
+    """
+    if match <= HOLDS + 0.001:
+        raise ValueError("a threshold that the bonus alone reaches leaves out no pair")
+    size = F.length("_ik")
+    each = items.withColumn("m", size).select("_ik", "item_pos", "m", F.explode(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda q: key_grams(F.col("_ik"), q)))).alias("g")).select("*", "g.*").drop("g")
+    each = saved(each, "grams")
+    counts = saved(each.groupBy("m", "gram").agg(F.count("*").alias("f")), "gram-counts")
+    order = ("f", "gram", "at")
+    index = each.join(counts, ["m", "gram"]).withColumn("rank_i", F.row_number().over(Window.partitionBy("_ik", F.length("gram")).orderBy(*order)))
+    index = index.withColumn("part", F.pmod(F.xxhash64("_ik"), F.ceil(F.col("f") / part_rows)).cast("int")).withColumnRenamed("at", "at_i").drop("f")
+    n = F.length("_qk")
+    # a score is at most 2 * shorter / (n + m) + HOLDS, so the shorter key is at least `low` of the longer one
+    low = (match - HOLDS - 0.0005) / (2 - (match - HOLDS - 0.0005))
+    lengths = asked.withColumn("n", n).withColumn("m", F.explode(F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))))
+    lengths = lengths.withColumn("s", shared_grams(F.col("n"), F.col("m"), match)).where("s is not null").select("_qk", "n", "m", "s.*")
+    lengths = lengths.join(counts.select("m").distinct(), "m")
+    looked = lengths.withColumn("g", F.explode(key_grams(F.col("_qk"), F.col("q")))).select("*", "g.*").drop("g")
+    looked = looked.join(counts, ["m", "gram"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    looked = looked.withColumn("rank_q", F.row_number().over(Window.partitionBy("_qk", "m").orderBy(*order)))
+    looked = looked.where("f > 0 and rank_q <= n - q + 2 - grams").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("f") / part_rows).cast("int") - 1))).drop("f")
+    met = looked.join(index, ["m", "gram", "part"]).where("rank_i <= m - q + 2 - grams and abs(at_i - at) + abs((m - at_i) - (n - at)) <= apart")
+    return met.groupBy("_qk", "_ik", "item_pos").agg(F.max("ratio").alias("least"))
 
 
 def best_matches(queries: DataFrame, catalogue: DataFrame, rules: RuleSet = LABELS, names: tuple[str, ...] = ("kor_name", "eng_name", "alias")) -> DataFrame:
-    """(query, matched, item_pos, score): for each distinct query the best item of the catalogue, the first of equals.
+    """(query, matched, item_pos, score): for each distinct query the best item of the catalogue that reaches the threshold, the first of equals.
 
-    A score follows from the keys alone, so distinct keys are compared, each item key standing for its first item. Equal keys
-    are joined first; the others meet those that can reach the threshold, with the bonus: no match is lost, and no cross join.
+    A query that no item matches has no row. A score follows from the keys alone, so distinct keys are compared, each item key
+    standing for its first item. Equal keys are joined first; the others meet those that can reach the threshold: no match is
+    lost, and no cross join.
     """
     item = catalogue.select("item_pos", F.explode(F.array_distinct(F.array(*names))).alias("item_name")).where("item_name is not null and item_name <> ''")
     item = item.groupBy("item_name").agg(F.min("item_pos").alias("item_pos")).withColumn("_ik", compact_query(search_hint(clean_query(F.col("item_name"))))).where("_ik <> ''")
-    item = item.groupBy("_ik").agg(F.min("item_pos").alias("item_pos"))
+    item = saved(item.groupBy("_ik").agg(F.min("item_pos").alias("item_pos")), "item-keys")
     asked = queries.select("query").where("query is not null and query <> ''").distinct().withColumn("_qk", compact_query(search_hint(clean_query(F.col("query"))))).where("_qk <> ''")
+    asked = saved(asked, "asked-keys")
     keys = asked.select("_qk").distinct()
     exact = keys.join(item, F.col("_qk") == F.col("_ik")).select("_qk", "item_pos", F.lit(1.0).alias("score"))
     rest = keys.join(item, F.col("_qk") == F.col("_ik"), "left_anti")
-    # score <= ratio + 0.10, and scores are rounded to three decimals
-    near = near_keys(rest, item, rules.match - 0.10 - 0.0005)
-    fuzzy = near.select("_qk", "item_pos", key_similarity(F.col("_qk"), F.col("_ik")).alias("score"))
+    near = near_keys(rest, item, rules.match)
+    fuzzy = near.select("_qk", "item_pos", key_similarity(F.col("_qk"), F.col("_ik"), F.col("least")).alias("score")).where(F.col("score") >= rules.match)
     best = exact.unionByName(fuzzy).groupBy("_qk").agg(F.max(F.struct("score", (-F.col("item_pos")).alias("p"))).alias("b"))
-    return asked.join(best, "_qk").select("query", (F.col("b.score") >= rules.match).alias("matched"), (-F.col("b.p")).alias("item_pos"), F.col("b.score").alias("score"))
+    return asked.join(best, "_qk").select("query", F.lit(True).alias("matched"), (-F.col("b.p")).alias("item_pos"), F.col("b.score").alias("score"))
 
 
 def match_candidates(candidates: DataFrame, catalogue: DataFrame, by: str, rules: RuleSet = LABELS) -> DataFrame:
