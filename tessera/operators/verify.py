@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,19 +126,32 @@ def key_grams(key: Column, q: Column) -> Column:
     return F.transform(starts, lambda i: F.struct(F.substring(key, i + 1, q).alias("gram"), i.alias("at")))
 
 
+def letter_counts(key: Column) -> Column:
+    """How many characters of a key fall in each of 16 classes by hash, up to 15, as 16 digits of a 64-bit number."""
+    classes = F.transform(key_grams(key, F.lit(1)), lambda g: F.pmod(F.xxhash64(g["gram"]), F.lit(16)))
+    held = lambda i: F.least(F.size(F.filter(classes, lambda c: c == i)), F.lit(15)).cast("bigint")
+    return reduce(Column.bitwiseOR, (F.shiftleft(held(i), 4 * i) for i in range(16)))
+
+
+def letters_apart(x: Column, y: Column) -> Column:
+    """At most as many characters as two keys have beyond the shared ones, from their letter_counts."""
+    digit = lambda c, i: F.shiftright(c, 4 * i).bitwiseAND(F.lit(15))
+    return reduce(Column.__add__, (F.abs(digit(x, i) - digit(y, i)) for i in range(16)))
+
+
 def near_keys(asked: DataFrame, items: DataFrame, match: float, part_rows: int = PART_ROWS) -> DataFrame:
     """Distinct pairs of asked (_qk) and items (_ik, item_pos), and the ratio (least) they need: all whose score can reach `match`.
 
     items become an inverted index of 1-, 2- and 3-grams by length of key. Each asked key looks up each length that can match it.
     In one order of grams, rare ones first, the first gram that both share comes early: at most as many come before it as need
     not be shared. Rows of the index tell their gram's place in that order and in the key, so that pairs whose first shared gram
-    comes too late, or too far away, are left out before they are compared. A gram of many items is dealt over parts of about
+    comes too late, or too far away, or whose letters differ too much, are left out before they are compared. A gram of many items is dealt over parts of about
     part_rows rows. Both tables: each key once. Without items or asked keys there are no pairs.
     """
     if match <= HOLDS + 0.001:
         raise ValueError("a threshold that the bonus alone reaches leaves out no pair")
     size = F.length("_ik")
-    each = items.withColumn("m", size).select("_ik", "item_pos", "m", F.explode(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda q: key_grams(F.col("_ik"), q)))).alias("g")).select("*", "g.*").drop("g")
+    each = items.withColumns({"m": size, "letters_i": letter_counts(F.col("_ik"))}).select("_ik", "item_pos", "m", "letters_i", F.explode(F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda q: key_grams(F.col("_ik"), q)))).alias("g")).select("*", "g.*").drop("g")
     each = saved(each, "grams")
     counts = saved(each.groupBy("m", "gram").agg(F.count("*").alias("f")), "gram-counts")
     order = ("f", "gram", "at")
@@ -146,14 +160,15 @@ def near_keys(asked: DataFrame, items: DataFrame, match: float, part_rows: int =
     n = F.length("_qk")
     # a score is at most 2 * shorter / (n + m) + HOLDS, so the shorter key is at least `low` of the longer one
     low = (match - HOLDS - 0.0005) / (2 - (match - HOLDS - 0.0005))
-    lengths = asked.withColumn("n", n).withColumn("m", F.explode(F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))))
-    lengths = lengths.withColumn("s", shared_grams(F.col("n"), F.col("m"), match)).where("s is not null").select("_qk", "n", "m", "s.*")
+    lengths = asked.withColumns({"n": n, "letters": letter_counts(F.col("_qk"))}).withColumn("m", F.explode(F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)).cast("int"), F.floor(F.col("n") / low + 1e-9).cast("int"))))
+    lengths = lengths.withColumn("s", shared_grams(F.col("n"), F.col("m"), match)).where("s is not null").select("_qk", "n", "m", "letters", "s.*")
     lengths = lengths.join(counts.select("m").distinct(), "m")
     looked = lengths.withColumn("g", F.explode(key_grams(F.col("_qk"), F.col("q")))).select("*", "g.*").drop("g")
     looked = looked.join(counts, ["m", "gram"], "left").withColumn("f", F.coalesce("f", F.lit(0)))
     looked = looked.withColumn("rank_q", F.row_number().over(Window.partitionBy("_qk", "m").orderBy(*order)))
     looked = looked.where("f > 0 and rank_q <= n - q + 2 - grams").withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("f") / part_rows).cast("int") - 1))).drop("f")
     met = looked.join(index, ["m", "gram", "part"]).where("rank_i <= m - q + 2 - grams and abs(at_i - at) + abs((m - at_i) - (n - at)) <= apart")
+    met = met.where(letters_apart(F.col("letters"), F.col("letters_i")) <= F.col("apart"))
     return met.groupBy("_qk", "_ik", "item_pos").agg(F.max("ratio").alias("least"))
 
 
