@@ -12,11 +12,14 @@ from ..functions.text import confidence
 from ..rules import SECTION_ALIASES, SECTION_NAMES
 from ..storage import saved
 from .lookup import joined_by_key
+from .scan import same
 
 LEAST_SIDE, PAD_SHARE, PAD_LEAST, OVERLAP = 5, 0.03, 8, 0.75
 
 #: Boxes that a box meets in its cells, on average, from which on cells are thinned out before pairs are made.
 DENSE = 64
+#: Groups of up to so many boxes are settled each in a row of its own.
+FEW = 64
 
 
 def auto_scale(width: Column, height: Column) -> Column:
@@ -44,9 +47,9 @@ def padded(df: DataFrame, width: str = "width", height: str = "height") -> DataF
     return df.withColumns({"x1": F.greatest(F.col("x1") - x, F.lit(0)), "y1": F.greatest(F.col("y1") - y, F.lit(0)), "x2": F.least(F.col("x2") + x, F.col(width)), "y2": F.least(F.col("y2") + y, F.col(height))})
 
 
-def iou(a: str, b: str) -> Column:
+def iou(a: str | Column, b: str | Column) -> Column:
     """Shared area over joint area of two struct<x1,y1,x2,y2> columns; 0 without area."""
-    c = lambda s, k: F.col(f"{s}.{k}")
+    c = lambda s, k: s[k] if isinstance(s, Column) else F.col(f"{s}.{k}")
     w = F.greatest(F.least(c(a, "x2"), c(b, "x2")) - F.greatest(c(a, "x1"), c(b, "x1")), F.lit(0))
     h = F.greatest(F.least(c(a, "y2"), c(b, "y2")) - F.greatest(c(a, "y1"), c(b, "y1")), F.lit(0))
     area = lambda s: (c(s, "x2") - c(s, "x1")) * (c(s, "y2") - c(s, "y1"))
@@ -90,21 +93,37 @@ def _meets_here(a: str, b: str, step: float) -> Column:
     return here
 
 
-def suppress(sections: DataFrame, overlap: float = OVERLAP, dense: int = DENSE) -> DataFrame:
+def _settled(rows: DataFrame, group: tuple[str, ...], columns: list[str], overlap: float) -> DataFrame:
+    """columns of the rows that stay, of groups of few boxes: one array a group, walked from its surest box on."""
+    item = F.struct((-F.col("confidence")).alias("unsure"), "y1", "x1", F.col("_id").alias("id"), F.struct("x1", "y1", "x2", "y2").alias("box"), F.struct(*columns).alias("row"))
+    by_rank = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_boxes"))
+    over = lambda kept, x: F.exists(kept, lambda k: iou(k["box"], x["box"]) >= overlap)
+    kept = F.reduce("_boxes", F.filter("_boxes", lambda x: F.lit(False)), lambda acc, x: F.when(over(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return by_rank.select(F.explode(F.transform(kept, lambda x: x["row"])).alias("_row")).select("_row.*")
+
+
+def suppress(sections: DataFrame, overlap: float = OVERLAP, dense: int = DENSE, few: int = FEW) -> DataFrame:
     """Of sections (image_index, section_type, x1, y1, x2, y2, confidence) that overlap within an image and type, the surest stay.
 
-    As if boxes were taken surest first (then by y1 and x1) and each were kept unless it overlaps a kept one. Boxes meet in grid
+    As if boxes were taken surest first (then by y1 and x1) and each were kept unless it overlaps a kept one. Groups of up to `few`
+    boxes are settled in one row each, which costs a shuffle of the boxes; the boxes of larger ones meet in grid
     cells. While cells are crowded (more than `dense` boxes a box on average), the best box of all its cells is kept in each, and
     what it overlaps goes; the pairs that are left are then decided in rounds: a box without a better one that is open is kept,
     and its worse neighbours go. Rounds are as many as the longest row of boxes of which each one decides the next.
     Equal boxes are one. Boxes without area overlap nothing and stay. An empty table gives an empty result.
     """
-    step = 1 / (overlap - 1e-6)
+    step, group = 1 / (overlap - 1e-6), ("image_index", "section_type")
     rows = saved(sections.withColumn("_id", F.monotonically_increasing_id()), "boxes")
+    flat = rows.where("not coalesce(x2 > x1 and y2 > y1, false)").select(*sections.columns)
     solid = rows.where("x2 > x1 and y2 > y1")
+    crowded = saved(solid.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*group), "crowded")
+    if not crowded.limit(1).count():
+        return _settled(solid, group, sections.columns, overlap).unionByName(flat)
+    settled = _settled(solid.join(crowded, same(solid, crowded, group), "left_anti"), group, sections.columns, overlap).unionByName(flat)
+    solid = solid.join(crowded, same(solid, crowded, group), "left_semi")
     rank = F.struct((-F.col("confidence")).alias("unsure"), "y1", "x1", F.col("_id").alias("id"))
-    group, box = F.to_json(F.struct("image_index", "section_type")), F.struct("x1", "y1", "x2", "y2")
-    open_ = saved(solid.groupBy(group.alias("group"), box.alias("box")).agg(F.min(rank).alias("rank")), "open")
+    key, box = F.to_json(F.struct(*group)), F.struct("x1", "y1", "x2", "y2")
+    open_ = saved(solid.groupBy(key.alias("group"), box.alias("box")).agg(F.min(rank).alias("rank")), "open")
     kept: list[DataFrame] = []
     while True:
         cells = saved(_cells(open_, step), "cells")
@@ -138,7 +157,7 @@ def suppress(sections: DataFrame, overlap: float = OVERLAP, dense: int = DENSE)
     for more in kept[1:]:
         every = every.unionByName(more)
     chosen = rows.join(every.select(F.col("id").alias("_id")).hint("merge"), "_id", "left_semi").select(*sections.columns)
-    return chosen.unionByName(rows.where("not coalesce(x2 > x1 and y2 > y1, false)").select(*sections.columns))
+    return chosen.unionByName(settled)
 
 
 def presence(sections: DataFrame, types: tuple[str, ...]) -> DataFrame:
