@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +24,14 @@ def best_decoding(content: bytes, charsets: tuple[str, ...] = CHARSETS) -> tuple
 def with_decoded(df: DataFrame, content: str = "content", text: str = "text", charsets: tuple[str, ...] = CHARSETS) -> DataFrame:
     """df with `text` and `charset` of its bytes.
 
-    Valid UTF-8 is decoded where it is; only the rest is tried in each charset, in Arrow batches. A null is an empty text.
+    Valid UTF-8 is decoded where it is; only the rest is tried in each charset, in Python. A null is an empty text.
     """
     columns = df.columns
     read = df.withColumn("_as_is", F.coalesce(F.col(content).cast("string"), F.lit("")))
     read = read.withColumn("_sound", F.is_valid_utf8("_as_is"))
     sound = read.where("_sound").select(*columns, F.col("_as_is").alias(text), F.lit("utf-8").alias("charset"))
     rest = read.where("not _sound").select(*columns)
-    at = columns.index(content)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{text}` string, charset string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            told = [best_decoding(bytes(x or b""), charsets) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in told], pa.string()), pa.array([c for _, c in told], pa.string())], names=[*columns, text, "charset"])
-
-    return sound.unionByName(rest.mapInArrow(run, schema))
+    # Rows in small batches, not in Arrow's of thousands: a page may be long.
+    decode = F.udf(lambda x: best_decoding(bytes(x or b""), charsets), f"`{text}` string, charset string", useArrow=False)
+    told = rest.withColumn("_told", decode(content)).select(*columns, f"_told.`{text}`", "_told.charset")
+    return sound.unionByName(told)
