@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import SENTINELS, UNKNOWN
+from ..storage import saved
 
 Unary = Callable[[Column], Column]
 
@@ -54,6 +55,27 @@ def distinct_rows(df: DataFrame, by: str, items: Column, key: Unary = spaceless)
     return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("items"))
 
 
+#: Texts of up to so many characters have their words told apart where they lie.
+SHORT_TEXT = 1 << 20
+
+
+def distinct_words(df: DataFrame, by: str, text: str, ends: str, key: Unary = spaceless, short: int = SHORT_TEXT) -> DataFrame:
+    """(by, items) for each row of df: the words of `text` between `ends` as distinct_rows gives them, null where there are none.
+
+    A text's words lie in its row and are told apart there, by a sort, so none is shuffled. Rows that share `by`, whose words count
+    together, and texts of more than `short` characters go by rows.
+    """
+    sizes = df.groupBy(by).agg(F.count("*").alias("_n"), F.max(F.length(text)).alias("_m"))
+    others = saved(sizes.where((F.col("_n") > 1) | (F.col("_m") > short)).select(by), "by-rows")
+    own = df.join(others, by, "left_anti").select(by, F.array_distinct(F.split(text, ends)).alias("_w"))
+    own = own.withColumn("_s", F.array_sort(F.transform("_w", lambda w, i: F.struct(key(w).alias("k"), i.alias("i"), w.alias("w")))))
+    first = lambda x, j: (x["k"] != "") & ((j == 0) | (F.get("_s", j - 1)["k"] != x["k"]))
+    own = own.withColumn("_f", F.array_sort(F.transform(F.filter("_s", first), lambda x: F.struct(x["i"], x["w"].alias("w")))))
+    told = own.select(by, F.when(F.col(by).isNotNull() & (F.size("_f") > 0), F.transform("_f", lambda x: x["w"])).alias("items"))
+    rest = df.join(others, by, "left_semi")
+    return told.unionByName(rest.select(by).join(distinct_rows(rest, by, F.split(text, ends), key), by, "left"))
+
+
 def clean_list(items: Column) -> Column:
     """Items without blanks, nulls and sentinels, ends stripped, ordered distinct; a null list is empty."""
     stripped = F.transform(F.coalesce(items, F.array().cast("array<string>")), strip)
