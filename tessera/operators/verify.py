@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.arrays import compact_query, ordered_distinct, strip
-from ..functions.text import clean_query, search_hint
+from ..functions.text import bound, clean_query, search_hint
 from ..rules import INVALID_CANDIDATES, LABELS, RuleSet
 from ..storage import saved
 from .lookup import of_distinct
@@ -61,11 +61,15 @@ def expand_candidates(rows: DataFrame, by: str, names: str, rules: RuleSet = LAB
 
 def query_variants(c: Column, rules: RuleSet = LABELS) -> Column:
     """At most query_variants spellings, the likeliest first: as it is, and without dashes, commas, ppm and slashes, then the parts between slashes."""
-    base = clean_query(search_hint(c))
-    parts = F.when(F.contains(base, F.lit("/")), F.split(base, "/")).otherwise(F.array().cast("array<string>"))
-    ppm = F.when(base.rlike(r"(?i)\d+ppm"), F.regexp_replace(base, r"(?i)\d+ppm", ""))
-    every = F.concat(F.array(base, F.replace(base, F.lit("-"), F.lit("")), F.replace(base, F.lit(","), F.lit("")), ppm, F.replace(base, F.lit("/"), F.lit(""))), parts)
-    cleaned = F.transform(F.filter(every, lambda x: x.isNotNull()), lambda x: clean_query(search_hint(x)))
+
+    def spellings(base: Column) -> Column:
+        parts = F.when(F.contains(base, F.lit("/")), F.split(base, "/")).otherwise(F.array().cast("array<string>"))
+        ppm = F.when(base.rlike(r"(?i)\d+ppm"), F.regexp_replace(base, r"(?i)\d+ppm", ""))
+        every = F.concat(F.array(base, F.replace(base, F.lit("-"), F.lit("")), F.replace(base, F.lit(","), F.lit("")), ppm, F.replace(base, F.lit("/"), F.lit(""))), parts)
+        # Equal ones are cleaned once.
+        return F.array_distinct(F.filter(every, lambda x: x.isNotNull()))
+
+    cleaned = F.transform(bound(clean_query(search_hint(c)), spellings), lambda x: clean_query(search_hint(x)))
     return F.slice(F.array_distinct(F.filter(cleaned, lambda x: F.length(x) > 1)), 1, rules.query_variants)
 
 
