@@ -65,7 +65,9 @@ def ingredient_candidates(texts: DataFrame, by: str, text: str = "text", order:
     """
     rows = texts.select(by, (F.col(order) if order else F.lit(0)).alias("no"), F.col(text).alias("text")).where("text is not null and text <> ''")
     # Far more work is done on a text than its shuffle costs: dealt anew, so that a large file of one part is worked on by many tasks.
-    rows = list_text(list_text(rows.repartition(by), "text", rules), "text", rules)
+    # Stored between the two passes: as one plan they take several times as long as one after the other.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = list_text(saved(list_text(rows.repartition(parts, by), "text", rules), "once"), "text", rules)
     commas = F.greatest(F.regexp_count("text", F.lit("[,，、]")) - F.regexp_count("text", F.lit(r"\d\s*[,，、]\s*\d")), F.lit(0))
     at = F.when(commas >= 1, ",").when(F.col("text").rlike("[;；|]"), ";").when(F.col("text").rlike("[·ㆍ]"), "·").otherwise("")
     rows = saved(rows.withColumn("_at", at), "lists").where("text <> ''")
