@@ -18,6 +18,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, use: Unary) -> Column:
+    """use(value), with value worked out once however often it is used, in lambdas too: by a list of one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compact(c: Column) -> Column:
     """Matching key: lower case, without white space, dashes, punctuation and brackets."""
     return F.translate(F.lower(c), " \n\r\t-_:：.,，;；/·ㆍ[](){}", "")
@@ -35,7 +40,7 @@ def compact_link(c: Column) -> Column:
 
 def spaceless(c: Column) -> Column:
     """Matching key of de-duplication: lower case without white space."""
-    return F.translate(F.lower(c), " \n\r\t", "")
+    return replaced(F.lower(c), [(w, "") for w in " \n\r\t"])
 
 
 def ordered_distinct(items: Column, key: Unary = spaceless) -> Column:
@@ -43,7 +48,11 @@ def ordered_distinct(items: Column, key: Unary = spaceless) -> Column:
 
     For the short lists of a record: every distinct key is looked up once. For long lists, distinct_rows.
     """
-    keys = F.transform(items, key)
+    # Lambdas work out again, for each element, whatever they name but variables.
+    return bound(items, lambda xs: bound(F.transform(xs, key), lambda keys: _firsts(xs, keys)))
+
+
+def _firsts(items: Column, keys: Column) -> Column:
     wanted = F.filter(F.array_distinct(keys), lambda k: k.isNotNull() & (k != ""))
     return F.transform(wanted, lambda k: F.element_at(items, F.array_position(keys, k).cast("int")))
 
@@ -52,7 +61,7 @@ def distinct_rows(df: DataFrame, by: str, items: Column, key: Unary = spaceless)
     """(by, items) as ordered_distinct gives them, by rows: for lists of any length, with partial sums before the shuffle."""
     each = df.select(by, F.posexplode(items).alias("_pos", "_v")).withColumn("_k", key(F.col("_v"))).where("_k is not null and _k <> ''")
     first = each.groupBy(by, "_k").agg(F.min("_pos").alias("_pos"), F.min_by("_v", "_pos").alias("_v"))
-    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("items"))
+    return first.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_v"))), lambda x: x["_v"]).alias("items"))
 
 
 #: Texts of up to so many characters have their words told apart where they lie.
@@ -68,9 +77,9 @@ def distinct_words(df: DataFrame, by: str, text: str, ends: str, key: Unary = sp
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"), F.max(F.length(text)).alias("_m"))
     others = saved(sizes.where((F.col("_n") > 1) | (F.col("_m") > short)).select(by), "by-rows")
     own = df.join(others, by, "left_anti").select(by, F.array_distinct(F.split(text, ends)).alias("_w"))
-    own = own.withColumn("_s", F.array_sort(F.transform("_w", lambda w, i: F.struct(key(w).alias("k"), i.alias("i"), w.alias("w")))))
+    own = own.withColumn("_s", F.sort_array(F.transform("_w", lambda w, i: F.struct(key(w).alias("k"), i.alias("i"), w.alias("w")))))
     first = lambda x, j: (x["k"] != "") & ((j == 0) | (F.get("_s", j - 1)["k"] != x["k"]))
-    own = own.withColumn("_f", F.array_sort(F.transform(F.filter("_s", first), lambda x: F.struct(x["i"], x["w"].alias("w")))))
+    own = own.withColumn("_f", F.sort_array(F.transform(F.filter("_s", first), lambda x: F.struct(x["i"], x["w"].alias("w")))))
     told = own.select(by, F.when(F.col(by).isNotNull() & (F.size("_f") > 0), F.transform("_f", lambda x: x["w"])).alias("items"))
     rest = df.join(others, by, "left_semi")
     return told.unionByName(rest.select(by).join(distinct_rows(rest, by, F.split(text, ends), key), by, "left"))
@@ -79,13 +88,15 @@ def distinct_words(df: DataFrame, by: str, text: str, ends: str, key: Unary = sp
 def clean_list(items: Column) -> Column:
     """Items without blanks, nulls and sentinels, ends stripped, ordered distinct; a null list is empty."""
     stripped = F.transform(F.coalesce(items, F.array().cast("array<string>")), strip)
-    return ordered_distinct(F.filter(stripped, lambda x: x.isNotNull() & (x != "") & ~x.isin(*SENTINELS)))
+    good = F.filter(stripped, lambda x: x.isNotNull() & (x != "") & ~x.isin(*SENTINELS))
+    # Most lists hold no equals, and those of one item need no keys: the key of what is left is never empty.
+    several = lambda xs: bound(F.transform(xs, spaceless), lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(xs), xs).otherwise(_firsts(xs, keys)))
+    return bound(good, lambda xs: F.when(F.size(xs) < 2, xs).otherwise(several(xs)))
 
 
 def safe_list(items: Column) -> Column:
     """clean_list, or the one item UNKNOWN."""
-    cleaned = clean_list(items)
-    return F.when(F.size(cleaned) == 0, F.array(F.lit(UNKNOWN))).otherwise(cleaned)
+    return bound(clean_list(items), lambda xs: F.when(F.size(xs) == 0, F.array(F.lit(UNKNOWN))).otherwise(xs))
 
 
 def value_or_unknown(c: Column) -> Column:

@@ -36,7 +36,10 @@ def invalid_candidate(c: Column, rules: RuleSet = LABELS) -> Column:
 
 def split_by_space(c: Column) -> Column:
     """Two Latin words stay one name; three or more Latin words, or three or more plausible ones, are split."""
-    tokens = F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
+    return bound(F.filter(F.split(c, r"(?U)\s+"), lambda t: t != ""), lambda tokens: _split_tokens(c, tokens))
+
+
+def _split_tokens(c: Column, tokens: Column) -> Column:
     latin = F.size(F.filter(tokens, lambda t: t.rlike(r"^[A-Za-z\-]+$")))
     plain = F.transform(tokens, lambda t: F.regexp_replace(t, ENDS, ""))
     good = F.size(F.filter(plain, lambda t: F.length(t).between(2, 45) & t.rlike("[가-힣A-Za-z]")))
