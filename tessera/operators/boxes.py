@@ -96,7 +96,7 @@ def _meets_here(a: str, b: str, step: float) -> Column:
 def _settled(rows: DataFrame, group: tuple[str, ...], columns: list[str], overlap: float) -> DataFrame:
     """columns of the rows that stay, of groups of few boxes: one array a group, walked from its surest box on."""
     item = F.struct((-F.col("confidence")).alias("unsure"), "y1", "x1", F.col("_id").alias("id"), F.struct("x1", "y1", "x2", "y2").alias("box"), F.struct(*columns).alias("row"))
-    by_rank = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_boxes"))
+    by_rank = rows.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_boxes"))
     over = lambda kept, x: F.exists(kept, lambda k: iou(k["box"], x["box"]) >= overlap)
     kept = F.reduce("_boxes", F.filter("_boxes", lambda x: F.lit(False)), lambda acc, x: F.when(over(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     return by_rank.select(F.explode(F.transform(kept, lambda x: x["row"])).alias("_row")).select("_row.*")

@@ -25,7 +25,7 @@ WHOLE = 1 << 30
 def first_of_equals(rows: DataFrame, by: str, order: tuple[str, ...], text: str = "text") -> DataFrame:
     """(by, items): texts in order, once each by key; partial minima come before the shuffle."""
     each = rows.where(f"{text} <> ''").groupBy(by, spaceless(F.col(text)).alias("_k")).agg(F.min(F.struct(*order, text)).alias("_v")).where("_k <> ''")
-    return each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("_v")), lambda v: v[text]).alias("items"))
+    return each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v[text]).alias("items"))
 
 
 def _valid_names(rows: DataFrame, rules: RuleSet) -> DataFrame:

@@ -15,7 +15,7 @@ THRESHOLDS = {"product_name": 0.60, "capacity": 0.55, "usage": 0.55, "cautions":
 def ordered(value: str | Column, order: str) -> Column:
     """The group's values in order, whatever the order in which a shuffle brought them."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), v.alias("v")))), lambda x: x["v"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), v.alias("v")))), lambda x: x["v"])
 
 
 def merge_images(records: DataFrame, by: str, order: str, firsts: tuple[str, ...] = (), lists: tuple[str, ...] = (), texts: tuple[str, ...] = (), confidence: str | None = None) -> DataFrame:

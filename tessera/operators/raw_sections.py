@@ -60,7 +60,7 @@ def raw_sections(lines: DataFrame, by: str, rules: RuleSet = RAW) -> DataFrame:
     names = first.groupBy(by).agg(F.max_by("text", like).alias("text"), F.lit(0).alias("pos")).join(found.where("section = 'product_name'").select(by).distinct(), by, "left_anti")
     every = found.unionByName(names.select(by, F.lit("product_name").alias("section"), "pos", "text"))
     each = every.where("text <> ''").groupBy(by, "section", spaceless(F.col("text")).alias("_k")).agg(F.min(F.struct("pos", "text")).alias("_v"))
-    joined = each.groupBy(by, "section").agg(F.transform(F.array_sort(F.collect_list("_v")), lambda v: v["text"]).alias("texts"))
+    joined = each.groupBy(by, "section").agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v["text"]).alias("texts"))
     lined = F.col("section").isin("usage", "cautions", "effects")
     plain = joined.select(by, "section", F.when(lined, F.array_join("texts", "\n")).otherwise(F.array_join("texts", " ")).alias("text"))
     lists = saved(list_text(plain.where("section = 'ingredients'"), "text", rules), "raw-lists")
@@ -77,5 +77,5 @@ def list_in_raw_text(lines: DataFrame, by: str, rules: RuleSet = RAW) -> DataFra
     over = (F.col("_n") > F.col("_start")) & (F.col("stops") | (F.col("_n") - F.col("_last") > rules.gap_tolerance))
     kept = placed.withColumn("_over", F.max(over.cast("int")).over(order)).where("_over = 0")
     part = F.struct("_n", F.when(F.col("_n") == F.col("_start"), F.col("list_value")).otherwise(F.col("text")).alias("t"))
-    joined = kept.groupBy(by).agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), lambda t: t != ""), " ").alias("text"))
+    joined = kept.groupBy(by).agg(F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["t"]), lambda t: t != ""), " ").alias("text"))
     return saved(list_text(joined, "text", rules), "list-texts")

@@ -63,7 +63,12 @@ def image_outcomes(images: DataFrame, analysed: DataFrame, by: tuple[str, ...])
 
 def link_record(qr_codes: Column, candidates: Column) -> Column:
     """struct<detected, url, urls, raw_values, status> of decoded values and of links found in texts."""
-    links = lambda codes: clean_list(F.transform(F.filter(F.concat(clean_list(candidates), codes), lambda x: x.rlike(RAW.url)), with_scheme))
+    return bound(clean_list(qr_codes), lambda codes: _clean_link_record(codes, clean_list(candidates)))
+
+
+def _clean_link_record(codes: Column, candidates: Column) -> Column:
+    """link_record of lists as clean_list makes them."""
+    links = clean_list(F.transform(F.filter(F.array_distinct(F.concat(candidates, codes)), lambda x: x.rlike(RAW.url)), with_scheme))
 
     def told(codes: Column, urls: Column) -> Column:
         some = (F.size(codes) > 0) | (F.size(urls) > 0)
@@ -72,7 +77,7 @@ def link_record(qr_codes: Column, candidates: Column) -> Column:
             F.when(some, "detected").otherwise("not_detected").alias("status"),
         )
 
-    return bound(clean_list(qr_codes), lambda codes: bound(links(codes), lambda urls: told(codes, urls)))
+    return bound(links, lambda urls: told(codes, urls))
 
 
 def link_union(images: DataFrame, by: str, order: str, lists: tuple[str, ...], text: str | None = None, pages: DataFrame | None = None) -> DataFrame:
@@ -84,7 +89,7 @@ def link_union(images: DataFrame, by: str, order: str, lists: tuple[str, ...], t
     each = images.select(by, F.col(order).alias("no"), F.posexplode(F.concat(*(listed(c) for c in (*lists, *links)))).alias("pos", "text"))
     codes = extraction.first_of_equals(each, by, ("no", "pos")).select(by, clean_list("items").alias("qr_codes"))
     told = images.select(by).distinct().join(codes, by, "left").withColumn("qr_codes", listed("qr_codes"))
-    told = told.withColumn("url_candidates", F.filter("qr_codes", lambda x: x.rlike(RAW.url))).withColumn("record", link_record(F.col("qr_codes"), F.col("url_candidates")))
+    told = told.withColumn("url_candidates", F.filter("qr_codes", lambda x: x.rlike(RAW.url))).withColumn("record", _clean_link_record(F.col("qr_codes"), F.col("url_candidates")))
     if pages is None:
         return told
     asked = told.select(by, F.posexplode("record.urls").alias("pos", "url")).join(pages.select("url", "page_title", "meta_description"), "url")
@@ -116,7 +121,7 @@ def match_records(results: DataFrame, by: str, order: str = "pos", status: str |
     have = set(results.columns)
     item = lambda names: F.struct(F.col(order).alias("_o"), *(F.col(n) if n in have else F.lit(None).cast("string").alias(n) for n in names))
     ordered = lambda ok, names: F.transform(
-        F.array_sort(F.collect_list(F.when(ok, item(names)))), lambda x: F.struct(*(x[n].alias(n) for n in names))
+        F.sort_array(F.collect_list(F.when(ok, item(names)))), lambda x: F.struct(*(x[n].alias(n) for n in names))
     )
     told = results.groupBy(by).agg(
         F.count("*").alias("total_count"), F.count_if("matched").alias("success_count"), F.count_if(~F.col("matched")).alias("failed_count"),

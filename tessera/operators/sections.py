@@ -154,7 +154,7 @@ def fill_missing(found: DataFrame, lines: DataFrame, rules: RuleSet = LABELS) ->
 
 def section_texts(found: DataFrame) -> DataFrame:
     """(image_id, section, texts, text): distinct texts of each section in line order; lists by spaces, sentences by lines."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_index", "section_text"))), lambda s: s["section_text"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_index", "section_text"))), lambda s: s["section_text"])
     each = found.groupBy("image_id", "section").agg(F.array_distinct(ordered).alias("texts"))
     lined = F.col("section").isin("usage", "cautions", "effects", "others")
     return each.withColumn("text", F.when(lined, F.array_join("texts", "\n")).otherwise(F.array_join("texts", " ")))
@@ -164,7 +164,7 @@ def section_boxes(found: DataFrame, lines: DataFrame) -> DataFrame:
     """(image_id, section, text_count, x1, y1, x2, y2, reasons, preview) of each section."""
     boxes = lines.select("image_id", "line_index", "x_min", "x_max", "y_min", "y_max")
     rows = found.join(boxes, ["image_id", "line_index"])
-    ordered = F.array_sort(F.collect_list(F.struct("line_index", "reason", "section_text")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_index", "reason", "section_text")))
     told = rows.groupBy("image_id", "section").agg(F.count("*").alias("text_count"), F.min("x_min").alias("x1"), F.min("y_min").alias("y1"), F.max("x_max").alias("x2"), F.max("y_max").alias("y2"), ordered.alias("_rows"))
     return told.withColumns({"reasons": F.array_distinct(F.transform("_rows", lambda r: r["reason"])), "preview": F.array_join(F.transform(F.slice("_rows", 1, 3), lambda r: r["section_text"]), " / ")}).drop("_rows")
 
