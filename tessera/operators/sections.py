@@ -6,6 +6,8 @@ a few narrow columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,12 +103,12 @@ def with_others(found: DataFrame, lines: DataFrame) -> DataFrame:
     return found.unionByName(rest.select("image_id", "line_index", F.lit("others").alias("section"), F.lit("unclassified other text").alias("reason"), F.col("text").alias("section_text")))
 
 
-def guess_product_name(lines: DataFrame, rules: RuleSet = LABELS, first: int = 10) -> DataFrame:
+def guess_product_name(lines: DataFrame, rules: RuleSet = LABELS, first: int = 10, keep: str = "text") -> DataFrame:
     """(image_id, line_index, text, score): of the first lines that can be a name, the most like one; the higher on the page, the better."""
     own = Window.partitionBy("image_id")
     ranked = lines.withColumns({"_pos": F.row_number().over(own.orderBy("center_y", "x_min", "line_index")), "_low": F.max("center_y").over(own)}).where(f"_pos <= {first}")
     score = F.col("name_score") + F.greatest(F.lit(0.0), 1.0 - F.col("center_y") / F.greatest("_low", F.lit(1)))
-    return _top(classified(ranked, rules).where("name_like").withColumn("score", score), "_pos").select("image_id", "line_index", "text", "score")
+    return _top(classified(ranked, rules).where("name_like").withColumn("score", score), "_pos").select("image_id", "line_index", keep, "score")
 
 
 def _top(scored: DataFrame, order: str) -> DataFrame:
@@ -114,10 +116,10 @@ def _top(scored: DataFrame, order: str) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc(F.round("score", 9)), order))).where("_r = 1")
 
 
-def guess_capacity(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
+def guess_capacity(lines: DataFrame, rules: RuleSet = LABELS, keep: str = "text") -> DataFrame:
     """(image_id, line_index, text, score): the best line with an amount; a label word counts for it, what looks like a maker's note against it."""
     score = F.lit(1.0) + F.when(F.col("capacity_word"), 0.4).otherwise(0.0) - F.when(F.col("meta"), 1.0).otherwise(0.0)
-    return _top(classified(lines, rules).where("amount").withColumn("score", score), "line_index").select("image_id", "line_index", "text", "score")
+    return _top(classified(lines, rules).where("amount").withColumn("score", score), "line_index").select("image_id", "line_index", keep, "score")
 
 
 def islands(lines: DataFrame, candidate: str, tolerance: int = LABELS.gap_tolerance, by: str = "image_id", pos: str = "line_index") -> DataFrame:
@@ -128,28 +130,31 @@ def islands(lines: DataFrame, candidate: str, tolerance: int = LABELS.gap_tolera
     return marked.withColumn("island", F.sum("_new").over(order)).groupBy(by, "island").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
 
 
-def guess_ingredients(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
+def guess_ingredients(lines: DataFrame, rules: RuleSet = LABELS, keep: str = "text") -> DataFrame:
     """(image_id, line_index, text) of the island of candidate lines that is most like an ingredient list."""
     against = F.when(F.col("meta"), 1.5).otherwise(0.0) + F.when(F.col("usage"), 1.0).otherwise(0.0) + F.when(F.col("caution"), 1.0).otherwise(0.0)
-    told = classified(lines, rules).withColumns({"_pos": F.row_number().over(Window.partitionBy("image_id").orderBy("center_y", "x_min", "line_index")), "_against": against})
+    told = classified(lines, rules).withColumn("_size", F.length("text")).withColumns({"_pos": F.row_number().over(Window.partitionBy("image_id").orderBy("center_y", "x_min", "line_index")), "_against": against})
     found = islands(told, "list_score > 0", rules.gap_tolerance, pos="_pos")
     inside = told.join(found, "image_id").where("_pos between first and last")
-    each = inside.groupBy("image_id", "island").agg(F.count_if("structure").alias("_n"), F.sum(F.when(F.col("structure"), 2.0).otherwise(0.0) - F.col("_against")).alias("_s"), F.sum("n_separators").alias("_sep"), F.sum(F.length("text")).alias("_len"))
+    each = inside.groupBy("image_id", "island").agg(F.count_if("structure").alias("_n"), F.sum(F.when(F.col("structure"), 2.0).otherwise(0.0) - F.col("_against")).alias("_s"), F.sum("n_separators").alias("_sep"), F.sum("_size").alias("_len"))
     score = F.col("_s") + F.least(F.col("_sep") * 0.3, F.lit(3.0)) + F.least(F.col("_len") * 0.005, F.lit(2.0))
     best = _top(each.where("_n > 0").withColumn("score", score), "island").select("image_id", "island")
-    return inside.join(best, ["image_id", "island"]).select("image_id", "line_index", "text")
+    return inside.join(best, ["image_id", "island"]).select("image_id", "line_index", keep)
 
 
 def fill_missing(found: DataFrame, lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
     """found and, for name, capacity, ingredients and links that a document lacks, the best guess over all its lines."""
     lines = classified(lines, rules)
-    guesses = [guess_product_name(lines, rules).select("image_id", "line_index", "text", F.lit("product_name").alias("section")), guess_capacity(lines, rules).select("image_id", "line_index", "text", F.lit("capacity").alias("section"))]
-    guesses += [guess_ingredients(lines, rules).select("image_id", "line_index", "text", F.lit("ingredients").alias("section")), lines.where("link").select("image_id", "line_index", "text", F.lit("qr_url").alias("section"))]
-    every = guesses[0]
-    for g in guesses[1:]:
-        every = every.unionByName(g)
-    missing = every.join(found.select("image_id", "section").distinct(), ["image_id", "section"], "left_anti")
-    return found.unionByName(missing.select("image_id", "line_index", "section", F.concat(F.lit("global guess "), "section").alias("reason"), F.col("text").alias("section_text")))
+    missing = _missing(found, lines, rules, "text")
+    return found.unionByName(missing.select("image_id", "line_index", "section", "reason", F.col("text").alias("section_text")))
+
+
+def _missing(found: DataFrame, lines: DataFrame, rules: RuleSet, keep: str) -> DataFrame:
+    """(image_id, line_index, keep, section, reason) of the guesses for sections that a document lacks in found."""
+    named = lambda df, section: df.select("image_id", "line_index", keep, F.lit(section).alias("section"))
+    guesses = [named(guess_product_name(lines, rules, keep=keep), "product_name"), named(guess_capacity(lines, rules, keep), "capacity"), named(guess_ingredients(lines, rules, keep), "ingredients"), named(lines.where("link"), "qr_url")]
+    missing = reduce(DataFrame.unionByName, guesses).join(found.select("image_id", "section").distinct(), ["image_id", "section"], "left_anti")
+    return missing.withColumn("reason", F.concat(F.lit("global guess "), "section"))
 
 
 def section_texts(found: DataFrame) -> DataFrame:
@@ -175,7 +180,21 @@ def section_map(texts: DataFrame) -> DataFrame:
 
 
 def detect_sections(lines: DataFrame, rules: RuleSet = LABELS) -> DataFrame:
-    """The whole way: classify once, walk, fill what is missing, and put the rest into others."""
+    """The whole way: classify once, walk, fill what is missing, and put the rest into others, as detect, fill_missing and with_others do.
+
+    Which lines go where is settled by their MD5s; texts are joined once, at the end.
+    """
     lines = classified(lines, rules)
-    found = saved(detect(lines, rules), "walked")
-    return with_others(fill_missing(found, lines, rules), lines)
+    told = lines.withColumn("_text", F.unhex(F.md5("text")))
+    walked = saved(walk(lines, rules).select("image_id", "line_index", "section", "reason", "labelled"), "walked")
+    guessed = _missing(walked, told, rules, "_text").withColumn("labelled", F.lit(False))
+    found = saved(walked.withColumn("_text", F.lit(None).cast("binary")).unionByName(guessed), "found")
+    place = lambda c: F.coalesce(F.round(c, 1).cast("string"), F.lit(""))
+    placed = told.select("image_id", "line_index", F.col("_text").alias("_own"), F.unhex(F.md5("value")).alias("_value"), place("x_min").alias("_x"), place("center_y").alias("_y"))
+    own = F.col("_text").isNull() | (F.col("_text") == F.col("_own"))
+    used = found.where("section <> 'others'").join(placed, ["image_id", "line_index"]).where(own).select("image_id", "_x", "_y", F.when(F.col("labelled"), F.col("_value")).otherwise(F.col("_own")).alias("_own")).distinct()
+    rest = placed.join(used, ["image_id", "_x", "_y", "_own"], "left_anti")
+    rest = rest.select("image_id", "line_index", F.lit("others").alias("section"), F.lit("unclassified other text").alias("reason"), F.lit(False).alias("labelled"), F.col("_own").alias("_text"))
+    texts = told.select("image_id", "line_index", "text", "value", F.col("_text").alias("_own"))
+    every = found.unionByName(rest).join(texts, ["image_id", "line_index"]).where(own)
+    return every.select("image_id", "line_index", "section", "reason", F.when(F.col("labelled"), F.col("value")).otherwise(F.col("text")).alias("section_text"))
