@@ -14,12 +14,14 @@ from ..functions.phrases import advert_cut, comma_after_ends, ends_as_advert, ge
 from ..functions.predicates import Line, has_keyword
 from ..rules import CAPACITIES, LINK_ENDS, RAW, SECTION_LABELS, RuleSet
 from ..storage import saved
-from .lookup import of_distinct
+from .lookup import joined_by_key
 from .routing import inline_segments, numbered_items
 
 #: From this length a piece without separators is taken for several names.
 LONG_NAME = 40
 WHOLE = 1 << 30
+#: Words that make up at least one in so many are hot. A name has at most 80 characters, so they are few bytes.
+HOT_WORDS = 20_000
 
 
 def first_of_equals(rows: DataFrame, by: str, order: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -28,37 +30,49 @@ def first_of_equals(rows: DataFrame, by: str, order: tuple[str, ...], text: str
     return each.groupBy(by).agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v[text]).alias("items"))
 
 
+def _candidates(named: DataFrame, rules: RuleSet) -> DataFrame:
+    """The rows whose `text`, cleaned as a name, can be one. Told in place: pieces are short, and most of them differ."""
+    plain, x = tagged_phrase(named.withColumn("_plain", general_text(F.col("text"))), "_plain", rules)
+    return plain.where(x.candidate).select(*named.columns)
+
+
 def _valid_names(rows: DataFrame, rules: RuleSet) -> DataFrame:
-    """rows with `text` cleaned as a name and `ok`; each distinct text is worked out once."""
-
-    def told(texts: DataFrame) -> DataFrame:
-        named = name_text(texts.withColumn("_name", F.col("text")), "_name", rules)
-        plain, x = tagged_phrase(named.withColumn("_plain", general_text(F.col("_name"))), "_plain", rules)
-        return plain.select(*texts.columns, "_name", x.candidate.alias("ok"))
-
-    known = of_distinct(saved(rows.where(F.col("text").isNotNull()), "found"), "text", told, "name-facts")
-    return known.select(*(F.col("_name").alias("text") if c == "text" else F.col(c) for c in rows.columns), "ok")
-
-
-def _unseparated(rows: DataFrame, key: tuple[str, ...], rules: RuleSet) -> DataFrame:
-    """(key, sub, text) of texts without separators: the parts after commas that known ends of names ask for, else the words that can
-    be names, else all of the text."""
-    rows = rows.withColumn("text", general_text(F.col("text")))
-    rows = rows.withColumn("text", F.when(F.contains("text", F.lit(",")), F.col("text")).otherwise(comma_after_ends(F.col("text"))))
-    comma, words = F.contains("text", F.lit(",")), F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")
-    alone = ~comma & (F.size(words) <= 1)
-    part = lambda tier, sub, text: F.struct(F.lit(tier).alias("tier"), F.lit(sub).cast("int").alias("sub") if isinstance(sub, int) else sub.cast("int").alias("sub"), text.alias("text"))
-    pieces = (
-        F.when(comma, F.transform(F.split("text", ",+"), lambda x, i: part(0, i, x))).when(alone, F.array(part(0, 0, F.col("text"))))
-        .otherwise(F.concat(F.transform(words, lambda x, i: part(1, i, x)), F.array(part(2, WHOLE, F.col("text")))))
-    )
-    each = saved(_valid_names(rows.select(*key, F.inline(pieces)).withColumn("_raw", F.col("text")), rules), "words")
-    chosen = each.where("tier <> 1 or ok").withColumn("_least", F.min("tier").over(Window.partitionBy(*key))).where("tier = _least")
-    return chosen.select(*key, "sub", F.when(F.col("tier") == 1, F.col("text")).otherwise(F.col("_raw")).alias("text"))
+    """rows with `text` cleaned as a name, those that can be one."""
+    return _candidates(name_text(rows, "text", rules), rules)
+
+
+def _word_key(word: Column) -> Column:
+    """Short words are their own keys, long ones have an MD5, after a blank that no word has."""
+    return F.when(F.length(word) <= 32, word).otherwise(F.concat(F.lit(" "), F.md5(word)))
+
+
+def _loose(c: Column) -> tuple[Column, Column]:
+    """Steps: a text without separators as _unseparated takes it, with the commas that known ends of names ask for."""
+    return general_text(c), F.when(F.contains(c, F.lit(",")), c).otherwise(comma_after_ends(c))
+
+
+def _unseparated(rows: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
+    """(words, parts) of rows, a stored table (..., row, piece, text) with one row a text, which _loose has made: the words of each text that are
+    names, cleaned, and what is still to be tested: its parts if it has commas, all of it if none of its words is a name; with `sub` for their order.
+
+    Each distinct word is worked out once, as often in turn as a name is. No name has up to four letters and nothing else.
+    """
+    key = [c for c in rows.columns if c != "text"]
+    comma, blank = F.contains("text", F.lit(",")), F.contains("text", F.lit(" "))
+    several = rows.where(~comma & blank)
+    words = several.select(*key, F.posexplode(F.split("text", " ")).alias("sub", "word")).where(~F.col("word").rlike("^[a-zA-Z]{0,4}$"))
+    named = saved(_valid_names(words.groupBy("word").agg(F.count("*").alias("_times")).withColumn("text", F.col("word")), rules), "word-names")
+    # A word that is a name as it stands stays one.
+    named = named.where("text = word").unionByName(_valid_names(_valid_names(named.where("text <> word"), rules), rules))
+    table = saved(named.select(_word_key(F.col("word")).alias("_k"), "text", "_times"), "word-names")
+    found = saved(joined_by_key(words.select(*key, "sub", _word_key(F.col("word")).alias("_k")), table, "_k", "_times", HOT_WORDS).drop("_k"), "words")
+    whole = several.join(found.select("row", "piece").distinct(), ["row", "piece"], "left_anti").select(*key, F.lit(WHOLE).alias("sub"), "text")
+    parts = rows.where(comma | ~blank).select(*key, F.posexplode(F.split("text", ",+")).alias("sub", "text"))
+    return found, parts.unionByName(whole)
 
 
 def ingredient_candidates(texts: DataFrame, by: str, text: str = "text", order: str | None = None, rules: RuleSet = RAW) -> DataFrame:
-    """(by, items): the names in each group's texts, valid ones once each, in order. Groups without any have no row.
+    """(by, items): the names in each group's texts, valid ones once each, in order. Groups without any have no row. A stored table.
 
     Texts are split at commas that stand outside of numbers, else at semicolons and bars, else at dots, else by known ends of
     names and by words; long pieces without separators once more by the latter.
@@ -68,23 +82,30 @@ def ingredient_candidates(texts: DataFrame, by: str, text: str = "text", order:
     # Stored between the two passes: as one plan they take several times as long as one after the other.
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = list_text(saved(list_text(rows.repartition(parts, by), "text", rules), "once"), "text", rules)
-    commas = F.greatest(F.regexp_count("text", F.lit("[,，、]")) - F.regexp_count("text", F.lit(r"\d\s*[,，、]\s*\d")), F.lit(0))
-    at = F.when(commas >= 1, ",").when(F.col("text").rlike("[;；|]"), ";").when(F.col("text").rlike("[·ㆍ]"), "·").otherwise("")
-    rows = saved(rows.withColumn("_at", at), "lists").where("text <> ''")
-    cut = {",": "[,，、]+", ";": "[;；|]+", "·": "[·ㆍ]+"}
-    pieces = None
-    for mark, pattern in cut.items():
-        own = rows.where(F.col("_at") == mark).select(by, "no", F.posexplode(F.split("text", pattern)).alias("piece", "text"))
-        pieces = own if pieces is None else pieces.unionByName(own)
-    loose = _unseparated(rows.where("_at = ''").select(by, "no", "text"), (by, "no"), rules).withColumnRenamed("sub", "piece")
-    named = saved(_valid_names(pieces.unionByName(loose), rules), "pieces")
-    separators = F.length("text") - F.length(F.translate("text", ",，、;；·ㆍ", ""))
-    long = (F.length("text") > LONG_NAME) & F.contains("text", F.lit(" ")) & (separators == 0)
-    again = _unseparated(named.where(long).select(by, "no", "piece", "text"), (by, "no", "piece"), rules)
-    again = saved(_valid_names(again, rules), "again").where("ok").select(by, "no", "piece", "sub", "text")
-    good = named.where(~long & F.col("ok")).select(by, "no", "piece", F.lit(0).alias("sub"), "text").unionByName(again)
-    last = saved(_valid_names(good, rules), "names").where("ok")
-    return first_of_equals(last.withColumn("text", strip(F.col("text"))), by, ("no", "piece", "sub"))
+    # Its marks are unified.
+    commas = F.regexp_count("text", F.lit(",")) - F.regexp_count("text", F.lit(r"\d *, *\d"))
+    at = F.when(commas >= 1, ",").when(F.contains("text", F.lit(";")), ";").when(F.contains("text", F.lit("·")), "·").otherwise("")
+    # A text's number tells its pieces from those of others with the same id and place.
+    rows = rows.withColumns({"_at": at, "row": F.monotonically_increasing_id()})
+    for step in _loose(F.col("text")):
+        rows = rows.withColumn("text", F.when(F.col("_at") == "", step).otherwise(F.col("text")))
+    rows = saved(rows, "lists").where("text <> ''")
+    words, loose = _unseparated(rows.where("_at = ''").select(by, "no", "row", F.lit(0).alias("piece"), "text"), rules)
+    pieces = loose.select(by, "no", "row", F.col("sub").alias("piece"), "text")
+    for mark, pattern in {",": ",+", ";": ";+", "·": "·+"}.items():
+        pieces = pieces.unionByName(rows.where(F.col("_at") == mark).select(by, "no", "row", F.posexplode(F.split("text", pattern)).alias("piece", "text")))
+    named = name_text(pieces.where("text <> ''"), "text", rules)
+    named = named.withColumn("long", (F.length("text") > LONG_NAME) & F.contains("text", F.lit(" ")) & ~F.col("text").rlike("[,;·]"))
+    for step in _loose(F.col("text")):
+        named = named.withColumn("text", F.when(F.col("long"), step).otherwise(F.col("text")))
+    named = saved(named, "pieces")
+    again, rest = _unseparated(named.where("long").drop("long"), rules)
+    place = [by, "no", "piece", "sub", "text"]
+    # A name once cleaned is cleaned again; those of words have been.
+    short = _candidates(named.where("not long").select(by, "no", "piece", F.lit(0).alias("sub"), "text"), rules)
+    good = _valid_names(short.unionByName(_valid_names(rest.select(place), rules)), rules)
+    every = good.unionByName(again.select(place)).unionByName(words.select(by, "no", F.col("sub").alias("piece"), F.lit(0).alias("sub"), "text"))
+    return saved(first_of_equals(every.withColumn("text", strip(F.col("text"))), by, ("no", "piece", "sub")), "names")
 
 
 def amount_mended(c: Column) -> Column:
