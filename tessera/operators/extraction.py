@@ -188,9 +188,10 @@ def section_sentences(df: DataFrame, by: str, text: str, section: str, rules: Ru
 def link_candidates(c: Column, ends: str = LINK_ENDS) -> Column:
     """Links in a text, broken ones mended: those with a scheme, then those with www, then bare domains; once each."""
     c = F.translate(F.coalesce(c, F.lit("")), "\n\t", "  ")
-    for pattern, new in ((r"(?i)www\s*\.\s*", "www."), (r"(?i)(https?)\s*:\s*/\s*/", "$1://"), (rf"(?i)([a-zA-Z0-9])\s*\.\s*({ends})", "$1.$2")):
+    for pattern, new in ((r"(?i)www\s*\.\s*", "www."), (r"(?i)(https?)\s*:\s*/\s*/", "$1://"), (rf"(?i)([a-z0-9])\s*\.\s*({ends})", "$1.$2")):
         c = F.regexp_replace(c, pattern, new)
-    found = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (r"(?i)https?://\S+", r"(?i)www\.\S+", rf"(?i)[a-zA-Z0-9.-]+\.(?:{ends})\S*")))
+    # A domain begins where its characters do: no place inside of a run of them is tried again.
+    found = F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (r"(?i)https?://\S+", r"(?i)www\.\S+", rf"(?i)(?:(?<![\w.-])|(?<=_))[a-z0-9.-]+\.(?:{ends})\S*")))
     from ..functions.arrays import clean_list
 
     return clean_list(F.transform(found, lambda x: trimmed(x, r"[ ,.;:：()\[\]{}<>]+")))
