@@ -94,7 +94,8 @@ def ingredient_candidates(texts: DataFrame, by: str, text: str = "text", order:
     pieces = loose.select(by, "no", "row", F.col("sub").alias("piece"), "text")
     for mark, pattern in {",": ",+", ";": ";+", "·": "·+"}.items():
         pieces = pieces.unionByName(rows.where(F.col("_at") == mark).select(by, "no", "row", F.posexplode(F.split("text", pattern)).alias("piece", "text")))
-    named = name_text(pieces.where("text <> ''"), "text", rules)
+    # Blanks at the ends of a piece would have its spaces made even, which they are.
+    named = name_text(pieces.withColumn("text", F.trim("text")).where("text <> ''"), "text", rules)
     named = named.withColumn("long", (F.length("text") > LONG_NAME) & F.contains("text", F.lit(" ")) & ~F.col("text").rlike("[,;·]"))
     for step in _loose(F.col("text")):
         named = named.withColumn("text", F.when(F.col("long"), step).otherwise(F.col("text")))
